@@ -119,16 +119,5 @@ def first_contained(text, needles) -> Column:
     return F.coalesce(*[F.when(F.contains(_c(text), F.lit(n)), F.lit(n)) for n in needles])
 
 
-def first_contained_join(df, text_col: str, needles, out: str):
-    """``first_contained`` for lists too long for one expression.
-
-    The needle list is checked by its caller to be broadcast-sized; each row
-    keeps the match with the lowest list position.
-    """
-    hits = df.join(F.broadcast(needles), F.contains(F.col(text_col), F.col("needle")), "left")
-    keys = [F.col(c) for c in df.columns]
-    return hits.groupBy(*keys).agg(F.min_by("needle", "ordinal").alias(out))
-
-
 def clamp(value, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(_c(value), F.lit(hi)))

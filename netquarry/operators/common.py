@@ -112,3 +112,47 @@ def interarrival(
 
 def round6(value) -> Column:
     return F.round(value, 6)
+
+
+def substring_matches(texts: DataFrame, text: str, needles: DataFrame, needle: str, gram: int = 6) -> DataFrame:
+    """Distinct (text, needle) pairs where the text contains the needle.
+
+    An equi-join instead of a nested loop: a contained needle's first ``n``
+    characters (n = min(gram, length)) are one of the text's n-grams, so rows
+    meet on (n, gram) and the containment test only filters candidates.
+    """
+    n = F.least(F.length(needle), F.lit(gram))
+    keyed = (
+        needles.select(needle).where(F.length(needle) > 0).distinct()
+        .select(needle, n.alias("_n"), F.substring(F.col(needle), F.lit(1), n).alias("_gram"))
+    )
+    sizes = F.explode(F.sequence(F.lit(1), F.least(F.length(text), F.lit(gram))))
+    grams = (
+        texts.select(text).where(F.length(text) > 0).distinct()
+        .select(text, sizes.alias("_n"))
+        .select(
+            text, "_n",
+            F.explode(
+                F.array_distinct(
+                    F.transform(
+                        F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1),
+                        lambda i: F.substring(F.col(text), i, F.col("_n")),
+                    )
+                )
+            ).alias("_gram"),
+        )
+    )
+    return grams.join(keyed, ["_n", "_gram"]).where(F.contains(F.col(text), F.col(needle))).select(text, needle)
+
+
+def first_listed_match(df: DataFrame, text: str, needles: DataFrame, out: str) -> DataFrame:
+    """Attach the list entry (needle, ordinal) with the lowest position that the
+    text contains; null when none does."""
+    pairs = substring_matches(df, text, needles, "needle").join(needles, "needle")
+    best = pairs.groupBy(text).agg(F.min(F.struct("ordinal", "needle")).getField("needle").alias(out))
+    return df.join(best, text, "left")
+
+
+def keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Give a keyless frame one constant key so the same joins serve both."""
+    return (df, list(keys)) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
