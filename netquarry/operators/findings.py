@@ -18,6 +18,7 @@ from netquarry import fixed_values as fv
 from netquarry.config import HuntConfig
 from netquarry.functions import text
 from netquarry.operators import c2, exfil, impact, lateral, recon
+from netquarry.operators.flows import flow_summary
 
 FINDING_COLUMNS = (
     "agent", "activity_type", "indicators", "affected_assets", "mitre_techniques",
@@ -193,18 +194,24 @@ def to_findings(measures: DataFrame, detection: Detection, extra_keys: Sequence[
     )
 
 
-def prepare(bundle: dict[str, DataFrame], extra_keys: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Add the shared partial aggregates to a bundle of log frames."""
-    from netquarry.operators.flows import flow_summary
+def prepare(
+    bundle: dict[str, DataFrame], extra_keys: Sequence[str] = (), keep: Callable[[DataFrame, str], DataFrame] | None = None
+) -> dict[str, DataFrame]:
+    """Add the shared partial aggregates to a bundle of log frames.
 
+    ``keep(df, name)`` may write a partial once (``session.stage``), so that
+    the detections over it scan a small table instead of each repeating the
+    wide shuffle.
+    """
+    keep = keep or (lambda df, name: df)
     out = dict(bundle)
     if "connections" in out and "flows" not in out:
-        out["flows"] = flow_summary(out["connections"], extra_keys)
+        out["flows"] = keep(flow_summary(out["connections"], extra_keys), "flows")
     if "flows" in out:
         out.setdefault("pairs", exfil.outbound_pairs(out["flows"], extra_keys))
         out.setdefault("internal_pairs", lateral.internal_pairs(out["flows"], extra_keys))
-    if "dns" in out:
-        out.setdefault("subdomains", c2.subdomain_counts(out["dns"], extra_keys))
+    if "dns" in out and "subdomains" not in out:
+        out["subdomains"] = keep(c2.subdomain_counts(out["dns"], extra_keys), "subdomains")
     return out
 
 
@@ -213,9 +220,11 @@ def run_detections(
     cfg: HuntConfig = HuntConfig(),
     extra_keys: Sequence[str] = (),
     registry: dict[str, Detection] | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """All enabled detections whose inputs are present, as one union."""
-    ready = prepare(bundle, extra_keys)
+    needed = {n for name, det in (registry or DETECTIONS).items() if name not in cfg.disabled for n in det.needs}
+    ready = prepare(bundle, extra_keys, keep if needed & {"flows", "pairs", "internal_pairs", "subdomains"} else None)
     parts = []
     for name, detection in (registry or DETECTIONS).items():
         if name in cfg.disabled or not set(detection.needs) <= set(ready):

@@ -1,5 +1,5 @@
 """Registered queries over the given tables, each with its SQL twin."""
 
-from workload import detections
+from workload import detections, expressions, hunts
 
-REGISTRIES = (detections.R,)
+REGISTRIES = (detections.R, expressions.R, hunts.R)

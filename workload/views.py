@@ -111,6 +111,62 @@ def verdicts(spark, sf) -> DataFrame:
     )
 
 
+# Techniques and families of derived findings and cases.
+TECHS = ("T1071", "T1046", "T1041", "T1021.002", "T1496")
+AGENT_NAMES = ("c2_hunter", "reconnaissance_hunter", "lateral_movement_hunter", "collection_exfiltration_hunter", "impact_hunter")
+SEVERITIES = ("low", "medium", "high", "critical")
+
+
+def _pick(values, index) -> F.Column:
+    return F.element_at(F.array(*[F.lit(x) for x in values]), (index + 1).cast("int"))
+
+
+def findings(spark, sf) -> DataFrame:
+    """Findings from events: family, severity, techniques, two addresses."""
+    eid, uid = F.col("event_id"), F.col("user_id")
+    return table(spark, sf, "events").select(
+        F.substring(F.md5(_s(eid % 4000)), 1, 16).alias("fingerprint"),
+        _pick(AGENT_NAMES, uid % 5).alias("agent"),
+        F.concat(F.lit("activity"), _s(uid % 7)).alias("activity_type"),
+        _pick(SEVERITIES, eid % 4).alias("severity"),
+        ((eid % 97) / 100.0).alias("confidence"),
+        F.array(_pick(TECHS, uid % 5), _pick(TECHS, eid % 5)).alias("mitre_techniques"),
+        F.array(F.concat(F.lit("10.0.0."), _s(uid)), F.concat(F.lit("203.0.113."), _s(eid % 200), F.lit(":443"))).alias("indicators"),
+        F.array(F.concat(F.lit("10.0.0."), _s(uid))).alias("affected_assets"),
+        F.col("event_type").alias("description"),
+        F.col("ts").cast("timestamp").alias("created_at"),
+    )
+
+
+def cases(spark, sf) -> DataFrame:
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    conf = (cust % 100) / 100.0
+    status = F.col("o_orderstatus")
+    return table(spark, sf, "orders").select(
+        F.concat(F.lit("c"), _s(key)).alias("case_id"),
+        F.concat(F.lit("Case "), _s(key)).alias("title"),
+        F.col("o_orderpriority").alias("description"),
+        F.when(status == "F", "confirmed_tp").when(status == "O", "new").otherwise("investigating").alias("status"),
+        _pick(SEVERITIES, key % 4).alias("severity"),
+        conf.alias("confidence"),
+        F.when(conf >= 0.95, "auto_respond").when(conf >= 0.8, "auto_investigate").when(conf >= 0.6, "human_review")
+        .otherwise("log_only").alias("escalation_level"),
+        F.when(status == "F", "tp").when(key % 7 == 0, "fp").alias("analyst_verdict"),
+        F.when(key % 2 == 0, "autonomous").otherwise("manual").alias("source"),
+        F.array(_pick(TECHS, cust % 5), _pick(TECHS, key % 3)).alias("mitre_techniques"),
+        _s(key % 500).alias("external_id"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"),
+    )
+
+
+def case_assets(spark, sf) -> DataFrame:
+    sup = F.col("l_suppkey")
+    return table(spark, sf, "lineitem").select(
+        F.concat(F.lit("c"), _s("l_orderkey")).alias("case_id"),
+        F.concat(F.lit("10.0."), _s(sup % 4), F.lit("."), _s(sup % 50)).alias("asset"),
+    ).distinct()
+
+
 _PORT_CASE = " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(PORTS[:-1])) + f" ELSE {PORTS[-1]}"
 
 VIEW_SQL: dict[str, str] = {
@@ -177,6 +233,30 @@ SELECT doc_id AS case_no,
 FROM labels""",
 }
 
+def _case(index: str, values) -> str:
+    return f"CASE {index} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(values)) + " END"
+
+
+VIEW_SQL["v_finding"] = f"""
+SELECT substr(md5(CAST(event_id % 4000 AS VARCHAR)), 1, 16) AS fingerprint, {_case('user_id % 5', AGENT_NAMES)} AS agent,
+  'activity' || (user_id % 7) AS activity_type, {_case('event_id % 4', SEVERITIES)} AS severity, event_id % 4 AS sev,
+  (event_id % 97) / 100.0 AS confidence, {_case('user_id % 5', TECHS)} AS t1, {_case('event_id % 5', TECHS)} AS t2,
+  '10.0.0.' || user_id AS asset, '203.0.113.' || (event_id % 200) AS peer, event_type AS description, ts
+FROM events"""
+VIEW_SQL["v_case"] = f"""
+SELECT 'c' || o_orderkey AS case_id, 'Case ' || o_orderkey AS title, o_orderpriority AS description,
+  CASE o_orderstatus WHEN 'F' THEN 'confirmed_tp' WHEN 'O' THEN 'new' ELSE 'investigating' END AS status,
+  {_case('o_orderkey % 4', SEVERITIES)} AS severity, (o_custkey % 100) / 100.0 AS confidence,
+  CASE WHEN o_custkey % 100 >= 95 THEN 'auto_respond' WHEN o_custkey % 100 >= 80 THEN 'auto_investigate'
+       WHEN o_custkey % 100 >= 60 THEN 'human_review' ELSE 'log_only' END AS escalation_level,
+  CASE WHEN o_orderstatus = 'F' THEN 'tp' WHEN o_orderkey % 7 = 0 THEN 'fp' END AS analyst_verdict,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'autonomous' ELSE 'manual' END AS source,
+  {_case('o_custkey % 5', TECHS)} AS t1, {_case('o_orderkey % 3', TECHS)} AS t2,
+  CAST(o_orderkey % 500 AS VARCHAR) AS external_id, o_orderdate AS created_at
+FROM orders"""
+VIEW_SQL["v_case_asset"] = """
+SELECT DISTINCT 'c' || l_orderkey AS case_id, '10.0.' || (l_suppkey % 4) || '.' || (l_suppkey % 50) AS asset FROM lineitem"""
+
 _NEEDS = {"v_conn_int": ("v_conn",), "v_subs": ("v_dns",)}
 
 
