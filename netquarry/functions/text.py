@@ -42,23 +42,31 @@ def top_level(domain) -> Column:
 
 
 def shannon_entropy(text) -> Column:
-    """Bits per character of the case-folded string; 0 for ''."""
-    s = F.lower(_c(text))
-    n = F.length(_c(text)).cast("double")
-    chars = F.filter(F.array_distinct(F.split(s, "")), lambda ch: ch != "")
+    """Bits per character of the case-folded string; 0 for ''.
 
-    def add(acc, ch):
-        p = (F.length(s) - F.length(F.replace(s, ch, F.lit("")))) / n
-        return acc - p * F.log2(p)
+    The folded string is bound once through a one-element array: a lambda body
+    re-evaluates every outer expression it mentions on each step.
+    """
+    bound = F.array(F.struct(F.lower(_c(text)).alias("s"), F.length(_c(text)).cast("double").alias("n")))
 
-    return F.when(
-        F.length(_c(text)) > 0, F.aggregate(chars, F.lit(0.0), add) + F.lit(0.0)
-    ).when(_c(text).isNotNull(), F.lit(0.0))
+    def entropy(row):
+        s, n = row.getField("s"), row.getField("n")
+        chars = F.filter(F.array_distinct(F.split(s, "")), lambda ch: ch != "")
+
+        def add(acc, ch):
+            p = (F.length(s) - F.length(F.replace(s, ch, F.lit("")))) / n
+            return acc - p * F.log2(p)
+
+        return F.aggregate(chars, F.lit(0.0), add) + F.lit(0.0)
+
+    value = F.get(F.transform(bound, entropy), F.lit(0))
+    return F.when(F.length(_c(text)) > 0, value).when(_c(text).isNotNull(), F.lit(0.0))
 
 
 def consonant_ratio(text) -> Column:
-    kept = F.regexp_replace(F.lower(_c(text)), "[^bcdfghjklmnpqrstvwxyz]", "")
-    return F.when(F.length(_c(text)) > 0, F.length(kept) / F.length(_c(text)))
+    s = F.lower(_c(text))
+    kept = F.length(s) - F.length(F.translate(s, "bcdfghjklmnpqrstvwxyz", ""))
+    return F.when(F.length(_c(text)) > 0, kept / F.length(_c(text)))
 
 
 def has_digit(text) -> Column:

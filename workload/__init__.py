@@ -1,5 +1,5 @@
 """Registered queries over the given tables, each with its SQL twin."""
 
-from workload import detections, expressions, hunts
+from workload import detections, expressions, hunts, maps, protocols
 
-REGISTRIES = (detections.R, expressions.R, hunts.R)
+REGISTRIES = (detections.R, expressions.R, hunts.R, maps.R, protocols.R)
