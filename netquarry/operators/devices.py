@@ -163,11 +163,13 @@ def banner_facts(banners: DataFrame, column: str, label: str, rule, out: str) ->
     )
 
 
-def facts(results: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per address with everything the profiles say about it.
+def facts(results: Mapping[str, DataFrame], addresses: DataFrame) -> DataFrame:
+    """One row per address of the map with everything the profiles say.
 
-    Each part has one row per address, so the full outer joins on ``ip`` keep
-    that; parts whose log is absent are left out.
+    The map's distinct addresses are the spine and every part is left-joined
+    to it: the parts come out of aggregates on ``ip``, so both sides of each
+    join are already partitioned by it and the chain adds no shuffles. Parts
+    whose log is absent are left out.
     """
     parts = []
 
@@ -208,9 +210,9 @@ def facts(results: Mapping[str, DataFrame]) -> DataFrame:
     add("modbus", lambda d: d.select("ip", F.col("protocols").alias("ics_protocols")))
     add("notice", lambda d: d.select("ip", F.col("notice_types").alias("notices")))
     add("traceroute", lambda d: d.select("ip", F.col("destinations").alias("traceroute_hops")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "ip", "full_outer")
+    out = addresses.select("ip").distinct()
+    for p in parts:
+        out = out.join(p, "ip", "left")
     return out
 
 
@@ -218,7 +220,7 @@ def profile_names(results: Mapping[str, DataFrame]) -> DataFrame:
     """(ip, kind, name) from SMB, RDP, DHCP and SMTP profiles."""
     parts = []
     if "smb" in results:
-        parts.append(results["smb"].select("ip", F.lit("netbios").alias("kind"), F.upper(F.trim(F.explode("nb_names"))).alias("name")))
+        parts.append(results["smb"].select("ip", F.lit("netbios").alias("kind"), F.explode(F.transform("nb_names", lambda x: F.upper(F.trim(x)))).alias("name")))
     if "rdp" in results:
         parts.append(results["rdp"].select("ip", F.lit("netbios").alias("kind"), F.upper(text.meaningful("rdp_cookie")).alias("name")))
     if "dhcp" in results:
@@ -226,7 +228,7 @@ def profile_names(results: Mapping[str, DataFrame]) -> DataFrame:
     if "dhcp_extended" in results:
         parts.append(results["dhcp_extended"].select("ip", F.lit("hostname").alias("kind"), F.lower(text.meaningful("client_fqdn")).alias("name")))
     if "smtp_banner" in results:
-        parts.append(results["smtp_banner"].select("ip", F.lit("hostname").alias("kind"), F.lower(F.trim(F.explode("helo_names"))).alias("name")))
+        parts.append(results["smtp_banner"].select("ip", F.lit("hostname").alias("kind"), F.explode(F.transform("helo_names", lambda x: F.lower(F.trim(x)))).alias("name")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

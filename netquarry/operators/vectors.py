@@ -28,7 +28,9 @@ def top_k(
     for name, value in (where or {}).items():
         rows = rows.where(F.col(name) == value)
     return (
-        rows.withColumn("similarity", cosine(F.col(embedding), query))
+        rows.withColumn("_query", query)
+        .withColumn("similarity", cosine(F.col(embedding), F.col("_query")))
+        .drop("_query")
         .where(F.col("similarity").isNotNull())
         .orderBy(F.desc("similarity"), F.asc(tie))
         .limit(k)

@@ -46,7 +46,7 @@ def profile_map(
     loops over devices.
     """
     results = profiles.run_profiles(logs)
-    nodes = devices.enrich_nodes(net_map.nodes, devices.facts(results), oui)
+    nodes = devices.enrich_nodes(net_map.nodes, devices.facts(results, net_map.nodes), oui)
     names = net_map.names
     if any(n in results for n in ("smb", "rdp", "dhcp", "dhcp_extended", "smtp_banner")):
         names = names.unionByName(devices.node_names_from_ip(devices.profile_names(results), net_map.nodes)).distinct()

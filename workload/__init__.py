@@ -1,5 +1,5 @@
 """Registered queries over the given tables, each with its SQL twin."""
 
-from workload import detections, expressions, hunts, maps, protocols
+from workload import assessments, detections, expressions, hunts, maps, packets, protocols
 
-REGISTRIES = (detections.R, expressions.R, hunts.R, maps.R, protocols.R)
+REGISTRIES = (detections.R, expressions.R, hunts.R, assessments.R, maps.R, protocols.R, packets.R)

@@ -24,6 +24,11 @@ def _s(col) -> F.Column:
 
 
 def connections(spark, sf) -> DataFrame:
+    return connections_with(spark, sf)
+
+
+def connections_with(spark, sf, *more) -> DataFrame:
+    """The connection view with further lineitem columns."""
     sup, part, order = F.col("l_suppkey"), F.col("l_partkey"), F.col("l_orderkey")
     port = F.element_at(F.array(*[F.lit(p) for p in PORTS]), (order % 12 + 1).cast("int"))
     return table(spark, sf, "lineitem").select(
@@ -41,6 +46,7 @@ def connections(spark, sf) -> DataFrame:
         F.concat(F.lit("sensor"), _s(F.col("l_linenumber") % 3)).alias("sensor_id"),
         _s(F.col("l_linenumber") % 2).alias("vlan"),
         F.col("l_shipdate").cast("timestamp").alias("timestamp"),
+        *more,
     )
 
 
