@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from netquarry.operators import devices, gateways, netmap, profiles
 from netquarry.operators.netmap import NODE
+from netquarry.session import stage
 
 
 @dataclass(frozen=True)
@@ -20,11 +21,15 @@ class NetworkMap:
     names: DataFrame
 
 
-def build_map(connections: DataFrame, dns: DataFrame | None = None, ntlm: DataFrame | None = None) -> NetworkMap:
-    """Nodes, edges, services and names from the telemetry."""
-    edges = netmap.edges(connections)
-    services = netmap.services(connections)
-    nodes = netmap.nodes(edges, services)
+def build_map(
+    connections: DataFrame, dns: DataFrame | None = None, ntlm: DataFrame | None = None, staged: bool = False
+) -> NetworkMap:
+    """Nodes, edges, services and names from the telemetry; ``staged`` writes
+    the edge, service and node tables once to the shared folder."""
+    keep = stage if staged else (lambda df, name: df)
+    edges = keep(netmap.edges(connections), "edges")
+    services = keep(netmap.services(connections), "services")
+    nodes = keep(netmap.nodes(edges, services), "nodes")
     names = None
     for part in (
         netmap.answer_names(dns) if dns is not None else None,
@@ -39,14 +44,18 @@ def build_map(connections: DataFrame, dns: DataFrame | None = None, ntlm: DataFr
 
 def profile_map(
     net_map: NetworkMap, logs: Mapping[str, DataFrame], oui: DataFrame | None = None, previous: DataFrame | None = None,
+    staged: bool = False,
 ) -> DataFrame:
     """Nodes with facts, names, infrastructure evidence and device type.
 
     The profiles are independent aggregates joined once per address; nothing
-    loops over devices.
+    loops over devices. ``staged`` writes the fact table (one row per address)
+    and the enriched nodes once, since several evidence operators read them.
     """
+    keep = stage if staged else (lambda df, name: df)
     results = profiles.run_profiles(logs)
-    nodes = devices.enrich_nodes(net_map.nodes, devices.facts(results, net_map.nodes), oui)
+    facts = keep(devices.facts(results, net_map.nodes), "facts")
+    nodes = devices.enrich_nodes(net_map.nodes, facts, oui)
     names = net_map.names
     if any(n in results for n in ("smb", "rdp", "dhcp", "dhcp_extended", "smtp_banner")):
         names = names.unionByName(devices.node_names_from_ip(devices.profile_names(results), net_map.nodes)).distinct()
@@ -57,6 +66,7 @@ def profile_map(
         heavy = devices.heavy_ntlm_servers(rows)
     else:
         heavy = None
+    nodes = keep(nodes, "enriched")
     dhcp = gateways.dhcp_gateways(results["dhcp_gateway"]) if "dhcp_gateway" in results else None
     cross = gateways.cross_subnet_gateways(net_map.edges)
     evidence = gateways.infrastructure_evidence(

@@ -534,13 +534,13 @@ def profile_logs(spark, sf):
 @R.add("profiled_map")
 def _(spark, sf):
     """Whole profiling job: rows only, its parts have their own SQL."""
-    net_map = profiling.build_map(v.connections(spark, sf), v.dns(spark, sf), v.ntlm(spark, sf))
-    typed = profiling.profile_map(net_map, profile_logs(spark, sf))
+    net_map = profiling.build_map(v.connections(spark, sf), v.dns(spark, sf), v.ntlm(spark, sf), staged=True)
+    typed = profiling.profile_map(net_map, profile_logs(spark, sf), staged=True)
     return out(typed, "node_id", "device_type", "os_info", "roles", "gateway_evidence")
 
 
 @R.add("host_identity")
 def _(spark, sf):
-    net_map = profiling.build_map(v.connections(spark, sf), v.dns(spark, sf), v.ntlm(spark, sf))
-    typed = profiling.profile_map(net_map, profile_logs(spark, sf))
+    net_map = profiling.build_map(v.connections(spark, sf), v.dns(spark, sf), v.ntlm(spark, sf), staged=True)
+    typed = profiling.profile_map(net_map, profile_logs(spark, sf), staged=True)
     return out(devices.host_identity(typed), "sensor_id", "vlan", "ip", "os", "os_source", "os_confidence", "confidence", "signal_count")
