@@ -19,7 +19,7 @@ def _c(col) -> Column:
 
 def parse_timestamp(text) -> Column:
     """Epoch seconds (fractions allowed) or ISO 8601 with any zone; else null."""
-    s = F.regexp_replace(_c(text).cast("string"), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    s = F.regexp_replace(_c(text).cast("string"), r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
     number = s.try_cast("double")
     return F.coalesce(
         F.when(number.isNotNull(), F.timestamp_micros((number * 1000000).cast("bigint"))),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netquarry import schemas
 
@@ -134,22 +135,12 @@ def load_map(spark: SparkSession, folder: str, schema: str = schemas.NODE) -> Da
 
 def load_legacy_map(spark: SparkSession, path: str, schema: str = schemas.NODE) -> DataFrame:
     """Nodes of a single JSON document ``{"nodes": {id: node}}``."""
-    fields = ", ".join(f"{p.split(' ', 1)[0]}: {p.split(' ', 1)[1]}" for p in _top_level(schema))
-    doc = spark.read.schema(f"nodes map<string, struct<{fields}>>").option("multiLine", True).json(path)
+    node = T.StructType.fromDDL(schema)
+    whole = T.StructType([T.StructField("nodes", T.MapType(T.StringType(), node))])
+    doc = spark.read.schema(whole).option("multiLine", True).json(path)
     return doc.select(F.explode("nodes").alias("node_key", "node")).select("node.*").where(F.col("ip").isNotNull())
 
 
-def _top_level(ddl: str) -> list[str]:
-    out, depth, start = [], 0, 0
-    for i, ch in enumerate(ddl):
-        depth += ch == "<"
-        depth -= ch == ">"
-        if ch == "," and depth == 0:
-            out.append(ddl[start:i].strip())
-            start = i + 1
-    return [*out, ddl[start:].strip()]
-
-
 def save_snapshot(nodes: DataFrame, base: str, name: str, saved_at) -> None:
     nodes.withColumn("saved_at", F.lit(saved_at).cast("timestamp")).write.mode("errorifexists").parquet(f"{base}/snapshot={name}")
 
@@ -185,8 +176,9 @@ def load_mac_history(spark: SparkSession, folder: str) -> DataFrame:
 def read_case_feed(spark: SparkSession, path: str, since=None) -> DataFrame:
     """Cases from JSON: an array of cases or ``{"data": [...]}``; optionally
     those opened or modified since a time."""
-    fields = ", ".join(f"{p.split(' ', 1)[0]}: {p.split(' ', 1)[1]}" for p in _top_level(schemas.CASE_FEED))
-    rows = spark.read.schema(f"{schemas.CASE_FEED}, data array<struct<{fields}>>").option("multiLine", True).json(path)
+    case = T.StructType.fromDDL(schemas.CASE_FEED)
+    both = T.StructType([*case.fields, T.StructField("data", T.ArrayType(case))])
+    rows = spark.read.schema(both).option("multiLine", True).json(path)
     plain = rows.where(F.col("case_id").isNotNull()).drop("data")
     wrapped = rows.where(F.col("data").isNotNull()).select(F.inline("data"))
     out = plain.unionByName(wrapped)

@@ -51,9 +51,14 @@ def connections_with(spark, sf, *more) -> DataFrame:
 
 
 def dns(spark, sf) -> DataFrame:
+    return dns_of(table(spark, sf, "events"))
+
+
+def dns_of(events: DataFrame) -> DataFrame:
+    """The DNS view over any subset of the events table."""
     eid, uid = F.col("event_id"), F.col("user_id")
     digest = F.md5(_s(eid))
-    return table(spark, sf, "events").select(
+    return events.select(
         F.concat(F.lit("10.0."), _s(uid % 4), F.lit("."), _s(uid % 50 + 1)).alias("source_ip"),
         F.when(eid % 4 == 0, F.concat(F.translate(F.substring(digest, 1, 14), "012345", "bcdfgh"), F.lit(".com")))
         .when(eid % 4 == 1, F.concat(digest, F.lit(".tun"), _s(uid % 5), F.lit(".net")))
