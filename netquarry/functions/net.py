@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 # RFC 1918 ranges as string prefixes.
 PRIVATE_PREFIX = r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"
+# One octet, a whole address, and the ranges not routed outside.
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+IPV4 = "^" + r"\.".join([OCTET] * 4) + "$"
+NOT_ROUTED = r"^(10\.|127\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|169\.254\.)"
 # Fixed value: what counts as an IPv4 literal in a DNS answer.
 IPV4_LITERAL = r"^[0-9]+(\.[0-9]+)+$"
 
@@ -22,38 +26,42 @@ def is_internal(ip) -> Column:
     return F.coalesce(_c(ip).rlike(PRIVATE_PREFIX), F.lit(False))
 
 
-def octets(ip) -> Column:
-    """The four octets as ints, or null when the string is not dotted quad."""
-    parts = F.split(_c(ip), r"\.")
-    nums = F.transform(parts, lambda p: p.try_cast("int"))
-    valid = (F.size(parts) == 4) & F.forall(nums, lambda n: n.isNotNull() & n.between(0, 255))
-    return F.when(valid, nums)
+def is_ipv4(ip) -> Column:
+    """Four dot-separated numbers from 0 to 255; false for null."""
+    return F.coalesce(_c(ip).rlike(IPV4), F.lit(False))
 
 
 def ip_number(ip) -> Column:
     """IPv4 as bigint, null when malformed."""
-    return F.aggregate(octets(ip), F.lit(0).cast("bigint"), lambda acc, o: acc * 256 + o)
+    parts = F.split(_c(ip), r"\.")
+    a, b, c, d = (F.get(parts, F.lit(i)).try_cast("bigint") for i in range(4))
+    return F.when(is_ipv4(ip), a * 16777216 + b * 65536 + c * 256 + d)
 
 
 def is_enrichable(ip) -> Column:
     """True for addresses worth an outside lookup: well formed and not
     private, loopback or link-local."""
-    o = octets(ip)
-    a, b = F.get(o, F.lit(0)), F.get(o, F.lit(1))
-    private = (
-        (a == 10) | (a == 127)
-        | ((a == 172) & b.between(16, 31))
-        | ((a == 192) & (b == 168))
-        | ((a == 169) & (b == 254))
-    )
-    return F.coalesce(o.isNotNull() & ~private, F.lit(False))
+    return is_ipv4(ip) & ~F.coalesce(_c(ip).rlike(NOT_ROUTED), F.lit(False))
 
 
-def in_cidr(ip, cidr: str) -> Column:
-    """Membership in a literal IPv4 network."""
+def cidr_pattern(cidr: str) -> str:
+    """A literal IPv4 network as one regular expression: whole octets as they
+    are, the split octet as its range, the rest as any octet."""
     net = ipaddress.ip_network(cidr, strict=False)
-    lo, hi = int(net.network_address), int(net.broadcast_address)
-    return F.coalesce(ip_number(ip).between(lo, hi), F.lit(False))
+    whole, rest = divmod(net.prefixlen, 8)
+    first = str(net.network_address).split(".")
+    parts = first[:whole]
+    if rest:
+        low = int(first[whole])
+        parts.append("(?:" + "|".join(str(n) for n in range(low, low + 2 ** (8 - rest))) + ")")
+    parts += [OCTET] * (4 - len(parts))
+    return "^" + r"\.".join(parts) + "$"
+
+
+def in_cidr(ip, cidr: str) -> Column:
+    """Membership in a literal IPv4 network: one compiled pattern per rule, so
+    it costs the same inside and outside generated code."""
+    return F.coalesce(_c(ip).rlike(cidr_pattern(cidr)), F.lit(False))
 
 
 def subnet24(ip) -> Column:

@@ -295,7 +295,7 @@ def push_payload(cases: DataFrame) -> DataFrame:
 
 def push_indicators(cases: DataFrame, assets: DataFrame) -> DataFrame:
     """One indicator row per case asset: type 1 for addresses, else 6."""
-    is_ip = net.octets("asset").isNotNull() | F.contains(F.col("asset"), F.lit(":"))
+    is_ip = net.is_ipv4("asset") | F.contains(F.col("asset"), F.lit(":"))
     tags = cases.select("case_id", F.array_join(F.slice("mitre_techniques", 1, 5), ",").alias("ioc_tags"))
     return assets.join(tags, "case_id").select(
         F.col("case_id").alias("case_soc_id"), F.col("asset").alias("ioc_value"),

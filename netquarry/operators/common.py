@@ -151,8 +151,3 @@ def first_listed_match(df: DataFrame, text: str, needles: DataFrame, out: str) -
     pairs = substring_matches(df, text, needles, "needle").join(needles, "needle")
     best = pairs.groupBy(text).agg(F.min(F.struct("ordinal", "needle")).getField("needle").alias(out))
     return df.join(best, text, "left")
-
-
-def keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Give a keyless frame one constant key so the same joins serve both."""
-    return (df, list(keys)) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from netquarry import fixed_values as fv
 from netquarry.functions.times import severity_name, severity_rank
-from netquarry.operators.common import keyed
 
 
 def dedup_findings(findings: DataFrame, keys: Sequence[str] = (), agent_order: str = "agent") -> DataFrame:
@@ -77,10 +76,17 @@ def is_progression(tactics: Column) -> Column:
     return (F.size(tactics) >= 2) & F.forall(names, lambda x: x)
 
 
+def _attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Columns of a one-row-per-key frame: a join on the keys, or scalar
+    subqueries where there is a single assessment."""
+    if keys:
+        return df.join(per_key.select(*keys, *columns), list(keys))
+    return df.withColumns({c: per_key.select(c).scalar() for c in columns})
+
+
 def kill_chain(outputs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Multiply by 1.5 when the families' tactics, in priority order, form a
     progression. The list per assessment is bounded by the family registry."""
-    outputs, keys = keyed(outputs, keys)
     priority = F.col("priority") if "priority" in outputs.columns else F.lit(0.0)
     ordered = F.array_sort(
         F.collect_list(F.struct(F.negative(priority).alias("p"), F.col("agent").alias("a"), F.col("mitre_tactics").alias("t")))
@@ -88,7 +94,7 @@ def kill_chain(outputs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     chains = outputs.groupBy(*keys).agg(
         F.flatten(F.transform(ordered, lambda s: s.getField("t"))).alias("tactic_chain")
     ).withColumn("chain_multiplier", F.when(is_progression(F.col("tactic_chain")), 1.5).otherwise(1.0))
-    return outputs.join(chains, keys).withColumn(
+    return _attach(outputs, chains, keys, ("tactic_chain", "chain_multiplier")).withColumn(
         "chain_confidence", F.least(F.col("boosted_confidence") * F.col("chain_multiplier"), F.lit(1.0))
     )
 
@@ -147,7 +153,6 @@ def assess(
     outputs: DataFrame, keys: Sequence[str] = (), fp_rates: DataFrame | None = None
 ) -> DataFrame:
     """One assessment per key from the family outputs."""
-    outputs, keys = keyed(outputs, keys)
     scored = score_outputs(outputs, keys, fp_rates)
     a = F.col("adjusted_confidence")
     out = scored.groupBy(*keys).agg(
@@ -175,7 +180,7 @@ def assess(
         .drop("_max", "_strong", "_advice")
     )
     similarity = technique_similarity(drop_empty(outputs), keys)
-    return out.join(similarity, keys).drop("_all")
+    return _attach(out, similarity, keys, ("correlation_score",))
 
 
 def apply_adjustments(outputs: DataFrame, adjustments: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -85,7 +85,7 @@ def queue_counts(queue: DataFrame) -> DataFrame:
 def enrich(indicators: DataFrame, intel: DataFrame) -> DataFrame:
     """Verdict per indicator (address or domain); private addresses are
     answered as internal without a lookup."""
-    is_address = net.octets("indicator").isNotNull()
+    is_address = net.is_ipv4("indicator")
     scored = score_indicators(intel).select("indicator", "score", "verdict")
     out = indicators.join(scored, "indicator", "left")
     return out.select(

@@ -175,9 +175,10 @@ def condition_sql(condition, names: Sequence[str], column: Mapping[str, str]) ->
     return "".join(parts)
 
 
-def match_events(events: DataFrame, rules: Iterable[Rule], data_type: str) -> DataFrame:
-    """(rule_id, level, data_type, event as JSON, timestamp) for every match;
-    all rules of the type are evaluated in one projection of one scan."""
+def match_events(events: DataFrame, rules: Iterable[Rule], data_type: str, encode: bool = True) -> DataFrame:
+    """(rule_id, level, data_type, event, timestamp) for every match; all rules
+    of the type are evaluated in one projection of one scan. The event is JSON,
+    or a struct when ``encode`` is off."""
     rules = [r for r in rules if r.data_type == data_type]
     columns = events.columns
     flags, hits = {}, []
@@ -186,33 +187,28 @@ def match_events(events: DataFrame, rules: Iterable[Rule], data_type: str) -> Da
         for n, flag in names.items():
             flags[flag] = selection_column(rule.selections[n], columns, data_type)
         test = F.expr(condition_sql(rule.condition, list(names), names))
-        hits.append(F.when(test, F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.level).alias("level"))))
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
+        hits.append(F.when(test, F.lit(i)).otherwise(F.lit(-1)))
+    # array_remove, unlike a filter lambda, stays in generated code, where
+    # sub-expressions shared by the rules are computed once per row.
+    found = F.array_remove(F.array(*hits), -1)
+    body = F.struct(*[F.col(f"`{c}`") for c in columns])
     ts = F.col("timestamp") if "timestamp" in columns else F.lit(None).cast("timestamp")
     return (
         events.withColumns(flags)
         .withColumn("_hits", found)
         .where(F.size("_hits") > 0)
         .select(
-            F.explode("_hits").alias("_h"), F.lit(data_type).alias("data_type"),
-            F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("event"), ts.alias("timestamp"),
+            F.explode("_hits").alias("_i"), F.lit(data_type).alias("data_type"),
+            (F.to_json(body) if encode else body).alias("event"), ts.alias("timestamp"),
+        )
+        .select(
+            F.element_at(F.array(*[F.lit(r.id) for r in rules]), F.col("_i") + 1).alias("rule_id"),
+            F.element_at(F.array(*[F.lit(r.level) for r in rules]), F.col("_i") + 1).alias("level"),
+            "data_type", "event", "timestamp",
         )
-        .select("_h.rule_id", "_h.level", "data_type", "event", "timestamp")
     )
 
 
-def scan(bundle: Mapping[str, DataFrame], rules: Iterable[Rule]) -> DataFrame:
-    """Matches over all data types that have both events and rules."""
-    rules = list(rules)
-    parts = [
-        match_events(df, rules, name)
-        for name, df in bundle.items() if any(r.data_type == name for r in rules)
-    ]
-    if not parts:
-        raise ValueError("no rule applies to the given data types")
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def level_rank(level: str = "level") -> Column:
     return F.coalesce(*[F.when(F.col(level) == k, F.lit(v)) for k, v in LEVELS.items()], F.lit(5))
 
@@ -221,9 +217,11 @@ def summarize(matches: DataFrame, report_cap: int = 100, samples: int = 5) -> Da
     """Per rule: all matches, the number a report shows, and sample events in
     time order; most severe first."""
     counts = matches.groupBy("rule_id", "level", "data_type").agg(F.count(F.lit(1)).alias("matches"))
+    first = top_rows(matches, ["rule_id"], [F.asc("timestamp"), F.asc("event")], samples, "_n")
+    if matches.schema["event"].dataType.typeName() == "struct":
+        first = first.withColumn("event", F.to_json("event"))
     first = (
-        top_rows(matches, ["rule_id"], [F.asc("timestamp"), F.asc("event")], samples, "_n")
-        .groupBy("rule_id")
+        first.groupBy("rule_id")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "event"))), lambda s: s.getField("event")).alias("sample_events"))
     )
     return (
@@ -233,6 +231,32 @@ def summarize(matches: DataFrame, report_cap: int = 100, samples: int = 5) -> Da
     )
 
 
+def _applicable(bundle: Mapping[str, DataFrame], rules: Iterable[Rule]) -> list[str]:
+    types = {r.data_type for r in rules}
+    names = [n for n in bundle if n in types]
+    if not names:
+        raise ValueError("no rule applies to the given data types")
+    return names
+
+
+def scan(bundle: Mapping[str, DataFrame], rules: Iterable[Rule]) -> DataFrame:
+    """Matches over all data types that have both events and rules."""
+    rules = list(rules)
+    parts = [match_events(bundle[n], rules, n) for n in _applicable(bundle, rules)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def scan_summary(bundle: Mapping[str, DataFrame], rules: Iterable[Rule], report_cap: int = 100, samples: int = 5) -> DataFrame:
+    """Per-rule summary over all data types, most severe first; only sampled
+    events are written out as JSON."""
+    rules = list(rules)
+    parts = [
+        summarize(match_events(bundle[n], rules, n, encode=False), report_cap, samples)
+        for n in _applicable(bundle, rules)
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts).orderBy(level_rank(), "rule_id")
+
+
 def rule_list(spark, rules: Iterable[Rule]) -> DataFrame:
     rows = [(r.id, r.title, r.level, r.status, r.category, r.data_type, r.tactics, r.techniques, str(r.condition)) for r in rules]
     return spark.createDataFrame(

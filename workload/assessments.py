@@ -9,7 +9,7 @@ from netquarry.operators import cases as cs
 from netquarry.operators import context as cx
 from netquarry.operators import correlate, intel, learning, reports, rollup, selection, sigma, vectors
 from netquarry.operators.common import first_listed_match
-from netquarry.plans import hunt
+from netquarry.session import stage
 from workload import views as v
 from workload.views import Registry, out
 
@@ -803,8 +803,8 @@ def script_logs(spark, sf):
 SELECT 'remote-service-execution' AS rule_id, 'high' AS level, count(*) AS matches FROM events WHERE event_id % 4 = 1 OR event_id % 5 IN (1, 2)
 UNION ALL SELECT 'office-child-process', 'high', count(*) FROM events WHERE event_id % 3 IN (0, 2) AND event_id % 4 IN (0, 3)""")
 def _(spark, sf):
-    m = sigma.match_events(process_logs(spark, sf), sigma.SHIPPED_RULES, "process_logs")
-    return out(sigma.summarize(m), "rule_id", "level", "matches")
+    got = sigma.scan_summary({"process_logs": process_logs(spark, sf)}, sigma.SHIPPED_RULES)
+    return out(got, "rule_id", "level", "matches")
 
 
 @R.add("rule_scan_dns", """
@@ -822,7 +822,8 @@ def _(spark, sf):
         r("one-of-them", {"com": {"domain": "*.com"}, "nx": {"response_code": "nxdomain"}}, "1 of them"),
         r("all-of-pair", {"sel_a": {"domain": "*.com"}, "sel_b": {"response_code": "nxdomain"}}, "all of sel_*"),
     )
-    return out(sigma.summarize(sigma.match_events(v.dns(spark, sf), rules, "dns_queries")), "rule_id", "matches")
+    log = stage(v.dns(spark, sf), "dns")
+    return out(sigma.scan_summary({"dns_queries": log}, rules), "rule_id", "matches")
 
 
 @R.add("rule_scan_texts", """
@@ -831,4 +832,12 @@ UNION ALL SELECT 'keyword', count(*), least(count(*), 100) FROM documents WHERE
 def _(spark, sf):
     r = lambda i, sel, cond: sigma.Rule(i, i, "low", "ps_script", sel, cond)
     rules = (r("two-words", {"s": {"ScriptBlockText|contains|all": ["the", "License"]}}, "s"), r("keyword", {"k": ["Copyright", "@"]}, "k"))
-    return out(sigma.summarize(sigma.match_events(script_logs(spark, sf), rules, "powershell_logs")), "rule_id", "matches", "match_count")
+    return out(sigma.scan_summary({"powershell_logs": script_logs(spark, sf)}, rules), "rule_id", "matches", "match_count")
+
+
+@R.add("rule_matches", """
+SELECT 'remote-service-execution' AS rule_id, 'host' || user_id AS hostname, epoch_us(ts) AS seen FROM events WHERE event_id % 4 = 1 OR event_id % 5 IN (1, 2)
+UNION ALL SELECT 'office-child-process', 'host' || user_id, epoch_us(ts) FROM events WHERE event_id % 3 IN (0, 2) AND event_id % 4 IN (0, 3)""")
+def _(spark, sf):
+    m = sigma.scan({"process_logs": process_logs(spark, sf)}, sigma.SHIPPED_RULES)
+    return out(m.select("rule_id", F.get_json_object("event", "$.hostname").alias("hostname"), F.unix_micros("timestamp").alias("seen")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from netquarry import fixed_values as fv
 from netquarry.operators import devices, gateways, graph, netmap
 from netquarry.plans import profiling
+from netquarry.session import stage
 from workload import views as v
 from workload.views import Registry, out
 
@@ -415,11 +416,18 @@ _VIEW = _NODES + """,
  vn AS (SELECT ip, b.id AS node_id, b.s AS sensor_id, b.v AS vlan, total_connections, vlans, sensors FROM vw)"""
 
 
+def _graph(spark, sf):
+    """The stored edge table and the staged view of the busiest nodes."""
+    c = v.connections(spark, sf)
+    e = stage(netmap.edges(c), "edges")
+    return e, stage(graph.view_nodes(netmap.nodes(e, netmap.services(c)), 120), "view")
+
+
 @R.add("graph_nodes", f"""
 WITH {_VIEW.strip()} SELECT node_id, ip, total_connections, array_to_string(vlans, ',') AS vlans, array_to_string(sensors, ',') AS sensors,
   {_NET24.format('ip')} AS subnet, round(least(total_connections / 10, 50.0), 6) AS size, CASE WHEN vlan <> '0' THEN ip || ' (v' || vlan || ')' ELSE ip END AS label, 3::BIGINT AS tier FROM vn""", ("v_conn",))
 def _(spark, sf):
-    view = graph.view_nodes(_map(spark, sf)[0], 120)
+    _, view = _graph(spark, sf)
     return out(graph.payload(view), "node_id", "ip", "total_connections", "vlans", "sensors", "subnet", "size", "label", "tier")
 
 
@@ -430,8 +438,7 @@ WITH {_VIEW.strip()},
  r AS (SELECT *, NOT {_INT.format('peer')} AS external FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY node_id, direction, external ORDER BY n DESC, peer) AS rank FROM r)
 SELECT * FROM k WHERE rank <= CASE WHEN external THEN 50 ELSE 30 END""", ("v_conn",))
 def _(spark, sf):
-    n, e, _ = _map(spark, sf)
-    return out(graph.peers(e, graph.view_nodes(n, 120)))
+    return out(graph.peers(*_graph(spark, sf)))
 
 
 @R.add("graph_internet_node", f"""
@@ -440,8 +447,7 @@ WITH {_VIEW.strip()},
    UNION ALL SELECT e.src, 0 FROM e JOIN vn ON e.dst = vn.ip AND e.sensor_id = vn.sensor_id AND e.vlan = vn.vlan WHERE NOT {_INT.format('e.src')})
 SELECT '__internet__' AS node_id, count(DISTINCT peer) AS unique_ips, CAST(sum(n) AS BIGINT) AS total_connections FROM p""", ("v_conn",))
 def _(spark, sf):
-    n, e, _ = _map(spark, sf)
-    return out(graph.internet_node(e, graph.view_nodes(n, 120)))
+    return out(graph.internet_node(*_graph(spark, sf)))
 
 
 @R.add("graph_edges", f"""
@@ -453,8 +459,7 @@ SELECT m.f AS from_id, m.t AS to_id, -m.n AS value FROM u
 UNION ALL SELECT vn.node_id, '__internet__', CAST(sum(e.n) AS BIGINT) FROM e JOIN vn ON e.src = vn.ip AND e.sensor_id = vn.sensor_id AND e.vlan = vn.vlan
   WHERE NOT {_INT.format('e.dst')} GROUP BY 1""", ("v_conn",))
 def _(spark, sf):
-    n, e, _ = _map(spark, sf)
-    view = graph.view_nodes(n, 120)
+    e, view = _graph(spark, sf)
     return out(graph.view_edges(e, view).unionByName(graph.internet_edges(e, view)))
 
 
