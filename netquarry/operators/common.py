@@ -21,10 +21,29 @@ def smallest_values(df: DataFrame, keys: Sequence[str], value: str, n: int, out:
     return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(out))
 
 
-def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
-    """The first ``n`` rows per key in the given order."""
+# Spark cuts groups before the shuffle only for ranks up to this many rows
+# (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+SALTS = 64
+
+
+def top_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank", salted: bool | None = None
+) -> DataFrame:
+    """The first ``n`` rows per key in the given (full) order.
+
+    Up to ``GROUP_LIMIT`` rows Spark limits each group before the shuffle. For
+    more, a first rank inside salted parts of each group does the same, so one
+    task never sorts a whole hot group.
+    """
+    rows = df
+    if n > GROUP_LIMIT if salted is None else salted:
+        part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS))
+        inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        rows = df.withColumn("_salt", part).withColumn("_part", F.row_number().over(inner))
+        rows = rows.where(F.col("_part") <= n).drop("_salt", "_part")
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
+    return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -110,8 +129,21 @@ def interarrival(
     )
 
 
-def round6(value) -> Column:
-    return F.round(value, 6)
+def following(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str], out: str, seconds: Column, bucket_seconds: int = 600
+) -> DataFrame:
+    """Attach the fields of the next row of the same key as a struct, null at
+    the end. The order runs inside time buckets; the last row of a bucket gets
+    the first row of the key's next bucket, so a hot key is split by time."""
+    keys = list(keys)
+    rows = df.withColumn("_b", F.floor(seconds / bucket_seconds))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    rows = rows.withColumn(out, F.lead(F.struct(*fields)).over(inside))
+    first = rows.groupBy(*keys, "_b").agg(F.min(F.struct(*order, F.struct(*fields).alias("_f"))).alias("_first"))
+    across = Window.partitionBy(*keys).orderBy("_b")
+    nexts = first.withColumn("_next", F.lead("_first").over(across).getField("_f")).drop("_first")
+    joined = left_join_all(rows, [nexts], [*keys, "_b"])
+    return joined.withColumn(out, F.coalesce(out, "_next")).drop("_b", "_next")
 
 
 def substring_matches(texts: DataFrame, text: str, needles: DataFrame, needle: str, gram: int = 6) -> DataFrame:

@@ -3,11 +3,11 @@ proto, flags, length, time (epoch seconds), payload."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.config import PacketConfig
-from netquarry.operators.common import interarrival, left_join_all, smallest_values
+from netquarry.operators.common import following, interarrival, left_join_all, smallest_values
 
 # Ports on which HTTP is expected, and the inputs of each family.
 WEB_PORTS = (80, 443, 8080, 8443)
@@ -39,11 +39,12 @@ def dns_lookups(messages: DataFrame) -> DataFrame:
     ``messages``: client, server, client_port, dns_id, is_response, qname,
     rcode, time. Code 3 marks the query NXDOMAIN.
     """
-    w = Window.partitionBy("client", "server", "client_port", "dns_id").orderBy("time", "is_response")
-    rows = messages.withColumn("_next_is", F.lead("is_response").over(w)).withColumn("_next_code", F.lead("rcode").over(w))
+    rows = following(
+        messages, ["client", "server", "client_port", "dns_id"], ["time", "is_response"], ["is_response", "rcode"], "reply", F.col("time")
+    )
     return rows.where(~F.col("is_response")).select(
         F.col("client").alias("source_ip"), F.regexp_replace("qname", r"\.+$", "").alias("domain"),
-        F.when(F.col("_next_is") & (F.col("_next_code") == 3), "NXDOMAIN").alias("response_code"), "time",
+        F.when(F.col("reply.is_response") & (F.col("reply.rcode") == 3), "NXDOMAIN").alias("response_code"), "time",
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from netquarry.functions import net, text, times
 from netquarry.operators import cases, context, correlate, devices, gateways, intel, learning, netmap, normalize, packets, profiles, rollup, selection, sigma
-from netquarry.operators.common import first_listed_match, smallest_values, substring_matches
+from netquarry.operators.common import first_listed_match, following, smallest_values, substring_matches, top_rows
 
 
 def column(frame, values, fn, ddl="string"):
@@ -80,6 +80,29 @@ def test_first_listed_match_keeps_duplicates(frame):
     assert got == {("a.pool.x", "a."): 2, ("none", None): 1}
 
 
+def test_salted_top_rows_equal_the_plain_ones(frame):
+    rng = random.Random(6)
+    rows = [("hot", rng.randint(0, 300), i) for i in range(3000)] + [("cold", 1, i) for i in range(3)]
+    df = frame(rows, "k string, n int, id int")
+    order = [F.desc("n"), F.asc("id")]
+    plain, salted = (sorted(map(tuple, top_rows(df, ["k"], order, 50, salted=s).collect())) for s in (False, True))
+    assert plain == salted and len(plain) == 53
+    assert top_rows(df, ["k"], order, 2000).count() == 2003
+
+
+def test_following_does_not_depend_on_buckets(frame):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), float(rng.randint(0, 4000)), i) for i in range(300)]
+    df = frame(rows, "k string, t double, id int")
+    want = {}
+    for k in "ab":
+        mine = sorted((t, i) for kk, t, i in rows if kk == k)
+        want.update({a[1]: (b[1] if b else None) for a, b in zip(mine, [*mine[1:], None])})
+    for bucket in (3, 500, 10**9):
+        got = following(df, ["k"], ["t", "id"], ["id"], "nx", F.col("t"), bucket)
+        assert {r.id: r.nx.id if r.nx else None for r in got.collect()} == want
+
+
 def test_smallest_values_per_key(frame):
     rows = [("k", str(i % 40).zfill(2)) for i in range(400)] + [("m", None)]
     got = {r.k: r.v for r in smallest_values(frame(rows, "k string, x string"), ["k"], "x", 3, "v").collect()}
