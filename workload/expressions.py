@@ -232,7 +232,7 @@ def _(spark, sf):
 WITH a AS (SELECT source_ip, destination_ip, destination_port, ts, 0 AS r, bytes_out FROM v_conn WHERE sensor_id <> 'sensor0'
   UNION ALL SELECT source_ip, destination_ip, destination_port, ts, 1, bytes_out FROM v_conn WHERE sensor_id <> 'sensor1'),
  p AS (SELECT source_ip, destination_ip, destination_port, ts, min({'r': r, 'b': bytes_out}) AS k FROM a GROUP BY ALL)
-SELECT k.r AS source_rank, count(*) AS connections, CAST(sum(k.b) AS BIGINT) AS bytes_out FROM p GROUP BY 1""", ("v_conn",))
+SELECT CAST(k.r AS BIGINT) AS source_rank, count(*) AS connections, CAST(sum(k.b) AS BIGINT) AS bytes_out FROM p GROUP BY 1""", ("v_conn",))
 def _(spark, sf):
     c = v.connections(spark, sf).select("source_ip", "destination_ip", "destination_port", "timestamp", "bytes_out", "sensor_id")
     merged = normalize.merge_sources([c.where("sensor_id <> 'sensor0'").drop("sensor_id"), c.where("sensor_id <> 'sensor1'").drop("sensor_id")])
