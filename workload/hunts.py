@@ -79,10 +79,10 @@ def _(spark, sf):
 
 
 @R.add("hunt_recommendations", f"""
-WITH {_ROLLUP.strip()}, n AS (SELECT agent, count(DISTINCT activity_type) AS kinds FROM f GROUP BY 1)
-SELECT agent, kinds, kinds + 1 + CASE agent WHEN 'c2_hunter' THEN CAST(bool_or_b AS BIGINT) WHEN 'reconnaissance_hunter' THEN 2
-  WHEN 'collection_exfiltration_hunter' THEN 1 WHEN 'impact_hunter' THEN 4 ELSE 0 END AS advice
-FROM (SELECT n.*, (SELECT count(*) > 0 FROM f WHERE activity_type = 'c2_beaconing') AS bool_or_b FROM n)""")
+WITH {_ROLLUP.strip()}, n AS (SELECT DISTINCT agent, activity_type FROM f)
+SELECT agent, count(*) AS kinds, CAST(1 + sum(CASE activity_type WHEN 'ransomware_spread' THEN 3 WHEN 'c2_beaconing' THEN 2 WHEN 'port_scanning' THEN 2
+  WHEN 'dns_reconnaissance' THEN 2 WHEN 'cloud_exfiltration' THEN 2 WHEN 'cryptomining' THEN 2 WHEN 'ddos_participation' THEN 2 ELSE 1 END) AS BIGINT) AS advice
+FROM n GROUP BY 1""")
 def _(spark, sf):
     rows = findings.run_detections(bundle(spark, sf), CFG, keep=stage)
     r = rollup.agent_rollup(rows)
@@ -109,11 +109,13 @@ def _(spark, sf):
 
 
 @R.add("hunt_cases", f"""
-WITH {_ROLLUP.strip()} SELECT 'auto_respond' AS escalation_level, 'critical' AS severity, CAST(sum(findings) AS BIGINT) AS findings, count(DISTINCT agent) AS agents FROM sev""")
+WITH a AS ({R.sql["hunt_assessment"]})
+SELECT CASE WHEN final_confidence >= 0.95 THEN 'auto_respond' WHEN final_confidence >= 0.8 THEN 'auto_investigate' ELSE 'human_review' END AS escalation_level,
+  severity, total_findings AS findings FROM a WHERE final_confidence >= 0.6""")
 def _(spark, sf):
     r = hunt.run_hunt(bundle(spark, sf), CFG, staged=True)
     links = r.case_findings.groupBy("case_id").agg(F.count(F.lit(1)).alias("findings"))
-    return out(r.cases.join(links, "case_id").withColumn("agents", F.lit(5)), "escalation_level", "severity", "findings", "agents")
+    return out(r.cases.join(links, "case_id"), "escalation_level", "severity", "findings")
 
 
 # --- windows ----------------------------------------------------------------
