@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netquarry.llm import labelled, quality_model, quality_rules, secrets, textkit, toxicity
+from netquarry.llm import (
+    decontaminate, labelled, mixing, quality_model, quality_rules, secrets, sharding, textkit, toxicity, url_filters,
+)
 
 for _module in (labelled, quality_model, quality_rules, secrets, textkit, toxicity):
     textkit.ship(_module)
@@ -43,3 +46,85 @@ def op6_toxicity(spark, sf_dir):
 @query
 def op9_quality_model(spark, sf_dir):
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_hilbert_shards(spark, sf_dir):
+    return sharding.digest(sharding.hilbert_shards(table(spark, sf_dir, "documents")))
+
+
+@query
+def op5_decontaminate(spark, sf_dir):
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(*leaks)
+
+
+#: The tables have no domain: half of the sources, by hash, count as web, the others as books.
+DOMAIN = "CASE WHEN substr(md5(source), 1, 1) < '8' THEN 'web' ELSE 'books' END"
+DOMAIN_WEIGHTS = {"web": 0.6, "books": 0.4}
+LANG_WEIGHTS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+MIX = mixing.MixConfig(budget=1.0, epochs=2)
+
+
+def weight_table(spark: SparkSession, level: str, weights: dict[str, float]) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(k).alias(level), F.lit(w).alias("weight")) for k, w in weights.items()])
+    return spark.range(1).select(F.inline(rows))
+
+
+def mixed(spark, docs: DataFrame, cfg: mixing.MixConfig):
+    with_domain = docs.select("doc_id", "text", "lang", "source", F.expr(DOMAIN).alias("domain"))
+    weights = {"domain": weight_table(spark, "domain", DOMAIN_WEIGHTS), "lang": weight_table(spark, "lang", LANG_WEIGHTS)}
+    return mixing.mix(with_domain, ("domain", "lang", "source"), weights, cfg)
+
+
+@query
+def op7_mixing(spark, sf_dir):
+    rows, _ = mixed(spark, table(spark, sf_dir, "documents"), MIX)
+    return rows
+
+
+def _case(column: str, weights: dict[str, float]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in weights.items()) + " ELSE 0::DOUBLE END"
+
+
+def _level_sql(before: str, name: str, keys: str, parent: str) -> str:
+    """One level's shares: children of a node, fullest first, until one has room to spare."""
+    return f"""{name}_kids AS (SELECT DISTINCT {keys}, b, w_{name} AS w, c_{name}::DOUBLE AS c FROM {before} WHERE w_{name} > 0),
+{name}_rates AS (SELECT *, (b - coalesce(sum(c) OVER (PARTITION BY {parent} ORDER BY c / w, {keys} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (PARTITION BY {parent} ORDER BY c / w, {keys} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM {name}_kids),
+{name}_open AS (SELECT *, min_by(rate, c / w) FILTER (WHERE c > rate * w) OVER (PARTITION BY {parent}) AS open_rate FROM {name}_rates),
+{name}_given AS (SELECT t.* EXCLUDE (b), coalesce(CASE WHEN o.open_rate IS NULL THEN o.c ELSE least(o.c, o.open_rate * o.w) END, 0) AS b
+  FROM {before} t LEFT JOIN {name}_open o USING ({keys}))"""
+
+
+SQL["op7_mixing"] = f"""
+WITH docs AS (SELECT doc_id, {DOMAIN} AS domain, lang, source,
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS available FROM docs GROUP BY ALL),
+tree AS (SELECT *, available * {MIX.epochs} AS c_source, sum(available * {MIX.epochs}) OVER (PARTITION BY domain, lang) AS c_lang,
+  sum(available * {MIX.epochs}) OVER (PARTITION BY domain) AS c_domain, {_case('domain', DOMAIN_WEIGHTS)} AS w_domain,
+  {_case('lang', LANG_WEIGHTS)} AS w_lang, 1::DOUBLE AS w_source,
+  least((sum(available) OVER ()) * {MIX.budget}, sum(available * {MIX.epochs}) OVER ())::DOUBLE AS b FROM leaves),
+{_level_sql('tree', 'domain', 'domain', '1')},
+{_level_sql('domain_given', 'lang', 'domain, lang', 'domain')},
+{_level_sql('lang_given', 'source', 'domain, lang, source', 'domain, lang')},
+plan AS (SELECT domain, lang, source, available, floor(b + 1e-6)::BIGINT AS budget FROM source_given),
+keyed AS (SELECT d.*, CASE WHEN available > 0 THEN budget // available ELSE 1 END AS whole,
+  CASE WHEN available > 0 THEN budget % available ELSE 0 END AS rest FROM docs d JOIN plan USING (domain, lang, source)),
+ordered AS (SELECT *, md5('{MIX.seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')) AS k FROM keyed),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY k) - sum(tokens) OVER (PARTITION BY domain, lang, source, k) AS before FROM ordered)
+SELECT doc_id, domain, lang, source, tokens, (whole + CASE WHEN before < rest THEN 1 ELSE 0 END)::INTEGER AS copies FROM summed
+"""
+
+#: Host, path and decision, as the contract of the query states them.
+URL_RULES = (
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
+)
+
+
+@query
+def op8_url_filters(spark, sf_dir):
+    rules = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(d).alias("decision")) for h, p, d in URL_RULES
+    ])))
+    return url_filters.url_verdicts(table(spark, sf_dir, "pages"), rules)
