@@ -1 +1,8 @@
 """Operators for training-data pipelines; nothing else in the library imports them."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel with the tasks: executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

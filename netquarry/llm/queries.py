@@ -6,12 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.llm import (
-    decontaminate, labelled, mixing, quality_model, quality_rules, secrets, sharding, textkit, toxicity, url_filters,
+    decontaminate, mixing, near_dedup, passages, quality_model, quality_rules, secrets, sharding, toxicity, url_filters,
 )
 
-for _module in (labelled, quality_model, quality_rules, secrets, textkit, toxicity):
-    textkit.ship(_module)
-
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -128,3 +125,20 @@ def op8_url_filters(spark, sf_dir):
         F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(d).alias("decision")) for h, p, d in URL_RULES
     ])))
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"), rules)
+
+
+@query
+def op1_near_dedup(spark, sf_dir):
+    return near_dedup.digest(near_dedup.near_components(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_passages(spark, sf_dir):
+    return passages.digest(passages.repeated_passages(table(spark, sf_dir, "documents")))
+
+
+@query
+def pipeline(spark, sf_dir):
+    import corpus_pipeline  # it uses the tables and weights above
+
+    return corpus_pipeline.run(spark, sf_dir)

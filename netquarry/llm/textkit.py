@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 SLICE = 1 << 20
@@ -137,9 +136,3 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
             yield pa.RecordBatch.from_pydict(fn(part))
 
     return df.mapInArrow(run, schema)
-
-
-def ship(*modules) -> None:
-    """Send these modules' code with the tasks, so that executors need no copy of the library."""
-    for module in modules:
-        cloudpickle.register_pickle_by_value(module)
