@@ -138,16 +138,23 @@ def base_failed(cfg: RuleConfig) -> Column:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X ~ Binomial(n, p), summed from k downwards until terms vanish."""
+    """P(X <= k) for X ~ Binomial(n, p), summed from its largest term until terms vanish."""
     if k >= n:
         return 1.0
-    log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
-    term = total = math.exp(log)
-    mode = n * p
-    for i in range(k, 0, -1):
+    top = min(k, int(n * p))
+    log = math.lgamma(n + 1) - math.lgamma(top + 1) - math.lgamma(n - top + 1) + top * math.log(p) + (n - top) * math.log1p(-p)
+    first = total = math.exp(log)
+    term = first
+    for i in range(top, 0, -1):
         term *= i * (1 - p) / ((n - i + 1) * p)
         total += term
-        if i < mode and term < total * 1e-15:
+        if term < total * 1e-17:
+            break
+    term = first
+    for i in range(top + 1, k + 1):
+        term *= (n - i + 1) * p / (i * (1 - p))
+        total += term
+        if term < total * 1e-17:
             break
     return min(1.0, total)
 

@@ -222,8 +222,9 @@ def _stems(docs: DataFrame, known: DataFrame, features: np.ndarray, cfg: PuConfi
     return np.sort(np.array([r["stem"] for r in textkit.map_arrow(sample.select("text"), rows, "stem bigint").distinct().collect()], np.int64))
 
 
-def score_texts(docs: DataFrame, model: Model | None, cfg: PuConfig = PuConfig(), text_col: str = "text") -> DataFrame:
-    """All input columns and ``score``, the estimated probability that a text is toxic."""
+def score_texts(docs: DataFrame, model: Model | None, cfg: PuConfig = PuConfig(), text_col: str = "text",
+                out: str = "score") -> DataFrame:
+    """All input columns and ``out``, the estimated probability that a text is toxic."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     text_at = f"c{docs.columns.index(text_col)}"
 
@@ -237,7 +238,7 @@ def score_texts(docs: DataFrame, model: Model | None, cfg: PuConfig = PuConfig()
         return {c: part.column(c) for c in names} | {"score": scores}
 
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    return textkit.map_arrow(docs.toDF(*names), rows, f"{kinds}, score double", text=text_at).toDF(*docs.columns, "score")
+    return textkit.map_arrow(docs.toDF(*names), rows, f"{kinds}, score double", text=text_at).toDF(*docs.columns, out)
 
 
 def classify(docs: DataFrame, labels: DataFrame, cfg: PuConfig = PuConfig(), id_col: str = "doc_id") -> DataFrame:
@@ -252,5 +253,7 @@ def classify(docs: DataFrame, labels: DataFrame, cfg: PuConfig = PuConfig(), id_
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cfg: PuConfig = PuConfig()) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns."""
-    scored = score_texts(docs, train(docs, labels, cfg), cfg)
-    return scored.where(scored[scored.columns[-1]] < cfg.threshold).drop(scored.columns[-1])
+    score = "_score"
+    while score in docs.columns:
+        score += "_"
+    return score_texts(docs, train(docs, labels, cfg), cfg, out=score).where(F.col(score) < cfg.threshold).drop(score)
