@@ -10,9 +10,10 @@ document and end before the document does (positional and length bounds), and
 what remains is compared word for word.
 
 Documents are scanned once for occurrences of benchmark shingles, which are
-hashes here and so a superset of the true ones; the table of those shingles
-is broadcast only if it was counted to be small, else the join is shuffled.
-Only documents with candidates are read again.
+hashes here and so a superset of the true ones; an occurrence carries the few
+words around it that any window through it could have, so texts are neither
+shuffled nor read again. The shingles are broadcast in blocks of a bounded
+size; a benchmark with more of them than one block takes a scan per block.
 
 A null text has no words; a window without words does not exist. Rows that
 agree in id and text get equal results, one each; a repeated item id stands
@@ -38,7 +39,7 @@ ROW = 0  # stands for a document itself among the shingles
 class LeakConfig:
     window: int = 10
     shingle: int = 3
-    broadcast_rows: int = 2_000_000
+    block_rows: int = 2_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -46,9 +47,9 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAKS), "")
 
 
-def _rough_hashes(text: Column) -> Column:
-    """Hashes of the words, all letters lower-cased: equal words have equal hashes, a few others too."""
-    return F.transform(F.array_remove(F.split(F.coalesce(text, F.lit("")), BREAKS), ""), lambda w: F.xxhash64(F.lower(w)))
+def _rough_hashes(words: Column) -> Column:
+    """Hashes of words, all letters lower-cased: equal words have equal hashes, a few others too."""
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
 def _shingles(hashes: Column, size: int) -> Column:
@@ -66,30 +67,44 @@ def item_windows(benchmark: DataFrame, cfg: LeakConfig, id_col: str = "item_id",
 
 
 def window_tokens(windows: DataFrame, cfg: LeakConfig) -> DataFrame:
-    """(window, size, offset, token): the shingles of each distinct window."""
+    """(window, size, offset, token, part): the shingles of each distinct window, ``part`` words long."""
     part = F.least(F.col("size"), F.lit(cfg.shingle))
-    hashes = windows.select("window", "size", part.alias("part")).distinct().withColumn("h", _rough_hashes(F.col("window")))
+    hashes = windows.select("window", "size", part.alias("part")).distinct().withColumn("h", _rough_hashes(F.split("window", " ")))
     by_size = None
     for size in range(1, cfg.shingle + 1):
         own = hashes.where(F.col("part") == size).select("window", "size", F.posexplode(_shingles(F.col("h"), size)).alias("offset", "token"))
-        own = own.where(F.col("offset") <= F.col("size") - size)
+        own = own.where(F.col("offset") <= F.col("size") - size).withColumn("part", F.lit(size))
         by_size = own if by_size is None else by_size.unionByName(own)
     return by_size
 
 
-def occurrences(docs: DataFrame, tokens: DataFrame, cfg: LeakConfig, sizes: list[int]) -> DataFrame:
-    """(id, text_key, n_words, token, at) of the listed shingles in all documents, and a ``ROW`` for each document."""
-    arrays = [F.array(F.lit(ROW).cast("bigint"))]
-    hashed = docs.withColumn("h", _rough_hashes(F.col("text")))
-    for size in sizes:
-        arrays.append(_shingles(F.col("h"), size))
-    # each size has its own block of n_words places after the document's own
-    found = hashed.select("id", "text_key", F.size("h").alias("n_words"), F.posexplode(F.concat(*arrays)).alias("place", "token"))
-    listed = tokens.select("token").distinct().unionByName(docs.sparkSession.range(1).select(F.lit(ROW).cast("bigint").alias("token")))
-    if tokens.count() <= cfg.broadcast_rows:
-        listed = F.broadcast(listed)
+def occurrences(docs: DataFrame, tokens: DataFrame, cfg: LeakConfig) -> DataFrame:
+    """(id, text_key, n_words, token, at, lead, around) of the listed shingles in all documents.
+
+    ``around`` are the words from ``lead`` words before the shingle on, up to
+    a window's length behind it. Every document also has one row with
+    ``at`` -1.
+    """
+    sizes = sorted(r[0] for r in tokens.select("part").distinct().collect())  # cfg.shingle values at most
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), BREAKS), "")
+    hashed = docs.select("id", "text_key", words.alias("w")).withColumn("h", _rough_hashes(F.col("w")))
+    # each size has its own stretch of n_words places behind the document's own
+    hashes = F.concat(F.array(F.lit(ROW).cast("bigint")), *[_shingles(F.col("h"), size) for size in sizes])
+    found = hashed.select("id", "text_key", "w", F.size("w").alias("n_words"), F.posexplode(hashes).alias("place", "token"))
     at = F.when(F.col("token") == ROW, F.lit(-1)).otherwise((F.col("place") - 1) % F.col("n_words"))
-    return found.join(listed, "token").select("id", "text_key", "n_words", "token", at.cast("int").alias("at"))
+    lead = F.when(F.col("at") < 0, F.lit(0)).otherwise(F.least(F.col("at"), F.lit(cfg.window - 1)))
+    around = F.when(F.col("at") >= 0, F.translate(F.array_join(F.slice("w", F.col("at") - F.col("lead") + 1, 2 * cfg.window), " "), UPPER, LOWER))
+    distinct = stage(tokens.select("token").distinct(), "leak-distinct")
+    blocks = max(1, -(-distinct.count() // cfg.block_rows))
+    out = None
+    for block in range(blocks):
+        listed = distinct.where(F.pmod("token", F.lit(blocks)) == block)
+        if block == 0:
+            listed = listed.unionByName(docs.sparkSession.range(1).select(F.lit(ROW).cast("bigint").alias("token")))
+        met = found.join(F.broadcast(listed), "token").withColumn("at", at.cast("int")).withColumn("lead", lead.cast("int"))
+        met = met.select("id", "text_key", "n_words", "token", "at", "lead", around.alias("around"))
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def find_leaks(
@@ -106,8 +121,7 @@ def find_leaks(
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     items = stage(item_windows(benchmark, cfg, item_col, item_text_col), "leak-items")
     tokens = stage(window_tokens(items, cfg), "leak-tokens")
-    sizes = sorted(r[0] for r in items.select(F.least("size", F.lit(cfg.shingle))).distinct().collect())  # cfg.shingle values at most
-    found = stage(occurrences(rows, tokens, cfg, sizes), "leak-shingles")
+    found = stage(occurrences(rows, tokens, cfg), "leak-shingles")
 
     seen = found.where(F.col("at") >= 0)
     counts = seen.groupBy("token").agg(F.count("*").alias("n"))
@@ -116,15 +130,13 @@ def find_leaks(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("best")
     )
     prefix = stage(rarity.where("best.n > 0").select("window", "size", "best.token", "best.offset"), "leak-prefix")
-    near = prefix.count() <= cfg.broadcast_rows
-    placed = seen.distinct().join(F.broadcast(prefix) if near else prefix, "token").withColumn("start", F.col("at") - F.col("offset"))
+    placed = seen.join(prefix, "token").withColumn("start", F.col("at") - F.col("offset"))
     bounded = placed.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n_words")))
-    tried = stage(
-        bounded.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "size", "window")).alias("tries")), "leak-tries"
-    ).withColumnsRenamed({"id": "_id", "text_key": "_key"})
-    checked = rows.join(tried, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).withColumn("w", words_of(F.col("text")))
-    spans = F.filter("tries", lambda t: F.array_join(F.slice(F.col("w"), t["start"] + 1, t["size"]), " ") == t["window"])
-    true = stage(checked.select("id", "text_key", spans.alias("spans")).where(F.size("spans") > 0).distinct(), "leak-spans")
+    there = F.array_join(F.slice(F.split("around", " "), F.col("lead") - F.col("offset") + 1, F.col("size")), " ")
+    true = stage(
+        bounded.where(there == F.col("window")).groupBy("id", "text_key")
+        .agg(F.collect_set(F.struct("start", "size", "window")).alias("spans")), "leak-spans",
+    )
     named = (
         true.select("id", "text_key", F.explode(F.array_distinct(F.transform("spans", lambda s: s["window"]))).alias("window"))
         .join(items.where("item is not null").select("item", "window"), "window")
