@@ -45,9 +45,16 @@ def is_enrichable(ip) -> Column:
 
 
 def cidr_pattern(cidr: str) -> str:
-    """A literal IPv4 network as one regular expression: whole octets as they
-    are, the split octet as its range, the rest as any octet."""
+    """A literal network as one regular expression. IPv4: whole octets as they
+    are, the split octet as its range, the rest as any octet. IPv6: the same
+    by hex digit, over the 32 digits of ``ipv6_digits``."""
     net = ipaddress.ip_network(cidr, strict=False)
+    if net.version == 6:
+        whole, rest = divmod(net.prefixlen, 4)
+        digits = net.network_address.exploded.replace(":", "")
+        low = int(digits[whole], 16) if rest else 0
+        split = "[" + "".join(f"{n:x}" for n in range(low, low + 2 ** (4 - rest))) + "]" if rest else ""
+        return "^" + digits[:whole] + split
     whole, rest = divmod(net.prefixlen, 8)
     first = str(net.network_address).split(".")
     parts = first[:whole]
@@ -58,10 +65,29 @@ def cidr_pattern(cidr: str) -> str:
     return "^" + r"\.".join(parts) + "$"
 
 
+def ipv6_digits(ip) -> Column:
+    """The 32 hex digits of an IPv6 address in any of its hex spellings, else null."""
+    text = F.lower(_c(ip))
+
+    def groups(side: Column) -> Column:
+        return F.filter(F.split(F.coalesce(side, F.lit("")), ":"), lambda g: g != "")
+
+    halves = F.split(text, "::")
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+    missing = 8 - F.size(left) - F.size(right)
+    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)).cast("int")), right)
+    shaped = text.rlike("^[0-9a-f:]+$") & F.when(F.contains(text, F.lit("::")), (F.size(halves) == 2) & (missing > 0)).otherwise(
+        (missing == 0) & text.rlike("^[0-9a-f]{1,4}(:[0-9a-f]{1,4}){7}$")
+    ) & ~F.exists(whole, lambda g: F.length(g) > 4)
+    return F.when(shaped, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+
+
 def in_cidr(ip, cidr: str) -> Column:
-    """Membership in a literal IPv4 network: one compiled pattern per rule, so
-    it costs the same inside and outside generated code."""
-    return F.coalesce(_c(ip).rlike(cidr_pattern(cidr)), F.lit(False))
+    """Membership in a literal network: one compiled pattern per rule, so it
+    costs the same inside and outside generated code. Addresses of the other
+    version are outside."""
+    text = ipv6_digits(ip) if ipaddress.ip_network(cidr, strict=False).version == 6 else _c(ip)
+    return F.coalesce(text.rlike(cidr_pattern(cidr)), F.lit(False))
 
 
 def subnet24(ip) -> Column:

@@ -135,6 +135,13 @@ def match_open_cases(candidates: DataFrame, candidate_assets: DataFrame, index:
     )
 
 
+def moved(rows: DataFrame, matches: DataFrame) -> DataFrame:
+    """Rows of a case under the id of the open case it went to, if any."""
+    to = matches.select(F.col("case_id").alias("_from"), "open_case_id")
+    out = rows.join(to, F.col("case_id") == F.col("_from"), "left").withColumn("case_id", F.coalesce("open_case_id", "case_id"))
+    return out.drop("_from", "open_case_id").distinct()
+
+
 def merge_cases(existing: DataFrame, candidates: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(updated existing cases, candidates that stay new): a matched open case
     takes the greater confidence."""

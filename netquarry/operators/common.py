@@ -8,17 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def smallest_values(df: DataFrame, keys: Sequence[str], value: str, n: int, out: str) -> DataFrame:
-    """The ``n`` smallest distinct values per key as a sorted array.
+def sorted_values(df: DataFrame, keys: Sequence[str], value: str, out: str, n: int | None = None) -> DataFrame:
+    """The distinct values per key as a sorted array; with ``n`` the first ones only.
 
-    De-duplicates with a combining aggregate first; the rank filter then
-    becomes a per-partition group limit, so no group is ever collected whole.
+    De-duplicates with a combining aggregate first; with ``n`` the rank filter
+    then becomes a per-partition group limit.
     """
-    distinct = df.select(*keys, value).where(F.col(value).isNotNull()).distinct()
-    ranked = distinct.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(value))
-    ).where(F.col("_rank") <= n)
-    return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(out))
+    rows = df.select(*keys, value).where(F.col(value).isNotNull()).distinct()
+    if n is not None:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+        rows = rows.withColumn("_rank", rank).where(F.col("_rank") <= n)
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(out))
+
+
+def smallest_values(df: DataFrame, keys: Sequence[str], value: str, n: int, out: str) -> DataFrame:
+    """The ``n`` smallest distinct values per key as a sorted array."""
+    return sorted_values(df, keys, value, out, n)
 
 
 # Spark cuts groups before the shuffle only for ranks up to this many rows

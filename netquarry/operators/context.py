@@ -35,12 +35,10 @@ def protocol_map(connections: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def alert_history(alerts: DataFrame, first: int = 10) -> DataFrame:
-    """Alert count and the distinct categories of the earliest alerts."""
-    head = alerts.orderBy("timestamp", "signature").limit(first)
-    kinds = head.agg(F.array_sort(F.collect_set(F.coalesce("category", F.lit("unknown")))).alias("incident_types"))
-    total = alerts.agg(F.count(F.lit(1)).alias("total_alerts_24h"))
-    return total.withColumn("incident_types", kinds.scalar())
+def alert_history(alerts: DataFrame) -> DataFrame:
+    """Alert count and the distinct categories of all alerts."""
+    kinds = F.array_sort(F.collect_set(F.coalesce("category", F.lit("unknown"))))
+    return alerts.agg(F.count(F.lit(1)).alias("total_alerts_24h"), kinds.alias("incident_types"))
 
 
 def alert_counts(alerts: DataFrame, as_of, keys: Sequence[str] = ()) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from netquarry import fixed_values as fv
 from netquarry.functions import net, text
 from netquarry.operators import netmap
-from netquarry.operators.common import smallest_values, substring_matches
+from netquarry.operators.common import sorted_values, substring_matches
 from netquarry.operators.netmap import NODE
 
 # Operating-system hints in banners and agents, first match wins.
@@ -109,7 +109,7 @@ def _list(df: DataFrame, col: str) -> Column:
     return F.coalesce(F.col(col), F.array().cast("array<string>")) if col in df.columns else F.array().cast("array<string>")
 
 
-def ssh_facts(ssh: DataFrame, cap: int = 20) -> DataFrame:
+def ssh_facts(ssh: DataFrame) -> DataFrame:
     """Banner lines per address from both ends of SSH sessions."""
     ends = F.array(
         F.struct(F.col("client_ip").alias("ip"), F.lit("SSH client: ").alias("side"), text.meaningful("ssh_client").alias("banner")),
@@ -117,7 +117,7 @@ def ssh_facts(ssh: DataFrame, cap: int = 20) -> DataFrame:
     )
     rows = ssh.select(F.inline(ends)).where(F.col("banner").isNotNull() & F.col("ip").isNotNull())
     lines = rows.select("ip", F.concat("side", "banner").alias("line"))
-    return smallest_values(lines, ["ip"], "line", cap, "ssh_lines").withColumn(
+    return sorted_values(lines, ["ip"], "line", "ssh_lines").withColumn(
         "ssh_os", first_match(F.col("ssh_lines"), lambda s: os_from_ssh(F.substring_index(s, ": ", -1)))
     )
 
@@ -155,11 +155,10 @@ def rdp_facts(rdp: DataFrame) -> DataFrame:
 
 
 def banner_facts(banners: DataFrame, column: str, label: str, rule, out: str) -> DataFrame:
-    """Software line and OS hint of a service banner (first 120 characters of
-    the line are shown; the hint reads the whole banner)."""
+    """Software line and OS hint of a service banner."""
     b = text.meaningful(column)
     return banners.where(b.isNotNull()).select(
-        "ip", F.concat(F.lit(label + ": "), F.substring(b, 1, 120)).alias(f"{out}_line"), rule(b).alias(f"{out}_os")
+        "ip", F.concat(F.lit(label + ": "), b).alias(f"{out}_line"), rule(b).alias(f"{out}_os")
     )
 
 
@@ -200,7 +199,7 @@ def facts(results: Mapping[str, DataFrame], addresses: DataFrame) -> DataFrame:
         "cert_subjects", "cert_issuers"))
     add("dns_profile", lambda d: d.select(
         "ip", F.struct("query_count", "unique_domains", "nxdomain_ratio",
-                       F.slice("tlds", 1, 15).alias("top_tlds"), F.slice("query_types", 1, 10).alias("query_types")).alias("dns_profile")))
+                       F.col("tlds").alias("top_tlds"), "query_types").alias("dns_profile")))
     add("files", lambda d: d.select("ip", F.col("mime_types").alias("file_mime_types")))
     add("known_services", lambda d: d.select("ip", F.col("service_names").alias("known_services_names")))
     add("tunnel", lambda d: d.select("ip", F.col("tunnel_types").alias("tunnel_info")))
@@ -235,12 +234,11 @@ def profile_names(results: Mapping[str, DataFrame]) -> DataFrame:
     return out.where(text.meaningful("name").isNotNull() & F.col("ip").isNotNull()).distinct()
 
 
-def attach_names(node_table: DataFrame, names: DataFrame, cap: int = 50) -> DataFrame:
-    """Host and NetBIOS names per node (node keys, kind, name): the first
-    ``cap`` of each kind as arrays; the long table stays whole."""
+def attach_names(node_table: DataFrame, names: DataFrame) -> DataFrame:
+    """Host and NetBIOS names per node (node keys, kind, name) as sorted arrays."""
     out = node_table
     for kind, col in (("hostname", "hostnames"), ("netbios", "netbios_names")):
-        lists = smallest_values(names.where(F.col("kind") == kind), NODE, "name", cap, col)
+        lists = sorted_values(names.where(F.col("kind") == kind), NODE, "name", col)
         out = out.join(lists, NODE, "left").withColumn(col, F.coalesce(col, F.array().cast("array<string>")))
     return out
 
@@ -443,8 +441,8 @@ def _agent_os(agent: Column) -> Column:
 
 
 def host_identity(node_table: DataFrame) -> DataFrame:
-    """Best OS candidate, its source and confidence, overall confidence and up
-    to 15 signals per internal node with at least one signal."""
+    """Best OS candidate, its source and confidence, overall confidence and all
+    signals per internal node with at least one signal."""
     have = set(node_table.columns)
 
     def c(name):
@@ -459,29 +457,29 @@ def host_identity(node_table: DataFrame) -> DataFrame:
     def some(value):
         return F.when(F.coalesce(value, F.lit("")) != "", value)
 
-    def joined(name, n):
-        return F.when(F.size(arr(name)) > 0, F.array_join(F.slice(arr(name), 1, n), ", "))
+    def joined(name):
+        return F.when(F.size(arr(name)) > 0, F.array_join(arr(name), ", "))
 
     vclass, os_info = some(c("dhcp_vendor_class")), some(c("os_info"))
-    software = F.slice(arr("software"), 1, 10)
+    software = arr("software")
     known = F.transform(software, _software_os)
     at = F.array_position(F.transform(known, lambda k: k.isNotNull()), True)
     scanned = F.when(at > 0, F.slice(software, F.lit(1), F.greatest(at, F.lit(1)).cast("int"))).otherwise(software)
     software_signals = F.transform(
         F.filter(scanned, lambda s: _software_os(s).isNotNull() | _has(F.lower(s), "ssh server:", "ssh client:", "smtp:", "ftp:")),
-        lambda s: F.struct(F.lit("Software").alias("source"), F.substring(s, 1, 80).alias("value")),
+        lambda s: F.struct(F.lit("Software").alias("source"), s.alias("value")),
     )
 
-    def banners(prefixes, n):
+    def banners(*prefixes):
         def starts(s):
             out = F.lit(False)
             for p in prefixes:
                 out = out | F.startswith(s, F.lit(p))
             return out
 
-        return F.transform(F.filter(F.slice(arr("software"), 1, n), starts), lambda s: F.trim(F.substring(s, F.instr(s, ":") + 1, F.length(s))))
+        return F.transform(F.filter(software, starts), lambda s: F.trim(F.substring(s, F.instr(s, ":") + 1, F.length(s))))
 
-    ssh = banners(("SSH server:", "SSH client:"), 10)
+    ssh = banners("SSH server:", "SSH client:")
     agent = F.get(arr("user_agents"), F.lit(0))
     build = F.col("rdp_build") if "rdp_build" in have else F.lit(None).cast("int")
     low = F.lower(vclass)
@@ -513,16 +511,16 @@ def host_identity(node_table: DataFrame) -> DataFrame:
     single = F.array(signal("DHCP Vendor Class", vclass))
     rest = F.array(
         signal("OS Detection", os_info),
-        signal("SSH Banner", F.substring(F.get(ssh, F.lit(0)), 1, 80)),
-        signal("HTTP User-Agent", F.substring(agent, 1, 100)),
+        signal("SSH Banner", F.get(ssh, F.lit(0))),
+        signal("HTTP User-Agent", agent),
         signal("RDP Build", F.concat(F.lit("Build "), build.cast("string"))),
         signal("DHCP FQDN", some(c("dhcp_client_fqdn"))),
-        signal("SMTP Banner", F.substring(F.get(banners(("SMTP:",), 15), F.lit(0)), 1, 80)),
-        signal("FTP Banner", F.substring(F.get(banners(("FTP:",), 15), F.lit(0)), 1, 80)),
-        signal("Known Services", joined("known_services_names", 10)),
-        signal("TLS SNI", joined("tls_server_names", 5)),
-        signal("JA3 Client", joined("ja3_fingerprints", 3)),
-        signal("TLS Certificate", joined("cert_subjects", 3)),
+        signal("SMTP Banner", F.get(banners("SMTP:"), F.lit(0))),
+        signal("FTP Banner", F.get(banners("FTP:"), F.lit(0))),
+        signal("Known Services", joined("known_services_names")),
+        signal("TLS SNI", joined("tls_server_names")),
+        signal("JA3 Client", joined("ja3_fingerprints")),
+        signal("TLS Certificate", joined("cert_subjects")),
         signal("MAC Vendor", some(c("vendor"))),
     )
     signals = F.filter(F.concat(single, software_signals, rest), lambda s: s.isNotNull())
@@ -540,10 +538,16 @@ def host_identity(node_table: DataFrame) -> DataFrame:
     return out.select(
         *NODE, F.coalesce("_best.os", F.lit("Unknown")).alias("os"), F.coalesce("_best.source", F.lit("")).alias("os_source"),
         F.coalesce("_best.conf", F.lit(0)).alias("os_confidence"), confidence.alias("confidence"), "signal_count",
-        F.slice("_signals", 1, 15).alias("signals"),
+        F.col("_signals").alias("signals"),
     )
 
 
+def identity_display(identity: DataFrame, signals: int = 15, width: int = 80) -> DataFrame:
+    """For a report: the first signals, their values cut to a width."""
+    short = F.transform(F.slice("signals", 1, signals), lambda s: F.struct(s["source"].alias("source"), F.substring(s["value"], 1, width).alias("value")))
+    return identity.withColumn("signals", short)
+
+
 def merge_enrichment(stored: DataFrame, enriched: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Enriched fields over stored ones where they say something; nodes the
     stored map lacks come back with their enriched row."""

@@ -109,7 +109,8 @@ def recent_feedback(feedback: DataFrame, order: tuple[str, ...], keep: int = 100
 
 
 def playbook_key(techniques: Column) -> Column:
-    return F.array_join(F.slice(F.array_sort(techniques), 1, 5), "_")
+    """All techniques, in order."""
+    return F.array_join(F.array_sort(techniques), "_")
 
 
 def playbooks(history: DataFrame) -> DataFrame:

@@ -101,8 +101,7 @@ def large_transfers(packets: DataFrame, cfg: PacketConfig = PacketConfig()) -> D
 
 def protocol_mismatches(packets: DataFrame) -> DataFrame:
     """HTTP on unexpected ports and DNS over TCP, one scan for both."""
-    head = F.substring("payload", 1, 100)
-    web = ~F.col("dport").isin(*WEB_PORTS) & (F.contains(head, F.lit("HTTP/")) | F.contains(head, F.lit("GET ")))
+    web = ~F.col("dport").isin(*WEB_PORTS) & (F.contains("payload", F.lit("HTTP/")) | F.contains("payload", F.lit("GET ")))
     kinds = F.filter(
         F.array(F.when(web, F.lit("http_on_unusual_port")), F.when(F.col("dport") == 53, F.lit("dns_over_tcp"))),
         lambda k: k.isNotNull(),

@@ -2,9 +2,11 @@
 
 Each profile is data: which log, which rows, the key, and its aggregates.
 Scalar aggregates (count, distinct count, sum, first/last, latest) run in one
-combining aggregate. Value lists run as (key, field, value) rows, so a host
-with millions of distinct values is never collected into one task: the long
-form keeps every value, the wide form the first ``cap`` in sorted order.
+combining aggregate. Values run as (key, field, value) rows, made distinct by
+a combining aggregate: ``profile_values`` keeps them in that long form, which
+no number of values can outgrow and on which decisions can be taken; the
+wide form of ``run_profile`` has them as arrays, whole unless a display asks
+for the first ``cap`` in sorted order.
 
 Logs are Zeek logs with plain names (``normalize.flatten_names``) and ``ts``
 as a timestamp.
@@ -21,9 +23,6 @@ from pyspark.sql import functions as F
 from netquarry.functions import text
 from netquarry.operators.common import latest, left_join_all
 
-VALUE_CAP = 100
-
-
 @dataclass(frozen=True)
 class Profile:
     name: str
@@ -213,21 +212,18 @@ def profile_values(log: DataFrame, profile: str, extra_keys: Sequence[str] = ())
     )
 
 
-def value_lists(values: DataFrame, keys: Sequence[str], fields: Sequence[str], cap: int = VALUE_CAP) -> DataFrame:
-    """The first ``cap`` values per key and field in sorted order, as arrays,
-    with the full count beside each."""
-    w = Window.partitionBy(*keys, "field").orderBy("value")
-    ranked = values.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= cap)
-    lists = ranked.groupBy(*keys).agg(
-        *[
-            F.array_sort(F.collect_list(F.when(F.col("field") == f, F.col("value")))).alias(f)
-            for f in fields
-        ]
+def value_lists(values: DataFrame, keys: Sequence[str], fields: Sequence[str], cap: int | None = None) -> DataFrame:
+    """The values per key and field in sorted order, as arrays; with ``cap``
+    the first ones only."""
+    if cap is not None:
+        w = Window.partitionBy(*keys, "field").orderBy("value")
+        values = values.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= cap)
+    return values.groupBy(*keys).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("field") == f, F.col("value")))).alias(f) for f in fields]
     )
-    return lists
 
 
-def run_profile(log: DataFrame, profile: str, extra_keys: Sequence[str] = (), cap: int = VALUE_CAP) -> DataFrame:
+def run_profile(log: DataFrame, profile: str, extra_keys: Sequence[str] = (), cap: int | None = None) -> DataFrame:
     """One row per key with the profile's aggregates and value lists."""
     p = PROFILES[profile]
     keys = [*extra_keys, *p.key]

@@ -7,6 +7,7 @@ columns, so precedence, ``not`` and parentheses are Spark's.
 
 from __future__ import annotations
 
+import base64
 import fnmatch
 import re
 from collections.abc import Iterable, Mapping, Sequence
@@ -71,6 +72,10 @@ def from_document(doc: Mapping) -> Rule:
     """A rule from its parsed YAML document."""
     detection = dict(doc["detection"])
     condition = detection.pop("condition")
+    detection.pop("timeframe", None)  # a window for aggregations, not a selection
+    wrong = [n for n, s in detection.items() if not isinstance(s, (Mapping, list, tuple))]
+    if wrong:
+        raise ValueError(f"selections must be maps or lists: {', '.join(wrong)}")
     source = doc.get("logsource", {})
     return Rule(
         str(doc.get("id", doc["title"])), doc["title"], doc.get("level", "medium"),
@@ -90,29 +95,50 @@ def load_rules(folder: str) -> list[Rule]:
     return [r for r in rules if r.data_type]
 
 
+def _wildcards(text: str) -> str:
+    """A pattern with ``*`` and ``?`` as a regular expression."""
+    return "".join(".*" if ch == "*" else "." if ch == "?" else re.escape(ch) for ch in text)
+
+
 def _value(column: Column, pattern) -> Column:
     text = str(pattern).lower()
     low = F.lower(column.cast("string"))
     if "*" in text or "?" in text:
-        parts = [".*" if ch == "*" else "." if ch == "?" else re.escape(ch) for ch in text]
-        return low.rlike("(?s)^" + "".join(parts) + r"\z")
+        return low.rlike("(?s)^" + _wildcards(text) + r"\z")
     return low == text
 
 
+# Where the base64 text of a value begins and how much of its
+# end depends on what follows, for each offset of the value.
+BASE64_START, BASE64_END = (0, 2, 3), (None, -3, -2)
+
+
+def base64_forms(value: str) -> list[str]:
+    """The value as it looks inside base64 text at each of the three offsets."""
+    data = value.encode()
+    return [
+        base64.b64encode(b" " * i + data).decode()[BASE64_START[i] : BASE64_END[(len(data) + i) % 3]] for i in range(3)
+    ]
+
+
 def _modified(column: Column, modifier: str, pattern) -> Column:
     text = str(pattern)
-    low = F.lower(column.cast("string"))
-    if modifier in ("contains", "base64offset"):
-        return F.contains(low, F.lit(text.lower()))
-    if modifier == "startswith":
-        return F.startswith(low, F.lit(text.lower()))
-    if modifier == "endswith":
-        return F.endswith(low, F.lit(text.lower()))
+    whole = column.cast("string")
+    if modifier == "base64offset":
+        return reduce(or_, [F.contains(whole, F.lit(form)) for form in base64_forms(text)])
     if modifier == "re":
-        return column.cast("string").rlike("(?i)" + text)
+        return whole.rlike("(?i)" + text)
     if modifier == "cidr":
         return net.in_cidr(column, text)
-    return _value(column, pattern)
+    plain = {"contains": F.contains, "startswith": F.startswith, "endswith": F.endswith}.get(modifier)
+    if plain is None:
+        return _value(column, pattern)
+    low, want = F.lower(whole), text.lower()
+    if "*" not in want and "?" not in want:
+        return plain(low, F.lit(want))
+    start = "^" if modifier == "startswith" else ""
+    end = r"\z" if modifier == "endswith" else ""
+    return low.rlike(f"(?s){start}{_wildcards(want)}{end}")
 
 
 def _field_column(name: str, columns: Sequence[str], data_type: str) -> str | None:

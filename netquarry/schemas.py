@@ -37,7 +37,24 @@ EVE = (
 NODE = (
     "sensor_id string, vlan string, ip string, node_id string, total_connections bigint, bytes_sent bigint, "
     "bytes_received bigint, out_degree bigint, in_degree bigint, first_seen timestamp, last_seen timestamp, "
-    "is_internal boolean, services array<struct<port:int,protocol:string>>, roles array<string>"
+    "is_internal boolean, services array<struct<port:int,protocol:string>>, roles array<string>, "
+    # names and identity
+    "hostnames array<string>, netbios_names array<string>, domain string, host_id string, mac_address string, vendor string, "
+    "virtual_platform string, is_virtual boolean, os_info string, device_model string, device_type string, "
+    "software array<string>, user_agents array<string>, "
+    # leases, remote desktop, encrypted traffic
+    "dhcp_hostname string, dhcp_client_fqdn string, dhcp_vendor_class string, dhcp_domain string, rdp_name string, rdp_build int, "
+    "rdp_info struct<cookie:string,client_build:int,client_name:string,keyboard_layout:string,resolution:string,security_protocol:string>, "
+    "ja3_fingerprints array<string>, ja3s_fingerprints array<string>, tls_server_names array<string>, tls_versions_seen array<string>, "
+    "cert_subjects array<string>, cert_issuers array<string>, "
+    # other protocols
+    "dns_profile struct<query_count:bigint,unique_domains:bigint,nxdomain_ratio:double,top_tlds:array<string>,query_types:array<string>>, "
+    "file_mime_types array<string>, known_services_names array<string>, tunnel_info array<string>, ntp_server boolean, radius_server boolean, "
+    "mqtt_info struct<unique_clients:bigint,actions:array<string>>, ics_protocols array<string>, notices array<string>, "
+    "traceroute_hops array<string>, "
+    # traffic shape and gateway evidence
+    "port_count bigint, ports array<int>, unique_clients bigint, unique_destinations bigint, outgoing_count bigint, "
+    "gateway_evidence array<string>, is_gateway_for array<string>"
 )
 
 CASE_FEED = (

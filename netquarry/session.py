@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,28 +27,42 @@ def local_session(cores: str = "8", app: str = "netquarry", memory: str = "8g")
     return spark
 
 
-_LOCAL_DIRS: dict[str, str] = {}
+_CLEARED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster a
-    machine-local path would be lost with its executor.
+    A local master without that setting uses a folder in the session's
+    warehouse, which is removed when the process ends; any other master must
+    set it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="netquarry-")
-    return _LOCAL_DIRS[app]
+    folder = spark.conf.get("spark.sql.warehouse.dir", None).rstrip("/") + "/staged"
+    own = f"{folder}/{spark.sparkContext.applicationId}"
+    if own not in _CLEARED:
+        _CLEARED.add(own)
+        atexit.register(shutil.rmtree, own.removeprefix("file:"), ignore_errors=True)
+    return folder
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder of everything this application stages."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def drop_run(spark: SparkSession) -> None:
+    """Delete what this application has staged, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

@@ -113,18 +113,9 @@ def write_window_results(results: DataFrame, folder: str) -> None:
 
 # --- network map ------------------------------------------------------------------
 
-# How many entries of each list the map file keeps.
-LIST_CAPS = {
-    "software": 10, "user_agents": 20, "ja3_fingerprints": 20, "ja3s_fingerprints": 20, "tls_server_names": 30,
-    "tls_versions_seen": 10, "cert_subjects": 20, "cert_issuers": 20, "file_mime_types": 20, "gateway_evidence": 10,
-    "known_services_names": 30, "tunnel_info": 10, "ics_protocols": 10, "notices": 20, "traceroute_hops": 20,
-}
-
-
 def save_map(nodes: DataFrame, folder: str) -> None:
-    """One JSON object per node, long lists cut for the file."""
-    cols = [F.slice(c, 1, LIST_CAPS[c]).alias(c) if c in LIST_CAPS else F.col(c) for c in nodes.columns]
-    nodes.select(*cols).write.mode("errorifexists").json(folder)
+    """One JSON object per node, with every column and whole lists."""
+    nodes.write.mode("errorifexists").json(folder)
 
 
 def load_map(spark: SparkSession, folder: str, schema: str = schemas.NODE) -> DataFrame:
@@ -134,11 +125,11 @@ def load_map(spark: SparkSession, folder: str, schema: str = schemas.NODE) -> Da
 
 
 def load_legacy_map(spark: SparkSession, path: str, schema: str = schemas.NODE) -> DataFrame:
-    """Nodes of a single JSON document ``{"nodes": {id: node}}``."""
-    node = T.StructType.fromDDL(schema)
-    whole = T.StructType([T.StructField("nodes", T.MapType(T.StringType(), node))])
-    doc = spark.read.schema(whole).option("multiLine", True).json(path)
-    return doc.select(F.explode("nodes").alias("node_key", "node")).select("node.*").where(F.col("ip").isNotNull())
+    """Nodes of a single JSON document whose ``nodes`` is a list of nodes, or a map of them by id."""
+    text = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.nodes").alias("nodes"))
+    listed = F.when(F.startswith("nodes", F.lit("[")), F.from_json("nodes", f"array<struct<{schema}>>"))
+    keyed = F.when(F.startswith("nodes", F.lit("{")), F.map_values(F.from_json("nodes", f"map<string,struct<{schema}>>")))
+    return text.select(F.inline(F.coalesce(listed, keyed))).where(F.col("ip").isNotNull())
 
 
 def save_snapshot(nodes: DataFrame, base: str, name: str, saved_at) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from netquarry.functions import net, text, times
 from netquarry.operators import cases, context, correlate, devices, gateways, intel, learning, netmap, normalize, packets, profiles, rollup, selection, sigma
 from netquarry.operators.common import first_listed_match, following, smallest_values, substring_matches, top_rows
+from netquarry.plans import hunt
 
 
 def column(frame, values, fn, ddl="string"):
@@ -411,3 +412,74 @@ def test_jaccard_over_pairs(frame):
     got = correlate.technique_similarity(outputs(frame, rows)).first().correlation_score
     vals = [len(set(a) & set(b)) / len(set(a) | set(b)) for a, b in itertools.combinations(sets.values(), 2) if set(a) | set(b)]
     assert got == pytest.approx(sum(vals) / len(vals))
+
+
+def rule(selection, condition="sel", **more):
+    return sigma.from_document({"title": "t", "logsource": {"category": "process_creation"}, "detection": {"sel": selection, "condition": condition, **more}})
+
+
+def test_rule_timeframe_is_no_selection(frame):
+    r = rule({"CommandLine": "x"}, "1 of them", timeframe="5m")
+    assert list(r.selections) == ["sel"]
+    rows = frame([("5 m",), ("x",)], "command_line string")
+    assert sigma.match_events(rows, [r], r.data_type).count() == 1
+    with pytest.raises(ValueError):
+        rule("only a word")
+
+
+@pytest.mark.parametrize(
+    "key,pattern,hits",
+    [
+        ("CommandLine|contains", r"\\*\ADMIN$", [r"net use \\host\ADMIN$ x"]),
+        ("CommandLine|startswith", "net?use", [r"net use \\host\ADMIN$ x"]),
+        ("CommandLine|endswith", "*.exe", ["C:\\a.EXE"]),
+        ("CommandLine|contains", "a.e", ["C:\\a.EXE"]),
+        ("CommandLine|base64offset|contains", "http://", ["QWFodHRwOi8vYg=="]),
+    ],
+)
+def test_rule_modifiers(frame, key, pattern, hits):
+    lines = [r"net use \\host\ADMIN$ x", "C:\\a.EXE", "C:\\axe exe", "QWFodHRwOi8vYg==", None]
+    r = rule({key: pattern})
+    got = sigma.match_events(frame([(x,) for x in lines], "command_line string"), [r], r.data_type, encode=False)
+    assert [x.event.command_line for x in got.collect()] == hits
+
+
+def test_ipv6_networks(frame):
+    import ipaddress
+
+    ips = ["2001:db8::1", "2001:DB8:0:0:0:0:0:1", "2001:db8:8000::", "2001:db9::1", "::1", "::", "fe80::1%eth0", "10.0.0.1", "1:2:3", "2001:db8::1::2", "12345::", "x", None,
+           "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::"]
+    rows = frame([(x,) for x in ips], "ip string")
+    for cidr in ("2001:db8::/32", "2001:db8::/33", "::/0", "::1/128", "1:2:3:4:5:6:7:8/125", "10.0.0.0/8"):
+        network = ipaddress.ip_network(cidr, strict=False)
+
+        def inside(x):
+            try:
+                return "%" not in x and ipaddress.ip_address(x) in network
+            except (ValueError, TypeError):
+                return False
+
+        got = {r.ip: r.ok for r in rows.select("ip", net.in_cidr("ip", cidr).alias("ok")).collect()}
+        assert got == {x: inside(x) for x in ips}, cidr
+
+
+def test_hunt_needs_a_name(frame):
+    with pytest.raises(ValueError):
+        hunt.run_hunt({}, hunt_id="h")
+
+
+def test_playbooks_keep_all_techniques(frame):
+    rows = frame([(["a", "b", "c", "d", "e", "f"],), (["a", "b", "c", "d", "e", "g"],)], "techniques array<string>")
+    assert rows.select(learning.playbook_key(F.col("techniques")).alias("k")).distinct().count() == 2
+
+
+def test_map_keeps_whole_lists(spark, frame):
+    from netquarry.session import fresh_path
+    from netquarry.sources import stores
+
+    nodes = frame([("s", "0", "10.0.0.1", [f"line {i}" for i in range(60)], "server", ["gw"] * 30)],
+                  "sensor_id string, vlan string, ip string, software array<string>, device_type string, gateway_evidence array<string>")
+    folder = fresh_path(spark, "map")
+    stores.save_map(nodes, folder)
+    back = stores.load_map(spark, folder).first()
+    assert len(back.software) == 60 and back.device_type == "server" and len(back.gateway_evidence) == 30

@@ -6,7 +6,7 @@ from conftest import ts
 
 from netquarry.operators import netmap
 from netquarry.plans import hunt
-from netquarry.session import fresh_path, shared_dir, stage
+from netquarry.session import fresh_path, run_dir, shared_dir, stage
 from netquarry.sources import stores
 from netquarry.streaming import jobs
 
@@ -94,8 +94,9 @@ def test_legacy_map_and_header_line(spark):
     node = '{"sensor_id": "s", "vlan": "0", "ip": "10.0.0.1", "total_connections": 3}'
     spark.createDataFrame([('{"version": 2, "saved": "x"}',), (node,), ("{broken",)], "value string").coalesce(1).write.text(folder)
     assert [r.ip for r in stores.load_map(spark, folder).collect()] == ["10.0.0.1"]
-    spark.createDataFrame([('{"nodes": {"s:0:10.0.0.1": ' + node + "}}",)], "value string").coalesce(1).write.text(single)
-    assert stores.load_legacy_map(spark, single).first().total_connections == 3
+    for i, nodes in enumerate(("[" + node + "]", '{"s:0:10.0.0.1": ' + node + "}")):
+        spark.createDataFrame([('{"nodes": ' + nodes + "}",)], "value string").coalesce(1).write.text(f"{single}-{i}")
+        assert stores.load_legacy_map(spark, f"{single}-{i}").first().total_connections == 3
 
 
 class Fake:
@@ -106,16 +107,16 @@ class Fake:
         self.sparkContext = type("C", (), {"master": master, "applicationId": master + str(folder)})
 
     def get(self, name, default):
-        assert name == "spark.checkpoint.dir"
-        return self.folder or default
+        return {"spark.checkpoint.dir": self.folder, "spark.sql.warehouse.dir": "file:/warehouse"}[name] or default
 
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(Fake("yarn", "hdfs:///shared/")) == "hdfs:///shared"
     with pytest.raises(ValueError):
         shared_dir(Fake("yarn"))
-    assert shared_dir(Fake("local[2]")) == shared_dir(Fake("local[2]"))
-    assert stage(spark.range(3), "t").count() == 3
+    assert shared_dir(Fake("local[2]")) == "file:/warehouse/staged"
+    staged = stage(spark.range(3), "t")
+    assert staged.count() == 3 and run_dir(spark).removeprefix("file:") in staged.inputFiles()[0]
 
 
 def test_windows_cover_the_range(frame):

@@ -168,7 +168,7 @@ def _alerts(spark, sf):
 
 @R.add("context_alert_history", """
 SELECT (SELECT count(*) FROM events WHERE event_type = 'error') AS total_alerts_24h, array_to_string(list_sort(list(DISTINCT 'cat' || (event_id % 6))), ',') AS incident_types
-FROM (SELECT event_id FROM events WHERE event_type = 'error' ORDER BY ts, 'sig' || event_id LIMIT 10)""")
+FROM events WHERE event_type = 'error'""")
 def _(spark, sf):
     return out(cx.alert_history(_alerts(spark, sf)))
 
@@ -210,7 +210,7 @@ def _(spark, sf):
 def _signals(spark, sf):
     c = F.col("c_custkey")
     kinds = F.element_at(F.array(*[F.lit(x) for x in ("Reconnaissance sweep", "lateral tool", "Code Execution", "credential dump", "other")]), (c % 5 + 1).cast("int"))
-    return v.table(spark, sf, "customer").where(c % 3 != 0).select((c % 200).alias("hunt_id"), kinds.alias("type"), ((c % 10) / 10.0).alias("confidence"))
+    return v.table(spark, sf, "customer").select((c % 200).alias("hunt_id"), kinds.alias("type"), ((c % 10) / 10.0).alias("confidence"))
 
 
 def _hunts(spark, sf):
@@ -220,7 +220,7 @@ def _hunts(spark, sf):
 
 
 _HYP = """
- sg AS (SELECT c_custkey % 200 AS h, ['reconnaissance sweep', 'lateral tool', 'code execution', 'credential dump', 'other'][1 + CAST(c_custkey % 5 AS INT)] AS t, (c_custkey % 10) / 10.0 AS c FROM customer WHERE c_custkey % 3 <> 0),
+ sg AS (SELECT c_custkey % 200 AS h, ['reconnaissance sweep', 'lateral tool', 'code execution', 'credential dump', 'other'][1 + CAST(c_custkey % 5 AS INT)] AS t, (c_custkey % 10) / 10.0 AS c FROM customer),
  hu AS (SELECT DISTINCT c_custkey % 250 AS h FROM customer),
  mt AS (SELECT h, CASE WHEN t LIKE '%reconnaissance%' THEN 'kill_chain_stage' WHEN t LIKE '%lateral%' OR t LIKE '%execution%' THEN 'chain_of_events' ELSE 'anomaly_investigation' END AS ty,
    CASE WHEN t LIKE '%reconnaissance%' THEN 0.7 WHEN t LIKE '%lateral%' OR t LIKE '%execution%' THEN 0.8 ELSE 0.85 END AS p, c,
@@ -285,12 +285,12 @@ def _(spark, sf):
 
 
 @R.add("next_stage_agents", """
-WITH d AS (SELECT DISTINCT user_id AS h, ['TA0002', 'TA0008', 'TA0009', 'TA0001', 'TA0040'][1 + CAST(event_id % 5 AS INT)] AS t FROM events WHERE user_id % 3 = event_id % 3)
+WITH d AS (SELECT DISTINCT user_id AS h, ['TA0002', 'TA0008', 'TA0009', 'TA0001', 'TA0040'][1 + CAST(event_id % 5 AS INT)] AS t FROM events)
 SELECT DISTINCT h AS hunt_id, a AS agent FROM (SELECT h, unnest(CASE t WHEN 'TA0002' THEN ['lateral_movement_hunter'] WHEN 'TA0008' THEN ['collection_exfiltration_hunter'] WHEN 'TA0009' THEN ['collection_exfiltration_hunter']
   WHEN 'TA0001' THEN ['c2_hunter'] ELSE [] END) AS a FROM d)""")
 def _(spark, sf):
     t = F.element_at(F.array(*[F.lit(x) for x in ("TA0002", "TA0008", "TA0009", "TA0001", "TA0040")]), (F.col("event_id") % 5 + 1).cast("int"))
-    d = v.table(spark, sf, "events").where("user_id % 3 = event_id % 3").select(F.col("user_id").alias("hunt_id"), t.alias("tactic")).distinct()
+    d = v.table(spark, sf, "events").select(F.col("user_id").alias("hunt_id"), t.alias("tactic")).distinct()
     return selection.next_stage_agents(d)
 
 
@@ -529,12 +529,12 @@ def _(spark, sf):
 
 
 @R.add("intel_enrichment", f"""
-WITH {_INTEL.strip()}, q AS (SELECT DISTINCT peer AS indicator FROM v_finding UNION SELECT DISTINCT asset FROM v_finding UNION SELECT DISTINCT domain FROM v_dns WHERE domain LIKE '%pool%')
+WITH {_INTEL.strip()}, q AS (SELECT DISTINCT peer AS indicator FROM v_finding UNION SELECT DISTINCT asset FROM v_finding UNION SELECT DISTINCT domain FROM v_dns)
 SELECT q.indicator, CASE WHEN regexp_matches(q.indicator, '^[0-9.]+$') THEN 'ip' ELSE 'domain' END AS indicator_type, CASE WHEN q.indicator LIKE '10.%' THEN 0 ELSE coalesce(s, 0) END::BIGINT AS score,
   CASE WHEN q.indicator LIKE '10.%' THEN 'internal' ELSE coalesce(v, 'unknown') END AS verdict FROM q LEFT JOIN vd ON vd.indicator = q.indicator""", ("v_finding", "v_dns"))
 def _(spark, sf):
     f = v.findings(spark, sf).select(F.explode(F.concat("indicators", "affected_assets")).alias("x")).select(F.substring_index("x", ":", 1).alias("indicator"))
-    d = v.dns(spark, sf).where("domain LIKE '%pool%'").select(F.col("domain").alias("indicator"))
+    d = v.dns(spark, sf).select(F.col("domain").alias("indicator"))
     return out(intel.enrich(f.unionByName(d).distinct(), _intel(spark, sf)))
 
 
@@ -600,13 +600,13 @@ def _(spark, sf):
 
 
 @R.add("listed_domain_match", """
-WITH l AS (SELECT 'site' || s_suppkey AS needle, s_suppkey AS ordinal FROM supplier WHERE s_suppkey < 20 UNION ALL SELECT 'pool.example', 1000),
+WITH l AS (SELECT 'site' || s_suppkey AS needle, s_suppkey AS ordinal FROM supplier UNION ALL SELECT 'pool.example', 1000000),
  d AS (SELECT DISTINCT domain FROM v_dns)
 SELECT domain, (SELECT arg_min(needle, ordinal) FROM l WHERE contains(domain, needle)) AS listed FROM d""", ("v_dns",))
 def _(spark, sf):
     k = F.col("s_suppkey")
-    lst = v.table(spark, sf, "supplier").where(k < 20).select(F.concat(F.lit("site"), k).alias("needle"), k.alias("ordinal"))
-    lst = lst.unionByName(spark.createDataFrame([("pool.example", 1000)], "needle string, ordinal bigint"))
+    lst = v.table(spark, sf, "supplier").select(F.concat(F.lit("site"), k).alias("needle"), k.alias("ordinal"))
+    lst = lst.unionByName(spark.createDataFrame([("pool.example", 1_000_000)], "needle string, ordinal bigint"))
     return first_listed_match(v.dns(spark, sf).select("domain").distinct(), "domain", lst, "listed").select("domain", "listed")
 
 

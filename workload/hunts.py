@@ -103,7 +103,7 @@ SELECT round(CASE WHEN count(*) FILTER (adjusted > 0.7) >= 2 THEN least(max(adju
   'critical' AS alert_level, (SELECT count(DISTINCT t) FROM ex) AS techniques, (SELECT round(avg(j), 6) FROM jac) AS correlation_score
 FROM adj""")
 def _(spark, sf):
-    a = hunt.run_hunt(bundle(spark, sf), CFG, staged=True).assessments
+    a = hunt.run_hunt(bundle(spark, sf), CFG, staged=True, hunt_id="hunt-1", hunted_at="2024-01-01 00:00:00").assessments
     return out(a.select("final_confidence", "agent_count", "corroborating_agents", "total_findings", "severity", "alert_level",
                         F.size("mitre_techniques").alias("techniques"), "correlation_score"))
 
@@ -113,7 +113,7 @@ WITH a AS ({R.sql["hunt_assessment"]})
 SELECT CASE WHEN final_confidence >= 0.95 THEN 'auto_respond' WHEN final_confidence >= 0.8 THEN 'auto_investigate' ELSE 'human_review' END AS escalation_level,
   severity, total_findings AS findings FROM a WHERE final_confidence >= 0.6""")
 def _(spark, sf):
-    r = hunt.run_hunt(bundle(spark, sf), CFG, staged=True)
+    r = hunt.run_hunt(bundle(spark, sf), CFG, staged=True, hunt_id="hunt-1", hunted_at="2024-01-01 00:00:00")
     links = r.case_findings.groupBy("case_id").agg(F.count(F.lit(1)).alias("findings"))
     return out(r.cases.join(links, "case_id"), "escalation_level", "severity", "findings")
 
