@@ -69,10 +69,10 @@ def new_cases(assessments: DataFrame, keys: Sequence[str], created_at: str, sour
 
 
 def case_assets(findings: DataFrame, cases: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct (case_id, asset)."""
+    """Distinct (case_id, asset), from findings or from their table of assets."""
+    listed = findings.select(*keys, "asset") if "asset" in findings.columns else findings.select(*keys, F.explode("affected_assets").alias("asset"))
     return (
-        findings.select(*keys, F.explode("affected_assets").alias("asset"))
-        .distinct()
+        listed.distinct()
         .join(cases.select("case_id", *keys), list(keys))
         .select("case_id", "asset")
     )

@@ -236,3 +236,20 @@ def run_detections(
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def asset_rows(found: DataFrame, pairs: DataFrame | None, extra_keys: Sequence[str] = ()) -> DataFrame:
+    """Every asset of every finding: (extra keys, fingerprint, asset).
+
+    A finding row names the first targets of a fan-out; this table has all of
+    them, from the internal pairs the finding was made of.
+    """
+    named = found.select(*extra_keys, "fingerprint", F.explode("affected_assets").alias("asset"))
+    if pairs is None:
+        return named.distinct()
+    spread = found.where((F.col("activity_type") == "ransomware_spread") | F.col("evidence")["protocol"].isNotNull()).select(
+        *extra_keys, "fingerprint", F.get("affected_assets", F.lit(0)).alias("source_ip"),
+        F.coalesce(F.col("evidence")["protocol"], F.lit("SMB")).alias("protocol"),
+    )
+    reached = pairs.join(spread, [*extra_keys, "source_ip", "protocol"])
+    return named.unionByName(reached.select(*extra_keys, "fingerprint", F.col("destination_ip").alias("asset"))).distinct()

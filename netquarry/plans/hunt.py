@@ -76,7 +76,8 @@ def run_hunt(
     if open_cases is not None and hunted_at is None:
         raise ValueError("matching open cases needs hunted_at")
     keep = stage if staged else (lambda df, name: df)
-    found = keep(findings.run_detections(dict(bundle), cfg, keys, keep=keep), "findings")
+    ready = findings.prepare(dict(bundle), keys, keep)
+    found = keep(findings.run_detections(ready, cfg, keys, keep=keep), "findings")
     found = correlate.dedup_findings(found, keys)
     outputs = rollup.agent_rollup(found, keys)
     if cfg.agent_priority:
@@ -89,7 +90,9 @@ def run_hunt(
     rows = found if keys else found.withColumn("hunt", F.lit(hunt_id))
     when = F.col(created_at) if created_at else F.lit(hunted_at).cast("timestamp")
     new = cases.new_cases(scored.withColumn("_at", when), names, "_at")
-    assets, links = cases.case_assets(rows, new, names), cases.case_findings(rows, new, names)
+    owned = findings.asset_rows(found, ready.get("internal_pairs"), keys)
+    owned = owned if keys else owned.withColumn("hunt", F.lit(hunt_id))
+    assets, links = cases.case_assets(owned, new, names), cases.case_findings(rows, new, names)
     if open_cases is None:
         return HuntResult(found, outputs, assessments, new, assets, links)
     known, known_assets = open_cases

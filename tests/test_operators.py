@@ -11,9 +11,11 @@ from conftest import ts
 from pyspark.sql import functions as F
 
 from netquarry.functions import net, text, times
-from netquarry.operators import cases, context, correlate, devices, gateways, intel, learning, netmap, normalize, packets, profiles, rollup, selection, sigma
+from netquarry.operators import cases, context, correlate, devices, findings, gateways, intel, learning, netmap, normalize, packets, profiles, rollup, selection, sigma
 from netquarry.operators.common import first_listed_match, following, smallest_values, substring_matches, top_rows
+from netquarry.config import HuntConfig
 from netquarry.plans import hunt
+from netquarry.session import stage
 
 
 def column(frame, values, fn, ddl="string"):
@@ -483,3 +485,28 @@ def test_map_keeps_whole_lists(spark, frame):
     stores.save_map(nodes, folder)
     back = stores.load_map(spark, folder).first()
     assert len(back.software) == 60 and back.device_type == "server" and len(back.gateway_evidence) == 30
+
+
+def scan_bundle(frame, hosts, start=0):
+    rows = [("10.0.0.1", f"10.0.{i // 200}.{10 + i % 200}", 445, ts(start + i)) for i in range(hosts) for _ in range(3)]
+    ddl = "source_ip string, destination_ip string, destination_port int, timestamp timestamp"
+    extra = ", bytes_out bigint, bytes_in bigint, conn_state string, duration double, protocol string"
+    return {"connections": frame([(*r, 10, 10, "SF", 1.0, "tcp") for r in rows], ddl + extra)}
+
+
+def test_case_has_all_assets_and_goes_into_the_open_one(frame):
+    cfg = HuntConfig(disabled=tuple(n for n in findings.DETECTIONS if n not in ("fan_out", "ransomware_spread", "port_scans")))
+    first = hunt.run_hunt(scan_bundle(frame, 30), cfg, staged=True, hunt_id="one", hunted_at="2024-01-01 00:00:00")
+    assets = stage(first.case_assets, "assets")
+    assert {r.asset for r in assets.collect()} == {"10.0.0.1"} | {f"10.0.0.{10 + i}" for i in range(30)}
+    opened = stage(first.cases.drop("hunt"), "cases")
+    assert opened.count() == 1 and opened.first().created_at is not None
+    second = hunt.run_hunt(
+        scan_bundle(frame, 40, 900), cfg, staged=True, hunt_id="two", hunted_at="2024-01-01 06:00:00", open_cases=(opened, assets),
+    )
+    assert second.cases.count() == 0
+    assert {r.case_id for r in second.case_assets.collect()} == {opened.first().case_id} == {r.case_id for r in second.updated_cases.collect()}
+    later = hunt.run_hunt(
+        scan_bundle(frame, 40, 900), cfg, staged=True, hunt_id="two", hunted_at="2024-02-01 00:00:00", open_cases=(opened, assets),
+    )
+    assert {r.case_id for r in later.cases.collect()}.isdisjoint({opened.first().case_id}) and later.cases.count() == 1
