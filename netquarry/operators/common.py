@@ -154,14 +154,23 @@ def following(
 def substring_matches(texts: DataFrame, text: str, needles: DataFrame, needle: str, gram: int = 6) -> DataFrame:
     """Distinct (text, needle) pairs where the text contains the needle.
 
-    An equi-join instead of a nested loop: a contained needle's first ``n``
-    characters (n = min(gram, length)) are one of the text's n-grams, so rows
-    meet on (n, gram) and the containment test only filters candidates.
+    An equi-join instead of a nested loop: every run of ``n`` characters (n =
+    min(gram, length)) of a contained needle is one of the text's n-grams, so
+    rows meet on (n, gram) and the containment test only filters candidates.
+    Of a needle's runs the one that fewest needles have is taken, so that
+    needles with a common beginning do not all meet the same texts.
     """
     n = F.least(F.length(needle), F.lit(gram))
+    runs = (
+        needles.select(needle).where(F.length(needle) > 0).distinct().select(needle, n.alias("_n"))
+        .select(needle, "_n", F.explode(F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.length(needle) - F.col("_n") + 1), lambda i: F.substring(F.col(needle), i, F.col("_n"))
+        ))).alias("_gram"))
+    )
+    shared = runs.groupBy("_n", "_gram").agg(F.count(F.lit(1)).alias("_needles"))
     keyed = (
-        needles.select(needle).where(F.length(needle) > 0).distinct()
-        .select(needle, n.alias("_n"), F.substring(F.col(needle), F.lit(1), n).alias("_gram"))
+        runs.join(shared, ["_n", "_gram"]).groupBy(needle, "_n").agg(F.min(F.struct("_needles", "_gram")).alias("_best"))
+        .select(needle, "_n", F.col("_best._gram").alias("_gram"))
     )
     sizes = F.explode(F.sequence(F.lit(1), F.least(F.length(text), F.lit(gram))))
     grams = (

@@ -317,10 +317,18 @@ def certificate_matches(names: DataFrame, certificates: DataFrame) -> DataFrame:
     return names.join(pairs, "name").join(certs, "cn").select(*NODE, "cn", "cert_sensor").distinct()
 
 
-def certificate_issuers(matches: DataFrame, issuers: DataFrame) -> DataFrame:
-    """(node, issuer) from the issuer names and organisations seen by the
-    sensor of a matched certificate (cert_sensor, issuer)."""
-    return matches.select(*NODE, "cert_sensor").distinct().join(issuers.distinct(), "cert_sensor").select(*NODE, "issuer").distinct()
+def attach_certificates(node_table: DataFrame, matches: DataFrame) -> DataFrame:
+    """Certificate names that match a node join those its own TLS servers showed."""
+    found = sorted_values(matches, NODE, "cn", "_matched")
+    both = F.array_sort(F.array_union(_list(node_table, "cert_subjects"), F.coalesce("_matched", F.array().cast("array<string>"))))
+    return node_table.join(found, NODE, "left").withColumn("cert_subjects", both).drop("_matched")
+
+
+def certificate_issuers(matches: DataFrame, certificates: DataFrame) -> DataFrame:
+    """(node, issuer) of the certificates that match a node; ``certificates``
+    has cert_sensor, cn and issuer, so issuers come with their own certificate."""
+    listed = certificates.select("cert_sensor", F.lower(F.trim("cn")).alias("cn"), "issuer").distinct()
+    return matches.join(listed, ["cert_sensor", "cn"]).select(*NODE, "issuer").distinct()
 
 
 # --- device type ------------------------------------------------------------

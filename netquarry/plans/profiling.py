@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.operators import devices, gateways, netmap, profiles
+from netquarry.operators.common import sorted_values
 from netquarry.operators.netmap import NODE
 from netquarry.session import stage
 
@@ -60,6 +61,9 @@ def profile_map(
     if any(n in results for n in ("smb", "rdp", "dhcp", "dhcp_extended", "smtp_banner")):
         names = names.unionByName(devices.node_names_from_ip(devices.profile_names(results), net_map.nodes)).distinct()
     nodes = devices.attach_names(nodes, names)
+    if "x509" in logs:
+        certificates = profiles.profile_values(logs["x509"], "x509").select(F.col("sensor_id").alias("cert_sensor"), F.col("value").alias("cn"))
+        nodes = devices.attach_certificates(nodes, devices.certificate_matches(names, certificates))
     if "ntlm" in logs:
         rows = profiles.ntlm_rows(logs["ntlm"]).withColumnRenamed("ts", "timestamp")
         nodes = devices.attach_domain(nodes, netmap.ntlm_domains(rows))
@@ -68,10 +72,9 @@ def profile_map(
         heavy = None
     nodes = keep(nodes, "enriched")
     dhcp = gateways.dhcp_gateways(results["dhcp_gateway"]) if "dhcp_gateway" in results else None
-    cross = gateways.cross_subnet_gateways(net_map.edges)
+    cross, subnet = gateways.cross_subnet_gateways(net_map.edges), gateways.subnet_gateways(net_map.edges)
     evidence = gateways.infrastructure_evidence(
-        dhcp, gateways.snmp_infrastructure(nodes), gateways.subnet_gateways(net_map.edges), cross,
-        gateways.vendor_infrastructure(nodes),
+        dhcp, gateways.snmp_infrastructure(nodes), subnet, cross, gateways.vendor_infrastructure(nodes),
     )
     served = net_map.services.select("ip", "port")
     if "conn" in logs:
@@ -86,4 +89,8 @@ def profile_map(
         )
     kdc = devices.kerberos_servers(results["kerberos"]) if "kerberos" in results else None
     typed = devices.device_types(nodes, served, server, client, kdc, heavy, evidence, previous)
-    return typed.join(evidence.select("ip", "gateway_evidence"), "ip", "left")
+    serves = sorted_values(gateways.gateway_subnets(dhcp, subnet, cross, net_map.edges), ["ip"], "subnet", "is_gateway_for")
+    typed = typed.join(evidence.select("ip", "gateway_evidence"), "ip", "left").join(serves, "ip", "left")
+    typed = keep(typed.withColumn("is_gateway_for", F.coalesce("is_gateway_for", F.array().cast("array<string>"))), "typed")
+    identity = devices.host_identity(typed).select(*NODE, F.col("os").alias("host_id"))
+    return typed.join(identity, NODE, "left")
