@@ -216,16 +216,16 @@ def mac_bindings(leases: DataFrame) -> DataFrame:
     return rows.groupBy("mac", "ip", "vlan", "sensor_id").agg(
         F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
         F.coalesce(earliest("host_name"), F.lit("")).alias("hostname"),
+        F.min(F.when(F.col("host_name").isNotNull(), F.col("timestamp"))).alias("named_at"),
     )
 
 
 def merge_bindings(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Widen stored bindings by new ones; the earliest name stays."""
+    """Widen stored bindings by new ones; the name seen first stays, whichever side arrives first."""
+    named = F.min(F.when(F.col("hostname") != "", F.struct("named_at", "hostname")))
     return stored.unionByName(new).groupBy("mac", "ip", "vlan", "sensor_id").agg(
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-        F.coalesce(
-            F.min(F.when(F.col("hostname") != "", F.struct("first_seen", "hostname"))).getField("hostname"), F.lit("")
-        ).alias("hostname"),
+        F.coalesce(named.getField("hostname"), F.lit("")).alias("hostname"), named.getField("named_at").alias("named_at"),
     )
 
 

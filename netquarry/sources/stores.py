@@ -158,7 +158,7 @@ def save_mac_history(bindings: DataFrame, folder: str) -> None:
 
 def load_mac_history(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(
-        "mac string, ip string, vlan string, sensor_id string, first_seen timestamp, last_seen timestamp, hostname string"
+        "mac string, ip string, vlan string, sensor_id string, first_seen timestamp, last_seen timestamp, hostname string, named_at timestamp"
     ).json(folder)
 
 

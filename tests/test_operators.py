@@ -302,6 +302,18 @@ def test_mac_on_three_addresses(frame):
     assert netmap.multi_ip_macs(b).first().ip_count == 3 and netmap.device_identity(b, "10.0.0.2").count() == 3
 
 
+def test_merged_bindings_do_not_depend_on_arrival(frame):
+    rows = [("aa-bb-cc-00-00-01", "10.0.0.1", "0", "s", n, ts(i)) for i, n in ((1, ""), (5, "late"), (2, "early"), (3, None))]
+    leases = frame(rows, "mac string, ip string, vlan string, sensor_id string, host_name string, timestamp timestamp")
+    whole = netmap.mac_bindings(leases).collect()
+    parts = [netmap.mac_bindings(leases.where(F.col("host_name") == n)) for n in ("", "late", "early")]
+    for order in itertools.permutations(parts):
+        merged = order[0]
+        for part in order[1:]:
+            merged = netmap.merge_bindings(merged, part)
+        assert [(r.hostname, r.named_at) for r in merged.collect()] == [(r.hostname, r.named_at) for r in whole] == [("early", ts(2).replace(tzinfo=None))]
+
+
 def test_profile_value_cap_keeps_the_rest_in_the_long_form(frame):
     rows = [("10.0.0.1", f"ua{i:03d}", f"h{i}") for i in range(150)]
     log = frame(rows, "orig_h string, user_agent string, host string")

@@ -143,16 +143,16 @@ def leases(spark, sf):
 @R.add("mac_bindings", f"""
 WITH {_LEASES.strip()} SELECT mac, ip, vlan, sensor_id, epoch_us(f) AS first_seen, epoch_us(l) AS last_seen, hostname FROM b""")
 def _(spark, sf):
-    return out(netmap.mac_bindings(leases(spark, sf)))
+    return out(netmap.mac_bindings(leases(spark, sf)).drop("named_at"))
 
 
 @R.add("mac_bindings_merged", f"""
-WITH {_LEASES.strip()} SELECT mac, ip, sensor_id, epoch_us(f) AS first_seen, epoch_us(l) AS last_seen FROM b""")
+WITH {_LEASES.strip()} SELECT mac, ip, sensor_id, epoch_us(f) AS first_seen, epoch_us(l) AS last_seen, hostname FROM b""")
 def _(spark, sf):
     rows = leases(spark, sf)
     day = F.col("timestamp") < "1998-01-01"
     return out(netmap.merge_bindings(netmap.mac_bindings(rows.where(day)), netmap.mac_bindings(rows.where(~day))),
-               "mac", "ip", "sensor_id", "first_seen", "last_seen")
+               "mac", "ip", "sensor_id", "first_seen", "last_seen", "hostname")
 
 
 @R.add("mac_multi_ip", f"""

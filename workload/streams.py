@@ -347,7 +347,7 @@ def _(spark, sf):
 def _(spark, sf):
     folder = fresh_path(spark, "macs")
     stores.save_mac_history(netmap.mac_bindings(maps.leases(spark, sf)), folder)
-    return out(stores.load_mac_history(spark, folder))
+    return out(stores.load_mac_history(spark, folder).drop("named_at"))
 
 
 @R.add("store_case_feed", """
