@@ -118,6 +118,23 @@ def _(spark, sf):
     return out(r.cases.join(links, "case_id"), "escalation_level", "severity", "findings")
 
 
+@R.add("bulk_hunt_whole_history", R.sql["hunt_assessment"])
+def _(spark, sf):
+    """The bulk hunt over all four logs and all detections, its one window as long as the history."""
+    a = hunt.bulk_hunt(bundle(spark, sf), "36500 days", CFG, staged=True).assessments
+    return out(a.select("final_confidence", "agent_count", "corroborating_agents", "total_findings", "severity", "alert_level",
+                        F.size("mitre_techniques").alias("techniques"), "correlation_score"))
+
+
+@R.add("focused_hunt")
+def _(spark, sf):
+    """A second hunt over what the first one pointed at: rows only."""
+    logs = bundle(spark, sf)
+    first = hunt.run_hunt(logs, CFG, staged=True, hunt_id="hunt-1", hunted_at="2024-01-01 00:00:00")
+    second = hunt.focused_hunt(logs, first, CFG, staged=True, hunt_id="hunt-2", hunted_at="2024-01-01 01:00:00")
+    return out(second.assessments.select("final_confidence", "agent_count", "total_findings", "severity"))
+
+
 # --- windows ----------------------------------------------------------------
 
 _DAY = "date_trunc('day', ts)"

@@ -334,13 +334,22 @@ def _(spark, sf):
                "bytes_sent", "bytes_received", "out_degree", "in_degree", "first_seen", "last_seen", "is_internal", "service_count")
 
 
-@R.add("store_map_snapshots", "SELECT 'second' AS snapshot, count(*) AS nodes, 3::BIGINT AS sensors FROM (SELECT DISTINCT sensor_id, vlan, unnest([source_ip, destination_ip]) AS ip FROM v_conn) UNION ALL SELECT 'first', 10, (SELECT count(DISTINCT sensor_id) FROM (SELECT DISTINCT sensor_id, vlan, unnest([source_ip, destination_ip]) AS ip FROM v_conn ORDER BY sensor_id || ':' || vlan || ':' || ip LIMIT 10))", ("v_conn",))
+_ALL_NODES = "(SELECT DISTINCT sensor_id, vlan, unnest([source_ip, destination_ip]) AS ip FROM v_conn)"
+
+
+@R.add("store_map_snapshots", f"""SELECT s AS snapshot, count(*) AS nodes, count(DISTINCT sensor_id) AS sensors, min(ip) AS first_ip
+FROM {_ALL_NODES}, (SELECT unnest(['first', 'second']) AS s) WHERE s = 'second' OR sensor_id <> 'sensor1' GROUP BY 1""", ("v_conn",))
 def _(spark, sf):
+    """Two snapshots, the first without one sensor; counts as listed, the rest as loaded."""
     base = fresh_path(spark, "snapshots")
     nodes = maps._map(spark, sf)[0]
-    stores.save_snapshot(nodes.orderBy("node_id").limit(10), base, "first", "2024-01-01 00:00:00")
+    stores.save_snapshot(nodes.where("sensor_id <> 'sensor1'"), base, "first", "2024-01-01 00:00:00")
     stores.save_snapshot(nodes, base, "second", "2024-01-02 00:00:00")
-    return out(stores.list_snapshots(spark, base), "snapshot", "nodes", "sensors")
+    loaded = None
+    for name in ("first", "second"):
+        one = stores.load_snapshot(spark, base, name).agg(F.min("ip").alias("first_ip")).withColumn("snapshot", F.lit(name))
+        loaded = one if loaded is None else loaded.unionByName(one)
+    return out(stores.list_snapshots(spark, base).join(loaded, "snapshot"), "snapshot", "nodes", "sensors", "first_ip")
 
 
 @R.add("store_mac_history", maps.R.sql["mac_bindings"])
