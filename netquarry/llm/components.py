@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Large-star and small-star rounds (Kiveris et al., 2014): every node hands
     its greater neighbours, then its smaller ones, to the least node it knows,
-    until each edge leads to the least node of its component. Every step is a
+    until every node leads straight to the least of its component. Every step is a
     combining minimum and one join, so a node with very many edges is summed
     before it is shuffled; each round is a table in the shared folder. Edges
     with a null end and loops are left out; nodes that have only such edges
@@ -21,25 +21,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     links = stage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
-    before = _fingerprint(links)
-    while before[0]:
+    while _unsettled(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # the greater neighbours of u, and u itself, go to the least of them all
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stage(large, "components")
+        # the greater neighbours of u go to the least it knows, itself included
+        large = stage(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "components")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(least, "u")
-        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v")))
+        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         links = stage(small.where("u <> v").distinct(), "components")
-        now = _fingerprint(links)
-        if now == before:
-            break
-        before = now
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
+    return stage(nodes.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
 
 
-def _fingerprint(links: DataFrame) -> tuple[int, int]:
-    row = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return row[0], row[1] or 0
+def _unsettled(links: DataFrame) -> bool:
+    """Whether some node leads to two others, or is led to and leads on."""
+    ends = links.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        links.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    return not ends.groupBy("n").agg(F.sum("out").alias("o"), F.max("into").alias("i")).where("o > 1 OR (o = 1 AND i = 1)").isEmpty()

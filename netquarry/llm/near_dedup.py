@@ -10,22 +10,29 @@ of the functions (1 / similarity of them on average), and sends each of its
 sets to the child named by the function and the set's minwise token. Similar
 sets so meet in some child with a probability that does not fall with depth.
 
-A node is settled in two steps:
-
-1. every set is compared with the node's least one, which makes a star of
-   links and merges most copies, however many there are;
-2. sets that are not yet in one component are compared exhaustively, if the
-   node has ``node_sets`` sets at most, or if at most as many lie outside its
-   largest component: these are compared with all of the node, in blocks.
-   Other nodes branch further. At ``depth`` a node is compared in blocks,
-   however large: exact, but no longer linear.
+Links are found in three steps, each of which sends pairs to be confirmed and
+then joins the components that the confirmed ones link:
+
+1. every set with its node's least one, in the first trees: stars that merge
+   most copies, however many there are;
+2. a node is compared exhaustively if it has ``node_sets`` sets at most, or if
+   at most as many lie outside its largest component: these are compared with
+   all of the node, in blocks. Other nodes branch further; at ``depth`` a node
+   is compared in blocks, however large: exact, but no longer linear. In the
+   first trees each set passes on its best partner in every other component,
+   which merges most of what the stars left;
+3. in all trees, of the pairs of different components that are left, those
+   whose sketches allow a link are compared on their full sets in the node: each
+   text is sent once per node and block, not once per pair, and only links
+   come out, however many pairs lie just below the threshold.
 
 Only pairs from different components are compared, so a group of copies never
-gives all its pairs. Comparisons within a node use signatures and pass on
-what may reach the threshold (five standard errors below it and up); every
-link is then confirmed on the full sets. Components are the result of
-star-contraction rounds. The trees are as many as ``recall`` needs for a pair
-just at the threshold at depth 3; pairs above it are found more surely.
+gives all its pairs. Comparisons within a node use sketches of 256 bytes (one
+permutation, minima by bin) and pass on what may reach the threshold (four
+standard errors below it and up); every link is confirmed on the full sets,
+for which only the texts of such pairs are fetched. The trees are as
+many as ``recall`` needs for a pair just at the threshold at depth 3; pairs
+above it are found more surely.
 
 Texts that are null, or have no words, have an empty set and link with
 nothing; fewer words than five make one shingle. Null ids take part in no
@@ -41,24 +48,29 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.llm import textkit
 from netquarry.llm.components import connected_components
+from netquarry.llm.semijoin import maybe_in, without
 from netquarry.session import stage
 
 
 @dataclass(frozen=True)
 class DedupConfig:
-    """percent: least similarity, in hundredths; functions: length of a signature."""
+    """percent: least similarity, in hundredths; functions: minwise functions that nodes select from."""
 
     percent: int = 75
     shingle: int = 5
-    functions: int = 64
+    functions: int = 32
     recall: float = 0.999
-    node_sets: int = 256
+    star_trees: int = 2
+    best_trees: int = 4
+    node_sets: int = 512
+    small_sets: int = 32
     depth: int = 8
+    errors: float = 4.0
     seed: int = 1009
 
     @property
@@ -71,11 +83,8 @@ class DedupConfig:
             miss = (1 - second) * one + second * one * one
         return max(1, math.ceil(math.log(1 - self.recall) / math.log(miss)))
 
-    @property
-    def least_agreeing(self) -> int:
-        """Agreeing functions below which a pair is not worth its full sets."""
-        j = self.percent / 100
-        return max(1, math.floor(self.functions * (j - 5 * math.sqrt(j * (1 - j) / self.functions))))
+
+BINS = 256
 
 
 def shingle_sets(part: pa.RecordBatch, size: int) -> list[np.ndarray]:
@@ -97,16 +106,42 @@ def _multipliers(cfg: DedupConfig) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1] | np.uint64(1)
 
 
+def _bins(every: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each set the least hash of each bin, as a byte; 0 for a bin without any."""
+    least = np.full(n * BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, owner * BINS + (every & np.uint64(BINS - 1)).astype(np.int64), every >> np.uint64(8))
+    out = (1 + textkit.mix(least) % np.uint64(255)).astype(np.uint8)
+    out[least == np.iinfo(np.uint64).max] = 0
+    return out.reshape(n, BINS)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarity of the sets behind the bins, and how many bins tell."""
+    telling = np.maximum(1, np.count_nonzero(a | b, axis=-1))
+    same = np.count_nonzero((a == b) & (a != 0), axis=-1)
+    return (same / telling - 1 / 255) * (255 / 254), telling
+
+
+def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, cfg: DedupConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the sizes allow the threshold and the estimate is not far below it; the estimate."""
+    j = cfg.percent / 100
+    estimate, telling = similarity(a, b)
+    sizes = 100 * np.minimum(na, nb) >= cfg.percent * np.maximum(na, nb)
+    return sizes & (estimate >= j - cfg.errors * np.sqrt(j * (1 - j) / telling)), estimate
+
+
 def sketches(docs: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """(id, text_key, n, f1, f2, sig) of every row of (id, text, text_key): set size, set digest, minwise tokens."""
+    """(id, text_key, n, f1, f2, sig, bins) of every row of (id, text, text_key): set size and digest, minwise tokens, sketch."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def rows(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(part, cfg.shingle)
+        n = len(sets)
         sizes = np.array([len(s) for s in sets], np.int64)
         full = np.flatnonzero(sizes)
-        sig = np.zeros((len(sets), cfg.functions), np.uint32)
-        digest = np.zeros((2, len(sets)), np.uint64)
+        sig = np.zeros((n, cfg.functions), np.uint32)
+        digest = np.zeros((2, n), np.uint64)
+        bins = np.zeros((n, BINS), np.uint8)
         if len(full):
             every = np.concatenate([sets[i] for i in full])
             starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
@@ -115,21 +150,25 @@ def sketches(docs: DataFrame, cfg: DedupConfig) -> DataFrame:
                 sig[full, j] = np.minimum.reduceat(((v ^ (v >> np.uint64(29))) * m) >> np.uint64(32), starts)
             digest[0, full] = np.add.reduceat(textkit.mix(every + np.uint64(1)), starts)
             digest[1, full] = np.add.reduceat(textkit.mix(every ^ np.uint64(textkit.STEP[20])), starts)
-        lists = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * cfg.functions, pa.array(sig.view(np.int32).ravel()))
-        return {"id": part.column("id"), "text_key": part.column("text_key"), "n": sizes, "f1": digest[0].view(np.int64), "f2": digest[1].view(np.int64), "sig": lists}
+            bins = _bins(textkit.mix(every), np.repeat(np.arange(n), sizes), n)
+        lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * cfg.functions, pa.array(sig.view(np.int32).ravel()))
+        return {
+            "id": part.column("id"), "text_key": part.column("text_key"), "n": sizes, "f1": digest[0].view(np.int64),
+            "f2": digest[1].view(np.int64), "sig": lists, "bins": pa.array([b.tobytes() for b in bins], pa.binary()),
+        }
 
-    return textkit.map_arrow(docs, rows, f"id {kind}, text_key bigint, n bigint, f1 bigint, f2 bigint, sig array<int>")
+    return textkit.map_arrow(docs, rows, f"id {kind}, text_key bigint, n bigint, f1 bigint, f2 bigint, sig array<int>, bins binary")
 
 
 def _children(rows: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """(tree, node, id) one level down from (tree, node, id, sig): a child for each function its node selects."""
+    """(tree, node, id, sig) one level down: a child for each function its node selects."""
     first = F.pmod(F.xxhash64(F.lit(cfg.seed), "tree", "node"), F.lit(cfg.functions))
     second = F.pmod(F.xxhash64(F.lit(cfg.seed + 1), "tree", "node"), F.lit(cfg.functions - 1))
     second = F.when(second >= first, second + 1).otherwise(second)  # another one than the first
     extra = F.pmod(F.xxhash64(F.lit(cfg.seed + 2), "tree", "node"), F.lit(1000)) < round(1000 * (100 / cfg.percent - 1))
     picked = F.when(extra, F.array(first, second)).otherwise(F.array(first))
     branch = rows.withColumn("f", F.explode(picked))
-    return branch.select("tree", F.xxhash64("node", "f", F.element_at("sig", (F.col("f") + 1).cast("int"))).alias("node"), "id")
+    return branch.select("tree", F.xxhash64("node", "f", F.element_at("sig", (F.col("f") + 1).cast("int"))).alias("node"), "id", "sig")
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
@@ -173,15 +212,18 @@ def confirm(pairs: DataFrame, texts: DataFrame, cfg: DedupConfig, block: int = 6
     """The pairs (a, b) of ids whose full sets reach the threshold.
 
     Each ``a`` meets its partners in blocks: its text is sent once per block,
-    a partner's text once per pair.
+    a partner's text once per pair. ``ka`` and ``kb`` say which text is an
+    id's.
     """
-    pairs = pairs.distinct().withColumn("block", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
     busy = pairs.groupBy("a").agg(F.count("*").alias("partners"))
-    parts = F.ceil(F.col("partners") / block)
-    dealt = stage(pairs.join(busy, "a").select("a", "b", (F.col("block") % parts).cast("int").alias("block")), "dedup-pairs")
-    heads = dealt.select(F.col("a").alias("id"), "a", "block", F.lit(0).alias("part")).distinct()
-    asked = heads.unionByName(dealt.select(F.col("b").alias("id"), "a", "block", F.lit(1).alias("part")))
-    rows = asked.join(texts, "id").repartition("a", "block").sortWithinPartitions("a", "block", "part")
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / block)).cast("int")
+    dealt = stage(pairs.join(busy, "a").select("a", "ka", "b", "kb", salt.alias("block")), "dedup-pairs")
+    heads = dealt.select(F.col("a").alias("id"), F.col("ka").alias("text_key"), "a", "block", F.lit(0).alias("part")).distinct()
+    tails = dealt.select(F.col("b").alias("id"), F.col("kb").alias("text_key"), "a", "block", F.lit(1).alias("part"))
+    asked = heads.unionByName(tails)
+    ids = dealt.select(F.explode(F.array("a", "b")).alias("id"))
+    near = maybe_in(texts, ids).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = near.join(asked, ["id", "text_key"]).drop("text_key").repartition("a", "block").sortWithinPartitions("a", "block", "part")
 
     def linked(batches):
         head = None
@@ -203,26 +245,24 @@ def confirm(pairs: DataFrame, texts: DataFrame, cfg: DedupConfig, block: int = 6
     return rows.mapInArrow(linked, f"a {kind}, b {kind}")
 
 
-def _likely(agreeing: Column, cfg: DedupConfig) -> Column:
-    return agreeing >= cfg.least_agreeing
-
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BINS)
 
-def _agreeing(a: Column, b: Column) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
 
+def _star(crowded: DataFrame, sketch: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """Pairs of each set with its node's least one that may reach the threshold."""
+    pairs = crowded.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    both = pairs.join(sketch.toDF("a", "ka", "na", "ba"), "a").join(sketch.toDF("b", "kb", "nb", "bb"), "b")
 
-def _fit(a: Column, b: Column, cfg: DedupConfig) -> Column:
-    """Set sizes that allow the threshold at all."""
-    return 100 * F.least(a, b) >= cfg.percent * F.greatest(a, b)
-
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                sizes = (np.asarray(batch.column(c)) for c in ("na", "nb"))
+                good, _ = may_link(_matrix(batch.column("ba")), _matrix(batch.column("bb")), *sizes, cfg)
+                yield batch.select(["a", "ka", "b", "kb"]).filter(pa.array(good))
 
-def _star(crowded: DataFrame, sigs: DataFrame, known: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """Pairs of each set with its node's least one, not yet in one component, that may reach the threshold."""
-    pairs = crowded.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = _apart(pairs, known)
-    left, right = sigs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), sigs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.where(_fit(F.col("na"), F.col("nb"), cfg) & _likely(_agreeing(F.col("sa"), F.col("sb")), cfg)).select("a", "b")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return both.select("a", "ka", "b", "kb", "na", "nb", "ba", "bb").mapInArrow(run, f"a {kind}, ka bigint, b {kind}, kb bigint")
 
 
 def _label(rows: DataFrame, known: DataFrame, id_col: str, out: str) -> DataFrame:
@@ -230,90 +270,233 @@ def _label(rows: DataFrame, known: DataFrame, id_col: str, out: str) -> DataFram
     return rows.join(labels, F.col(id_col) == F.col("_node"), "left").withColumn(out, F.coalesce("_component", id_col)).drop("_node", "_component")
 
 
-def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    both = _label(_label(pairs, known, "a", "ca"), known, "b", "cb")
-    return both.where("ca <> cb").drop("ca", "cb")
-
+def _mixed(rows: DataFrame, known: DataFrame, cfg: DedupConfig, last: bool) -> DataFrame:
+    """Rows of nodes with several components, with component, the node's largest, its blocks, and whether it is compared."""
+    labelled = _label(rows, known, "id", "component")
+    sizes = labelled.groupBy("tree", "node", "component").agg(F.count("*").alias("c"))
+    tops = sizes.groupBy("tree", "node").agg(
+        F.sum("c").alias("members"), F.max(F.struct("c", "component")).alias("best"), F.count("*").alias("parts")
+    ).where("parts > 1")
+    few = (F.col("members") <= cfg.node_sets) | (F.col("members") - F.col("best.c") <= cfg.node_sets) | F.lit(last)
+    tops = tops.select("tree", "node", F.col("best.component").alias("top"), "members", F.ceil(F.col("members") / cfg.node_sets).alias("blocks"), few.alias("few"))
+    return labelled.join(tops, ["tree", "node"])
 
-def _compared(mixed: DataFrame, sigs: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """Pairs within nodes, from different components, that may reach the threshold.
 
-    ``mixed`` has tree, node, id, component, top (its node's largest component)
-    and blocks. Sets outside of it meet every block of the node, all sets lie
-    in one.
-    """
+def _blocks(mixed: DataFrame, sketch: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """Rows of nodes dealt to blocks: sets outside the node's largest component
+    go to every block (part 0), all sets lie in one (part 1)."""
     salt = F.pmod(F.xxhash64(F.lit(cfg.seed + 3), "id"), F.col("blocks"))
     lying = mixed.select("tree", "node", "id", "component", F.lit(1).alias("part"), salt.cast("int").alias("block"))
-    outer = mixed.where("component <> top")
-    meeting = outer.select("tree", "node", "id", "component", F.lit(0).alias("part"), F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"))
-    rows = lying.unionByName(meeting).join(sigs.select("id", "n", "sig"), "id")
-
-    def candidates(group: pd.DataFrame, carried: dict) -> pd.DataFrame | None:
-        sig = np.stack(group["sig"].to_numpy())
-        own = [group[c].to_numpy() for c in ("id", "component", "n")]
-        asks = (group["part"] == 0).to_numpy()
-        parts = carried.setdefault("asks", [])
-        if asks.any():
-            parts.append((sig[asks], *(x[asks] for x in own)))
-        if asks.all() or not parts:
-            return None
-        a, b = [], []
-        lies = ~asks
-        theirs, ids, components, sizes = sig[lies], *(x[lies] for x in own)
-        for asked, ask_ids, ask_components, ask_sizes in parts:
-            for i in range(len(ask_ids)):
-                maybe = (components != ask_components[i]) & (100 * np.minimum(sizes, ask_sizes[i]) >= cfg.percent * np.maximum(sizes, ask_sizes[i]))
-                at = np.flatnonzero(maybe)
+    every = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
+    meeting = mixed.where("component <> top").select("tree", "node", "id", "component", F.lit(0).alias("part"), every.alias("block"))
+    return lying.unionByName(meeting).join(sketch, "id")
+
+
+class Asks:
+    """The sets of a block that meet all others, gathered as their rows come (they come first)."""
+
+    def __init__(self, group: pd.DataFrame, carried: dict, cfg: DedupConfig):
+        self.bins = np.frombuffer(b"".join(group["bins"]), np.uint8).reshape(len(group), BINS)
+        self.cols = {c: group[c].to_numpy() for c in ("id", "text_key", "component", "n")}
+        self.asks = (group["part"] == 0).to_numpy()
+        self.parts, self.cfg = carried.setdefault("asks", []), cfg
+        if self.asks.any():
+            self.parts.append({"bins": self.bins[self.asks]} | {c: v[self.asks] for c, v in self.cols.items()})
+        self.bins = self.bins[~self.asks]
+        self.cols = {c: v[~self.asks] for c, v in self.cols.items()}
+
+    def meetings(self):
+        """(gathered part, place in it, places of the sets here it may link with, their estimates)."""
+        components, sizes = self.cols["component"], self.cols["n"]
+        for p, part in enumerate(self.parts if len(sizes) else ()):
+            for i in range(len(part["id"])):
+                size = part["n"][i]
+                fit = 100 * np.minimum(sizes, size) >= self.cfg.percent * np.maximum(sizes, size)
+                at = np.flatnonzero((components != part["component"][i]) & fit)
                 if len(at):
-                    at = at[(theirs[at] == asked[i]).sum(axis=1) >= cfg.least_agreeing]
-                    a += [min(ask_ids[i], x) for x in ids[at]]
-                    b += [max(ask_ids[i], x) for x in ids[at]]
-        return pd.DataFrame({"a": a, "b": b})
+                    good, estimate = may_link(self.bins[at], part["bins"][i], sizes[at], size, self.cfg)
+                    if good.any():
+                        yield p, i, at[good], estimate[good]
+
 
+def _small_pairs(batches, cfg: DedupConfig):
+    """(rows, i, j, estimate) for runs of whole nodes: the places of rows of one node that may link.
+
+    Rows come sorted by node, few to a node; all nodes of a batch are compared
+    at once, each row with the next, the next but one, and so on. The last
+    node of a batch waits for the next batch.
+    """
+    held = None
+    for batch in _and_none(batches):
+        rows = held if batch is None else batch.to_pandas() if held is None else pd.concat([held, batch.to_pandas()], ignore_index=True)
+        if rows is None or not len(rows):
+            continue
+        tree, node = rows["tree"].to_numpy(), rows["node"].to_numpy()
+        end = len(rows)
+        if batch is not None:
+            last = np.flatnonzero((tree != tree[-1]) | (node != node[-1]))
+            end = int(last[-1]) + 1 if len(last) else 0
+        held, rows = rows.iloc[end:].reset_index(drop=True), rows.iloc[:end]
+        if not end:
+            continue
+        tree, node = tree[:end], node[:end]
+        bins = np.frombuffer(b"".join(rows["bins"]), np.uint8).reshape(end, BINS)
+        component, size = rows["component"].to_numpy(), rows["n"].to_numpy()
+        left, right, estimates = [], [], []
+        for gap in range(1, cfg.small_sets):
+            same = np.flatnonzero((tree[gap:] == tree[:-gap]) & (node[gap:] == node[:-gap])) if end > gap else np.zeros(0, np.int64)
+            if not len(same):
+                break
+            i, j = same, same + gap
+            apart = component[i] != component[j]
+            good, estimate = may_link(bins[i[apart]], bins[j[apart]], size[i[apart]], size[j[apart]], cfg)
+            left.append(i[apart][good])
+            right.append(j[apart][good])
+            estimates.append(estimate[good])
+        if sum(map(len, left)):
+            yield rows, np.concatenate(left), np.concatenate(right), np.concatenate(estimates)
+
+
+def _and_none(batches):
+    yield from batches
+    yield None
+
+
+def _small_rows(mixed: DataFrame, sketch: DataFrame, cfg: DedupConfig) -> DataFrame:
+    rows = mixed.where(F.col("members") <= cfg.small_sets).select("tree", "node", "id", "component").join(sketch, "id")
+    return rows.repartition("tree", "node").sortWithinPartitions("tree", "node")
+
+
+def _best_pairs(mixed: DataFrame, sketch: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """(a, ka, b, kb): each set's likeliest partner in every other component of a node or block."""
+    kind = mixed.schema["id"].dataType.simpleString()
+    schema = f"a {kind}, ka bigint, b {kind}, kb bigint"
+
+    def small(batches):
+        for rows, i, j, estimate in _small_pairs(batches, cfg):
+            ids, keys, component = (rows[c].to_numpy() for c in ("id", "text_key", "component"))
+            ways = pd.DataFrame({"me": np.concatenate((i, j)), "it": np.concatenate((j, i)), "e": np.tile(estimate, 2)})
+            ways["c"] = component[ways["it"]]
+            best = ways.sort_values("e", ascending=False, kind="stable").drop_duplicates(["me", "c"])
+            out = [(*min(x, y), *max(x, y)) for x, y in zip(zip(ids[best["me"]], keys[best["me"]]), zip(ids[best["it"]], keys[best["it"]]))]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["a", "ka", "b", "kb"]), preserve_index=False)
+
+    def candidates(group: pd.DataFrame, carried: dict) -> pd.DataFrame:
+        asks, out = Asks(group, carried, cfg), []
+        ids, keys, components = (asks.cols[c] for c in ("id", "text_key", "component"))
+        for p, i, at, estimate in asks.meetings():
+            at = at[np.argsort(-estimate, kind="stable")]
+            at = at[np.unique(components[at], return_index=True)[1]]
+            me = (asks.parts[p]["id"][i], asks.parts[p]["text_key"][i])
+            out += [(*min(me, it), *max(me, it)) for it in zip(ids[at], keys[at])]
+        return pd.DataFrame(out, columns=["a", "ka", "b", "kb"])
+
+    large = _blocks(mixed.where(F.col("members") > cfg.small_sets), sketch, cfg)
+    return (
+        _small_rows(mixed, sketch, cfg).mapInArrow(small, schema)
+        .unionByName(stream_groups(large, ["tree", "node", "block"], ["part"], candidates, schema)).distinct()
+    )
+
+
+def _exact_links(mixed: DataFrame, sketch: DataFrame, texts: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """(a, b): all links between different components of a node."""
+    keys = ["tree", "node", "block"]
     kind = mixed.schema["id"].dataType.simpleString()
-    return stream_groups(rows, ["tree", "node", "block"], ["part"], candidates, f"a {kind}, b {kind}").distinct()
+    schema = f"part int, id {kind}, text_key bigint, component {kind}, tree int, node bigint, block int"
+
+    def small(batches):
+        """The rows that may link with one of their node at all."""
+        for rows, i, j, _ in _small_pairs(batches, cfg):
+            for part, at in ((0, np.unique(i)), (1, np.unique(j))):
+                picked = rows.iloc[at]
+                out = pd.DataFrame({"part": np.int32(part), **{c: picked[c].to_numpy() for c in ("id", "text_key", "component", "tree", "node")}})
+                out["block"] = np.int32(0)
+                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+    def hopeful(group: pd.DataFrame, carried: dict) -> pd.DataFrame:
+        asks = Asks(group, carried, cfg)
+        here, there = set(), {}
+        for p, i, at, _ in asks.meetings():
+            here.update(at.tolist())
+            there[p, i] = True
+        rows = [(1, *(asks.cols[c][i] for c in ("id", "text_key", "component"))) for i in sorted(here)]
+        rows += [(0, *(asks.parts[p][c][i] for c in ("id", "text_key", "component"))) for p, i in there]
+        out = pd.DataFrame(rows, columns=["part", "id", "text_key", "component"])
+        for k in keys:
+            out[k] = group[k].iloc[0]
+        return out
+
+    large = _blocks(mixed.where(F.col("members") > cfg.small_sets), sketch, cfg)
+    asked = stage(
+        _small_rows(mixed, sketch, cfg).mapInArrow(small, schema)
+        .unionByName(stream_groups(large, keys, ["part"], hopeful, schema)).distinct(), "dedup-hopeful",
+    )
+    near = maybe_in(texts, asked.select("id")).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+    def linked(batches):
+        group, asks = None, []
+        for piece in textkit.slices(batches):
+            found_links = []
+            names = ("tree", "node", "block", "part", "id", "component")
+            for (*key, part, own, component), found in zip(zip(*(piece.column(c).to_pylist() for c in names)), shingle_sets(piece, cfg.shingle)):
+                if key != group:
+                    group, asks = key, []
+                if part == 0:
+                    asks.append((own, component, found))
+                    continue
+                for other, theirs, head in asks:
+                    if component == theirs or 100 * min(len(head), len(found)) < cfg.percent * max(len(head), len(found)):
+                        continue
+                    common = len(np.intersect1d(head, found, assume_unique=True))
+                    if 100 * common >= cfg.percent * (len(head) + len(found) - common):
+                        found_links.append((min(own, other), max(own, other)))
+            ids = piece.schema.field("id").type
+            yield pa.RecordBatch.from_pydict({c: pa.array([x[i] for x in found_links], ids) for i, c in enumerate("ab")})
+
+    dealt = near.join(asked, ["id", "text_key"]).repartition(*keys).sortWithinPartitions(*keys, "part")
+    return dealt.mapInArrow(linked, f"a {kind}, b {kind}").distinct()
 
 
 def near_components(docs: DataFrame, cfg: DedupConfig = DedupConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component) of every row of ``docs``."""
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    texts = texts.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    drawn = stage(sketches(texts, cfg), "dedup-sketches")
+    drawn = stage(sketches(texts.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))), cfg), "dedup-sketches")
     digest = ["f1", "f2", "n"]
     usable = drawn.where("n > 0 and id is not null")
     classes = stage(usable.groupBy(*digest).agg(F.min("id").alias("id")), "dedup-classes")
     speaking = usable.join(classes.select("id").distinct(), "id").groupBy("id").agg(F.min("text_key").alias("text_key"))
-    sigs = stage(usable.join(speaking, ["id", "text_key"]).dropDuplicates(["id"]).select("id", "text_key", "n", "sig"), "dedup-signatures")
-    links = stage(sigs.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), "dedup-links")
-    known = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    roots = F.explode(F.sequence(F.lit(0), F.lit(cfg.trees - 1)))
-    rows = sigs.select("id", "sig", roots.alias("tree")).withColumn("node", F.lit(0).cast("bigint"))
-    class_texts = None
-    for level in range(1, cfg.depth + 1):
-        crowded = stage(_crowded(_children(rows, cfg)), "dedup-nodes")
-        if class_texts is None:  # nothing else is ever compared
-            compared = crowded.select("id").distinct().join(sigs.select("id", "text_key"), "id")
-            class_texts = stage(texts.join(compared, ["id", "text_key"]).select("id", "text"), "dedup-texts")
-        for step in ("star", "compare"):
-            if step == "star":
-                pairs = _star(crowded, sigs, known, cfg)
-            else:
-                labelled = _label(crowded.drop("least"), known, "id", "component")
-                by_component = labelled.groupBy("tree", "node", "component").agg(F.count("*").alias("c"))
-                tops = by_component.groupBy("tree", "node").agg(
-                    F.sum("c").alias("members"), F.max(F.struct("c", "component")).alias("best"), F.count("*").alias("parts")
-                ).where("parts > 1")
-                few = (F.col("members") <= cfg.node_sets) | (F.col("members") - F.col("best.c") <= cfg.node_sets) | F.lit(level == cfg.depth)
-                tops = tops.select("tree", "node", F.col("best.component").alias("top"), F.ceil(F.col("members") / cfg.node_sets).alias("blocks"), few.alias("few"))
-                mixed = stage(labelled.join(tops, ["tree", "node"]), "dedup-mixed")
-                pairs = _compared(mixed.where("few"), sigs, cfg)
-                rows = mixed.where(~F.col("few")).select("tree", "node", "id").join(sigs.select("id", "sig"), "id")
-            fresh = stage(confirm(pairs, class_texts, cfg), "dedup-confirmed")
-            if not fresh.isEmpty():
-                links = stage(links.unionByName(fresh), "dedup-links")
-                known = stage(connected_components(links), "dedup-components")
-        if mixed.where(~F.col("few")).isEmpty():
-            break
+    sets = stage(usable.join(speaking, ["id", "text_key"]).dropDuplicates(["id"]).select("id", "text_key", "n", "sig", "bins"), "dedup-sets")
+    sketch = sets.select("id", "text_key", "n", "bins")
+    known = classes.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
+
+    def settle(fresh: DataFrame, known: DataFrame) -> DataFrame:
+        """The components known so far, joined where confirmed links touch them."""
+        fresh = stage(fresh, "dedup-links")
+        if fresh.isEmpty():
+            return known
+        ends = _label(_label(fresh, known, "a", "ca"), known, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        joined = connected_components(ends)
+        moved = known.join(joined.toDF("_old", "_new"), F.col("component") == F.col("_old"), "left")
+        added = joined.join(known.select("node"), "node", "left_anti")
+        return stage(moved.select("node", F.coalesce("_new", "component").alias("component")).unionByName(added), "dedup-components")
+
+    rows = sets.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(cfg.trees - 1))).alias("tree")).withColumn("node", F.lit(0).cast("bigint"))
+    few, level = None, 0
+    while few is None or not many.isEmpty():
+        for _ in range(1 if few is None else 2):  # once nodes are known to be large, two levels at a time
+            rows, level = _children(rows, cfg), level + 1
+        crowded = stage(_crowded(stage(rows.drop("sig"), "dedup-children")), "dedup-nodes")
+        if few is None:
+            stars = stage(_star(crowded.where(F.col("tree") < cfg.star_trees), sketch, cfg), "dedup-stars")
+            known = settle(confirm(stars, texts, cfg), known)
+        mixed = stage(_mixed(crowded.drop("least"), known, cfg, level >= cfg.depth), "dedup-mixed")
+        few = mixed.where("few") if few is None else few.unionByName(mixed.where("few"))
+        many = mixed.where(~F.col("few"))
+        rows = many.select("tree", "node", "id").join(sets.select("id", "sig"), "id")
+    likely = _best_pairs(few.where(F.col("tree") < cfg.best_trees), sketch, cfg)
+    known = settle(confirm(stage(likely, "dedup-best"), texts, cfg), known)
+    left = _mixed(few.select("tree", "node", "id"), known, cfg, True)
+    known = settle(_exact_links(left, sketch, texts, cfg), known)
     placed = _label(classes, known, "id", "component").select(*[F.col(c).alias(f"_{c}") for c in digest], "component")
     own = drawn.select("id", *digest).join(placed, [F.col(c) == F.col(f"_{c}") for c in digest], "left")
     lone = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
@@ -329,4 +512,4 @@ def keep_one(docs: DataFrame, cfg: DedupConfig = DedupConfig(), id_col: str = "d
     """The documents whose id is their component's least, with their own columns; of rows that share it, all."""
     found = near_components(docs, cfg, id_col)
     gone = stage(found.where(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("_gone")).distinct(), "dedup-gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return without(docs, gone, id_col, "_gone")

@@ -395,3 +395,19 @@ def test_passages_of_odd_rows(frame):
     rows = [(None, long, "en", "s", 1), (1, long, None, None, None), (1, long, "en", "s", 1), (2, long + " z", "en", "s", 1), (3, None, "en", "s", 1)]
     assert {r["doc_id"] for r in passages.repeated_passages(frame(rows, DDL)).collect()} == {1, 2}
     assert passages.repeated_passages(frame([], DDL)).count() == 0
+
+
+def test_split_rows_keeps_every_row_once(frame):
+    from netquarry.llm.semijoin import maybe_in, split_rows, without
+
+    rows = frame([(i if i % 50 else None, i % 3) for i in range(3000)], "id bigint, __x int")
+    ids = frame([(i,) for i in range(0, 3000, 7)] + [(None,)], "gone bigint")
+    near, far = split_rows(rows, ids, "id", "gone")
+    assert near.columns == far.columns == rows.columns
+    assert near.count() + far.count() == rows.count() and near.count() < 700
+    named = {i for i in range(3000) if i % 50 and i % 7 == 0}
+    assert named <= {r["id"] for r in near.collect()}
+    assert sorted(r["id"] for r in without(rows, ids, "id", "gone").collect()) == [i for i in range(3000) if i % 50 and i % 7]
+    text = frame([("a",), ("b",)], "id string")
+    assert [r["id"] for r in maybe_in(text, frame([("a",)], "id string")).collect()] == ["a"]
+    assert without(text, text.limit(0), "id", "id").count() == 2
