@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from netquarry.session import stage
 
 
+MOST_BITS = 16
+
+
 @dataclass(frozen=True)
 class ShardConfig:
     shards: int = 16
@@ -99,6 +102,8 @@ def curve_index(axes: Sequence[Column], bits: int) -> Column:
 
 def with_curve(docs: DataFrame, dims: Sequence[str], bits: int, out: str = "_curve") -> DataFrame:
     """Adds the curve index of each row's cell; the cells' bounds are quantiles over all rows."""
+    if bits * len(dims) > MOST_BITS:
+        raise ValueError(f"bits x dimensions must be {MOST_BITS} at most: the table of cells is broadcast")
     kinds = {c: docs.schema[c].dataType.simpleString() for c in dims}
     ends = docs.agg(*[f(F.col(c)).alias(f"{f.__name__}_{c}") for c in dims for f in (F.min, F.max)]).first()
     codes = [_code(F.col(c), kinds[c], F.lit(ends[f"min_{c}"]), F.lit(ends[f"max_{c}"])) for c in dims]
@@ -123,14 +128,16 @@ def with_curve(docs: DataFrame, dims: Sequence[str], bits: int, out: str = "_cur
 def with_rank(rows: DataFrame, order: str, key: Column, run_rows: int) -> DataFrame:
     """Adds ``_rank`` from 0 over (``order``, ``key``) and ``_total``; ``key`` is a 64-bit hash.
 
-    ``rows`` should be a stored table, as it is read twice.
+    ``rows`` should be a stored table, as it is read twice. ``order`` has few
+    values (cells of the curve); their sizes are broadcast, so that rows are
+    dealt by run and never by the value alone.
     """
     keyed = rows.withColumn("_key", key)
     sizes = keyed.groupBy(order).agg(F.count("*").alias("_n"))
     # runs of one order value: by the highest bits of the key, as many as its rows need
     split = sizes.select(order, F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / run_rows))).cast("int").alias("_bits"))
     run = F.call_function("shiftrightunsigned", F.call_function("shiftrightunsigned", F.col("_key").bitwiseXOR(F.lit(-(2**63))), F.lit(1)), F.lit(63) - F.col("_bits"))
-    runs = keyed.join(split, order).withColumn("_run", run).drop("_bits")
+    runs = keyed.join(F.broadcast(split), order).withColumn("_run", run).drop("_bits")
     counts = runs.groupBy(order, "_run").agg(F.count("*").alias("_n"))
     within = Window.partitionBy(order).orderBy("_run")
     before = Window.orderBy(order)
