@@ -178,8 +178,9 @@ def cutoffs(labelled: DataFrame, rules: tuple[Rule, ...], cfg: RuleConfig, strat
         .groupBy("stratum", "good", "rule", "caught_by")
         .agg(F.count("*").alias("n"))
     )
-    strata = held.agg(F.count_distinct(F.coalesce(F.concat(F.lit("="), F.col(stratum)), F.lit(""))).alias("n_strata"))
-    grids, part, level = [r.grid for r in rules], cfg.risk / len(rules), cfg.error / len(rules)
+    named = F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit(""))  # a null stratum counts
+    strata = max(1, held.agg(F.count_distinct(named)).first()[0])
+    grids, part, level = [r.grid for r in rules], cfg.risk / len(rules), cfg.error / len(rules) / strata
 
     def walk(group):
         out = []
@@ -192,7 +193,7 @@ def cutoffs(labelled: DataFrame, rules: tuple[Rule, ...], cfg: RuleConfig, strat
             n, best = int(lost[0]), None
             for step in range(len(grid)):  # a document over the mildest cutoff is over all: in the last cell
                 at = len(grid) - step
-                if binomial_tail(int(lost[at]), n, part) > level / int(rows["n_strata"].iloc[0]):
+                if binomial_tail(int(lost[at]), n, part) > level:
                     break
                 if best is None or caught[at] > caught[best]:
                     best = at
@@ -201,7 +202,7 @@ def cutoffs(labelled: DataFrame, rules: tuple[Rule, ...], cfg: RuleConfig, strat
         return pd.DataFrame(out, columns=["stratum", "rule", "cutoff", "n_good", "n_lost", "n_caught"])
 
     kind = labelled.schema[stratum].dataType.simpleString()
-    return counted.join(F.broadcast(strata)).groupBy("stratum").applyInPandas(
+    return counted.groupBy("stratum").applyInPandas(
         walk, f"stratum {kind}, rule int, cutoff double, n_good bigint, n_lost bigint, n_caught bigint"
     )
 
