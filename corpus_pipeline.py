@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from netquarry.llm import decontaminate, mixing, near_dedup, sharding, toxicity
 from netquarry.llm.queries import mixed, table
+from netquarry.llm.semijoin import without
 from netquarry.session import stage
 
 #: Nine tenths of the tokens that are left, none twice.
@@ -37,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in their leaf's token prefix, under the target weights."""
     rows, _ = mixed(spark, docs, MIX)
     left_out = stage(rows.where("copies = 0").select(F.col("doc_id").alias("_out")).distinct(), "mix-out")
-    return docs.join(left_out, docs["doc_id"].eqNullSafe(left_out["_out"]), "left_anti")
+    return without(docs, left_out, "doc_id", "_out")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
