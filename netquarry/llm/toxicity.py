@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ from netquarry.llm import labelled, textkit
 class PuConfig:
     """positives, unlabelled: most rows of either sample; threshold: of ``predicted``."""
 
-    positives: int = 4000
-    unlabelled: int = 8000
+    positives: int = 2500
+    unlabelled: int = 6000
     prefixes: tuple[int, ...] = (3, 4, 5, 6, 8)
     counts: tuple[int, ...] = (1, 2, 4, 8)
     per_words: tuple[int, ...] = (100, 25, 10)
@@ -114,18 +115,18 @@ class Sample:
     """Rows of feature numbers; near copies share the weight of one row."""
 
     def __init__(self, texts: DataFrame, cfg: PuConfig, only: np.ndarray | None = None):
-        got = packed(texts, cfg, only).collect()
-        rows = [np.frombuffer(r["features"], np.uint32) for r in got]
-        self.n = len(rows)
-        self.feature = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(r) for r in rows])
-        _, back, n = np.unique([r["copies"] for r in got], return_inverse=True, return_counts=True)
+        got = packed(texts, cfg, only).toArrow().combine_chunks()
+        self.n = got.num_rows
+        lists = got["features"].combine_chunks() if self.n else pa.array([], pa.binary())
+        self.feature = np.frombuffer(b"".join(memoryview(v.as_buffer()) for v in lists), np.uint32)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.asarray(pc.binary_length(lists)) // 4)
+        _, back, n = np.unique(np.asarray(got["copies"]), return_inverse=True, return_counts=True)
         self.weight = 1.0 / n[back] if self.n else np.zeros(0)
 
     def restrict(self, known: np.ndarray) -> None:
         """Keep features of the sorted array only, by their places in it."""
         kept = _among(self.feature, known)
-        self.feature, self.row = np.searchsorted(known, self.feature[kept]), self.row[kept]
+        self.feature, self.row = np.searchsorted(known, self.feature[kept]).astype(np.int32), self.row[kept]
 
     def scores(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.feature], minlength=self.n)
@@ -190,17 +191,19 @@ def train(docs: DataFrame, labels: DataFrame, cfg: PuConfig = PuConfig(), id_col
     positive = Sample(texts(known.where("y = 1"), cfg.positives, cfg.seed), cfg)
     if not positive.n:
         return None
-    features, place = np.unique(positive.feature, return_inverse=True)
-    found = np.bincount(place, weights=positive.weight[positive.row], minlength=len(features))
-    features, found = features[found >= cfg.least_docs], found[found >= cfg.least_docs]
+    features, rows = np.unique(positive.feature, return_counts=True)
+    features = features[rows >= cfg.least_docs]
+    positive.restrict(features)
     unlabelled = Sample(texts(known, cfg.unlabelled, cfg.seed + 1), cfg, features.astype(np.int64))
-    there = np.bincount(np.searchsorted(features, unlabelled.feature), weights=unlabelled.weight[unlabelled.row], minlength=len(features))
+    unlabelled.restrict(features)
+    found, there = (side.sums(side.weight, len(features)) for side in (positive, unlabelled))
     expected = positive.weight.sum() * (there + 0.5) / (unlabelled.weight.sum() + 1)
-    z = (found - expected) / np.sqrt(expected + 1)
+    z = np.where(found >= cfg.least_docs, (found - expected) / np.sqrt(expected + 1), 0)
     best = np.argsort(-z, kind="stable")[: cfg.features]
-    features = np.sort(features[best[z[best] > cfg.least_z]]).astype(np.int64)
-    positive.restrict(features)
-    unlabelled.restrict(features)
+    places = np.sort(best[z[best] > cfg.least_z])
+    positive.restrict(places)
+    unlabelled.restrict(places)
+    features = features[places].astype(np.int64)
     prior = min(0.9, max(1e-4, counts["toxic"] / counts["n"]))
     weights, offset = fit(positive, unlabelled, len(features), prior, cfg)
     return Model(features, weights, offset, _stems(docs, known, features, cfg, id_col, text_col))
