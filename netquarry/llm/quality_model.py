@@ -93,17 +93,21 @@ def context_counts(docs: DataFrame, cfg: NetConfig, text_col: str = "text") -> D
         for part in textkit.slices(batches):
             w = textkit.Words(part.column("text"))
             word, shape = tokens(w, cfg)
+            up, down = [], []
             for gap in (1, 2):
                 at = np.flatnonzero(w.text[gap:] == w.text[:-gap]) if len(word) > gap else np.zeros(0, np.int64)
                 for target, source in ((at, at + gap), (at + gap, at)):
-                    for mine in (word, shape):
-                        for theirs in (word, shape):
-                            base, near = mine[target] * dims, theirs[source]
-                            for k in (0, 1):
-                                up = signs[k][near] > 0
-                                cell = base + places[k][near]
-                                table += np.bincount(cell[up], minlength=rows * dims)
-                                table -= np.bincount(cell[~up], minlength=rows * dims)
+                    bases = [mine[target] * dims for mine in (word, shape)]
+                    for near in (word[source], shape[source]):
+                        for k in (0, 1):
+                            place, sign = places[k][near], signs[k][near] > 0
+                            for base in bases:
+                                cell = base + place
+                                up.append(cell[sign])
+                                down.append(cell[~sign])
+            if up:
+                table += np.bincount(np.concatenate(up), minlength=rows * dims)
+                table -= np.bincount(np.concatenate(down), minlength=rows * dims)
         table = table.reshape(rows, dims)
         used = np.flatnonzero(table.any(axis=1))
         yield pa.RecordBatch.from_pydict({"row": used} | {f"d{i}": table[used, i] for i in range(dims)})
@@ -122,15 +126,25 @@ def word_vectors(docs: DataFrame, cfg: NetConfig, text_col: str = "text") -> np.
     return table / np.where(size > 0, size, 1)
 
 
-def pooled(part: pa.RecordBatch, vectors: np.ndarray, cfg: NetConfig) -> np.ndarray:
-    """The mean vectors of each text's words and of its shapes, side by side."""
+def pooled(part: pa.RecordBatch, vectors: np.ndarray, cfg: NetConfig, texts: int = 128) -> np.ndarray:
+    """The mean vectors of each text's words and of its shapes, side by side.
+
+    A few texts at a time are counted by table row, and the counts multiplied
+    with the table.
+    """
     w = textkit.Words(part.column("text"))
     out = np.zeros((part.num_rows, 2 * cfg.dims), np.float32)
-    full = np.flatnonzero(w.counts)
-    if len(full):
-        for i, rows in enumerate(tokens(w, cfg)):
-            sums = np.add.reduceat(vectors[rows], w.first[full], axis=0)
-            out[full, i * cfg.dims : (i + 1) * cfg.dims] = sums / w.counts[full, None]
+    both = tokens(w, cfg)
+    spans = ((0, cfg.word_rows), (cfg.word_rows, cfg.word_rows + cfg.shape_rows))
+    for start in range(0, part.num_rows, texts):
+        end = min(part.num_rows, start + texts)
+        own = slice(w.first[start], w.first[end])
+        n = np.maximum(1, w.counts[start:end])[:, None]
+        for i, (rows, (low, high)) in enumerate(zip(both, spans)):
+            width = high - low
+            cells = (w.text[own] - start) * width + rows[own] - low
+            counts = np.bincount(cells, minlength=(end - start) * width).reshape(end - start, width).astype(np.float32)
+            out[start:end, i * cfg.dims : (i + 1) * cfg.dims] = counts @ vectors[low:high] / n
     return out
 
 
