@@ -128,11 +128,28 @@ class Words:
         return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_LIMIT = 8 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """Let Arrow batches of this session hold 8 MB at most, if they may hold more.
+
+    Texts can be long, and both sides of every running task hold a batch.
+    """
+    conf = df.sparkSession.conf
+    held = (conf.get(BATCH_BYTES, None) or "67108864b").removesuffix("b")
+    if held.isdigit() and int(held) > BATCH_LIMIT:
+        conf.set(BATCH_BYTES, str(BATCH_LIMIT))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text") -> DataFrame:
     """``fn`` gives the output columns of a slice; rows need not match the input's."""
+    small_batches(df)
 
     def run(batches):
         for part in slices(batches, text):
             yield pa.RecordBatch.from_pydict(fn(part))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
