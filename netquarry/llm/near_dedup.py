@@ -30,9 +30,10 @@ Only pairs from different components are compared, so a group of copies never
 gives all its pairs. Comparisons within a node use sketches of 256 bytes (one
 permutation, minima by bin) and pass on what may reach the threshold (four
 standard errors below it and up); every link is confirmed on the full sets,
-for which only the texts of such pairs are fetched. The trees are as
-many as ``recall`` needs for a pair just at the threshold at depth 3; pairs
-above it are found more surely.
+for which only the texts of such pairs are fetched. Nodes are settled at the
+first level at which they are small. The trees are as many as ``recall`` needs
+for a pair just at the threshold whose nodes are all settled at ``depth``;
+other pairs are found more surely.
 
 Texts that are null, or have no words, have an empty set and link with
 nothing; fewer words than five make one shingle. Null ids take part in no
@@ -63,7 +64,7 @@ class DedupConfig:
 
     percent: int = 75
     shingle: int = 5
-    functions: int = 32
+    functions: int = 128
     recall: float = 0.999
     star_trees: int = 2
     best_trees: int = 4
@@ -75,13 +76,24 @@ class DedupConfig:
 
     @property
     def trees(self) -> int:
-        j = self.percent / 100
+        """As many as find a pair at the threshold with ``recall`` even if nodes are settled only at ``depth``.
+
+        All trees draw from the same functions, so how many of them agree on
+        the pair (binomial) is common to all; given that, trees are independent.
+        """
+        j, n = self.percent / 100, self.functions
         second = 1 / j - 1  # chance of a second function in a node
-        miss = 0.0
-        for _ in range(3):
-            one = 1 - j * (1 - miss)
-            miss = (1 - second) * one + second * one * one
-        return max(1, math.ceil(math.log(1 - self.recall) / math.log(miss)))
+        agree = np.arange(n + 1)
+        weight = np.array([math.comb(n, k) * j**k * (1 - j) ** (n - k) for k in agree])
+        one, two = agree / n, agree * (agree - 1) / (n * (n - 1))
+        miss = np.zeros(n + 1)
+        for _ in range(self.depth):
+            on = 1 - miss
+            miss = 1 - one * on - second * (one * on - two * on * on)
+        trees = 1
+        while weight @ miss**trees > 1 - self.recall:
+            trees += 1
+        return trees
 
 
 BINS = 256
@@ -483,8 +495,7 @@ def near_components(docs: DataFrame, cfg: DedupConfig = DedupConfig(), id_col: s
     rows = sets.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(cfg.trees - 1))).alias("tree")).withColumn("node", F.lit(0).cast("bigint"))
     few, level = None, 0
     while few is None or not many.isEmpty():
-        for _ in range(1 if few is None else 2):  # once nodes are known to be large, two levels at a time
-            rows, level = _children(rows, cfg), level + 1
+        rows, level = _children(rows, cfg), level + 1
         crowded = stage(_crowded(stage(rows.drop("sig"), "dedup-children")), "dedup-nodes")
         if few is None:
             stars = stage(_star(crowded.where(F.col("tree") < cfg.star_trees), sketch, cfg), "dedup-stars")

@@ -118,6 +118,42 @@ def test_trees_reach_the_recall_asked_for():
     assert near_dedup.DedupConfig(percent=90).trees < near_dedup.DedupConfig(percent=75).trees
 
 
+def test_recall_of_pairs_at_the_threshold_settled_at_the_last_level():
+    """The rule by which nodes select functions, tried on 4,000 pairs at the threshold."""
+    cfg, np, rng = near_dedup.DedupConfig(), near_dedup.np, near_dedup.np.random.default_rng(5)
+    found, trees = 0, cfg.trees
+    for _ in range(4000):
+        same = rng.random(cfg.functions) < cfg.percent / 100  # the functions that agree on the pair, for all trees
+        nodes = np.ones(trees, int)
+        for _ in range(cfg.depth):
+            first = rng.integers(0, cfg.functions, nodes.sum())
+            second = (first + rng.integers(1, cfg.functions, len(first))) % cfg.functions
+            kept = same[first].astype(int) + (same[second] & (rng.random(len(first)) < 100 / cfg.percent - 1))
+            nodes = np.bincount(np.repeat(np.arange(trees), nodes), kept, trees).astype(int)
+        found += nodes.any()
+    assert found >= 4000 * cfg.recall - 8  # 4 expected to be missed
+
+
+def test_recall_at_the_threshold_in_a_large_family_of_templates(frame):
+    """300 pairs at 0.75 among 3,000 texts; all words are common ones, so nodes stay large for six levels."""
+    rng = random.Random(12)
+    kinds = [rng.choices("abc", (70, 15, 15), k=112) for _ in range(2700)]
+    for own in kinds[:300]:
+        other = own.copy()
+        for i in rng.sample(range(112), 16):  # 96 of 128 words are common
+            other[i] = rng.choice([c for c in "abc" if c != own[i]])
+        kinds.append(other)
+    texts = [" ".join(f"{i}{c}" for i, c in enumerate(k)) for k in kinds]
+    cfg = near_dedup.DedupConfig(shingle=1, node_sets=64)
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    rows = [(order[i], t, "en", "s", 1) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.digest(near_dedup.near_components(frame(rows, DDL), cfg)).collect()}
+    found = sum(got[order[k]] == got[order[2700 + k]] for k in range(300))
+    assert found >= 298
+    assert len(set(got.values())) == 3000 - found
+
+
 def test_components_equal_union_find(frame):
     rng = random.Random(6)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)]
