@@ -18,7 +18,8 @@ then joins the components that the confirmed ones link:
 2. a node is compared exhaustively if it has ``node_sets`` sets at most, or if
    at most as many lie outside its largest component: these are compared with
    all of the node, in blocks. Other nodes branch further; at ``depth`` a node
-   is compared in blocks, however large: exact, but no longer linear. In the
+   is compared in blocks, however large: exact, but no longer linear. A block
+   has about ``node_sets`` sets of either side at most. In the
    first trees each set passes on its best partner in every other component,
    which merges most of what the stars left;
 3. in all trees, of the pairs of different components that are left, those
@@ -290,18 +291,26 @@ def _mixed(rows: DataFrame, known: DataFrame, cfg: DedupConfig, last: bool) -> D
         F.sum("c").alias("members"), F.max(F.struct("c", "component")).alias("best"), F.count("*").alias("parts")
     ).where("parts > 1")
     few = (F.col("members") <= cfg.node_sets) | (F.col("members") - F.col("best.c") <= cfg.node_sets) | F.lit(last)
-    tops = tops.select("tree", "node", F.col("best.component").alias("top"), "members", F.ceil(F.col("members") / cfg.node_sets).alias("blocks"), few.alias("few"))
+    blocks, asking = F.ceil(F.col("members") / cfg.node_sets), F.ceil((F.col("members") - F.col("best.c")) / cfg.node_sets)
+    tops = tops.select("tree", "node", F.col("best.component").alias("top"), "members", blocks.alias("blocks"), asking.alias("ask_blocks"), few.alias("few"))
     return labelled.join(tops, ["tree", "node"])
 
 
 def _blocks(mixed: DataFrame, sketch: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """Rows of nodes dealt to blocks: sets outside the node's largest component
-    go to every block (part 0), all sets lie in one (part 1)."""
-    salt = F.pmod(F.xxhash64(F.lit(cfg.seed + 3), "id"), F.col("blocks"))
-    lying = mixed.select("tree", "node", "id", "component", F.lit(1).alias("part"), salt.cast("int").alias("block"))
-    every = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
-    meeting = mixed.where("component <> top").select("tree", "node", "id", "component", F.lit(0).alias("part"), every.alias("block"))
-    return lying.unionByName(meeting).join(sketch, "id")
+    """Rows of nodes dealt to blocks, one for each pair of a share of the sets outside
+    the node's largest component (part 0) and a share of all sets (part 1)."""
+
+    def share(seed: int, count: str):
+        return F.pmod(F.xxhash64(F.lit(cfg.seed + seed), "id"), F.col(count))
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
+
+    cols = ["tree", "node", "id", "component", "blocks"]
+    lying = mixed.select(*cols, F.lit(1).alias("part"), share(3, "blocks").alias("lie"), every("ask_blocks").alias("ask"))
+    meeting = mixed.where("component <> top").select(*cols, F.lit(0).alias("part"), every("blocks").alias("lie"), share(4, "ask_blocks").alias("ask"))
+    dealt = lying.unionByName(meeting).withColumn("block", F.col("ask") * F.col("blocks") + F.col("lie")).drop("ask", "lie", "blocks")
+    return dealt.join(sketch, "id")
 
 
 class Asks:
@@ -414,7 +423,7 @@ def _exact_links(mixed: DataFrame, sketch: DataFrame, texts: DataFrame, cfg: Ded
     """(a, b): all links between different components of a node."""
     keys = ["tree", "node", "block"]
     kind = mixed.schema["id"].dataType.simpleString()
-    schema = f"part int, id {kind}, text_key bigint, component {kind}, tree int, node bigint, block int"
+    schema = f"part int, id {kind}, text_key bigint, component {kind}, tree int, node bigint, block bigint"
 
     def small(batches):
         """The rows that may link with one of their node at all."""
@@ -422,7 +431,7 @@ def _exact_links(mixed: DataFrame, sketch: DataFrame, texts: DataFrame, cfg: Ded
             for part, at in ((0, np.unique(i)), (1, np.unique(j))):
                 picked = rows.iloc[at]
                 out = pd.DataFrame({"part": np.int32(part), **{c: picked[c].to_numpy() for c in ("id", "text_key", "component", "tree", "node")}})
-                out["block"] = np.int32(0)
+                out["block"] = np.int64(0)
                 yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
     def hopeful(group: pd.DataFrame, carried: dict) -> pd.DataFrame:

@@ -154,6 +154,20 @@ def test_recall_at_the_threshold_in_a_large_family_of_templates(frame):
     assert len(set(got.values())) == 3000 - found
 
 
+def test_blocks_of_a_large_node_hold_few_sets_of_either_side(frame):
+    cfg = near_dedup.DedupConfig(node_sets=32)
+    sets = frame([(i, bytes(4)) for i in range(600)], "id bigint, bins binary")
+    rows = sets.selectExpr("0 AS tree", "7L AS node", "id")
+    mixed = near_dedup._mixed(rows, frame([(i, 0) for i in range(100)], "node bigint, component bigint"), cfg, True)
+    held, met = Counter(), defaultdict(lambda: ([], []))
+    for r in near_dedup._blocks(mixed, sets, cfg).collect():
+        held[r["block"], r["part"]] += 1
+        met[r["block"]][r["part"]].append(r["id"])
+    assert max(held.values()) <= 2 * cfg.node_sets
+    pairs = Counter((a, b) for asks, lies in met.values() for a in asks for b in lies)
+    assert len(pairs) == 500 * 600 and set(pairs.values()) == {1}
+
+
 def test_components_equal_union_find(frame):
     rng = random.Random(6)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)]
