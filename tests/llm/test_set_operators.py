@@ -431,6 +431,28 @@ def test_passages(frame):
     assert {(r["doc_id"], r["copies_of"], r["n_copies"]) for r in found if r["doc_id"] >= n - 3} == {(i, n - 3, 3) for i in (n - 3, n - 2, n - 1)}
 
 
+def test_blocks_on_all_diagonals():
+    np, cfg, rng = passages.np, passages.PassageConfig(), random.Random(41)
+    words = lambda n: [rng.getrandbits(62) for _ in range(n)]
+    found = lambda x, y: {p[:4] for p in passages.align(np.array(x, np.uint64), np.array(y, np.uint64), cfg)}
+    p = words(60)
+    x, twice, late = words(9) + p + words(7), words(5) + p + words(40) + p, words(3) + p[:40] + words(35) + p + words(2)
+    assert found(x, twice) == {(9, 69, 5, 65), (9, 69, 105, 165)}
+    assert found(twice, x) == {(5, 65, 9, 69), (105, 165, 9, 69)}
+    assert (9, 69, 78, 138) in found(x, late) and (78, 138, 9, 69) in found(late, x)
+    assert (43, 103, 0, 60) in found(words(3) + p[:40] + p + words(2), p + words(35) + p[:40])
+    many = [w for _ in range(60) for w in p[:52] + words(8)]  # each run 60 times on either side
+    other = [w for _ in range(60) for w in p[:52] + words(31)]
+    assert {a for a, b, _, _ in found(many, other)} == set(range(0, 3600, 60))
+    assert {c for _, _, c, d in found(many, other)} == set(range(0, 60 * 83, 83))
+    line = words(12)
+    assert found(line * 300, line * 200 + words(30))
+    for _ in range(200):
+        x, y = (rng.choices(range(1, 5), k=rng.randint(0, 40)) for _ in range(2))
+        best = {(i, j) for i in range(len(x)) for j in range(len(y)) if x[i : i + 4] == y[j : j + 4] and len(x[i : i + 4]) == 4 and (not i or not j or x[i - 1] != y[j - 1])}
+        assert {(a, b) for a, b, _ in passages.blocks(np.array(x, np.uint64), np.array(y, np.uint64), cfg).tolist()} == best
+
+
 def test_common_passage_gives_no_pairs_of_all(frame):
     rng = random.Random(35)
     passage = prose(rng, 70, 10**6)
