@@ -453,6 +453,27 @@ def test_blocks_on_all_diagonals():
         assert {(a, b) for a, b, _ in passages.blocks(np.array(x, np.uint64), np.array(y, np.uint64), cfg).tolist()} == best
 
 
+def passage_recall(frame, rate, n=400, words=60):
+    """Share of candidates among pairs of texts with one passage, of whose words ``rate`` are edited."""
+    rng, texts = random.Random(43), []
+    for _ in range(n):
+        passage = prose(rng, words, 10**6)
+        other = passage.copy()
+        for i in rng.sample(range(words), round(rate * words)):
+            other[i] = f"e{rng.randrange(10**6)}"
+        texts += [" ".join(prose(rng, 30, 10**6) + p + prose(rng, 30, 10**6)) for p in (passage, other)]
+    rows = passages.text_rows(frame(with_columns(texts), DDL).selectExpr("doc_id AS id", "text", "xxhash64(text) AS text_key"), passages.PassageConfig())
+    pairs = passages.class_pairs(rows.cache(), passages.PassageConfig())
+    ids = rows.select("cls", "id")
+    met = pairs.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").where("x div 2 = y div 2").select(F.expr("x div 2")).distinct().count()
+    return met / n
+
+
+@pytest.mark.parametrize("rate,least", [(0.05, 0.99), (0.1, 0.95), (0.15, 0.85)])
+def test_edited_passages_are_candidates(frame, rate, least):
+    assert passage_recall(frame, rate) >= least
+
+
 def test_common_passage_gives_no_pairs_of_all(frame):
     rng = random.Random(35)
     passage = prose(rng, 70, 10**6)
