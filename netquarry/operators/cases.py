@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.functions import net, text, times
@@ -255,16 +255,9 @@ def import_cases(external: DataFrame, known: DataFrame | None = None) -> DataFra
     )
 
 
-def import_assets(indicators: DataFrame, cap: int = 50) -> DataFrame:
-    """The first ``cap`` indicator values per case by position (case_id,
-    position, ioc_value)."""
-    w = Window.partitionBy("case_id").orderBy("position")
-    return (
-        indicators.where(F.coalesce("ioc_value", F.lit("")) != "")
-        .withColumn("_n", F.row_number().over(w))
-        .where(F.col("_n") <= cap)
-        .select("case_id", F.col("ioc_value").alias("asset"))
-    )
+def import_assets(indicators: DataFrame) -> DataFrame:
+    """All indicator values of each case (case_id, position, ioc_value)."""
+    return indicators.where(F.coalesce("ioc_value", F.lit("")) != "").select("case_id", F.col("ioc_value").alias("asset"))
 
 
 def verdict_updates(cases: DataFrame, external: DataFrame) -> DataFrame:

@@ -522,3 +522,9 @@ def test_case_has_all_assets_and_goes_into_the_open_one(frame):
         scan_bundle(frame, 40, 900), cfg, staged=True, hunt_id="two", hunted_at="2024-02-01 00:00:00", open_cases=(opened, assets),
     )
     assert {r.case_id for r in later.cases.collect()}.isdisjoint({opened.first().case_id}) and later.cases.count() == 1
+
+
+def test_imported_cases_keep_all_indicators(frame):
+    rows = [(c, i, f"10.0.{c}.{i}") for c in (1, 2) for i in range(80)] + [(1, 90, ""), (1, 91, None)]
+    got = cases.import_assets(frame(rows, "case_id int, position int, ioc_value string")).collect()
+    assert sorted((r["case_id"], r["asset"]) for r in got) == sorted((c, v) for c, _, v in rows if v)
