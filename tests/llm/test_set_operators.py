@@ -474,6 +474,20 @@ def test_edited_passages_are_candidates(frame, rate, least):
     assert passage_recall(frame, rate) >= least
 
 
+def test_exact_repeat_of_lines_that_lesser_texts_have_singly(frame):
+    rng = random.Random(47)
+    texts, planted = [], set()
+    for _ in range(6):
+        lines = [prose(rng, 26, 10**6) for _ in range(3)]
+        planted |= {len(texts), len(texts) + 1}
+        texts += [" ".join(prose(rng, 30, 10**6) + sum(lines, []) + prose(rng, 30, 10**6)) for _ in range(2)]
+        for i in range(3):  # any two halves of neighbouring lines stand in lesser texts as well
+            for part in (lines[i], sum(lines, [])[13 + 26 * i : 39 + 26 * i]):
+                texts += [" ".join(prose(rng, 30, 10**6) + part + prose(rng, 30, 10**6)) for _ in range(12)]
+    found = passages.digest(passages.repeated_passages(frame(with_columns(texts), DDL))).collect()
+    assert {r["doc_id"] for r in found if r["end_word"] - r["start_word"] >= 78} == planted
+
+
 def test_common_passage_gives_no_pairs_of_all(frame):
     rng = random.Random(35)
     passage = prose(rng, 70, 10**6)
