@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.llm import (
-    decontaminate, mixing, near_dedup, passages, quality_model, quality_rules, secrets, sharding, toxicity, url_filters,
+    decontaminate, mixing, near_dedup, passages, quality_model, quality_rules, secrets, sharding, toxicity, turn_repair, url_filters,
 )
 
 QUERIES: dict = {}
@@ -154,6 +154,26 @@ def op10_passages(spark, sf_dir):
     return passages.digest(passages.repeated_passages(table(spark, sf_dir, "documents")))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with turns dropped, emptied, cut off, repeated and reroled by a checksum of their place."""
+    own = rows.select(
+        "conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"),
+        (F.crc32(F.concat(
+            F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" "))
+        )) % 20).alias("kind"),
+    ).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return own.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+@query
+def op13_turn_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return turn_repair.digest(rows, turn_repair.repair(damaged(rows)))
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline  # it uses the tables and weights above
