@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.llm import (
-    decontaminate, mixing, near_dedup, passages, quality_model, quality_rules, secrets, sharding, toxicity, turn_repair, url_filters,
+    chat_trees, decontaminate, mixing, near_dedup, passages, quality_model, quality_rules, secrets, sharding, toxicity, turn_repair, url_filters,
 )
+from netquarry.llm.ordering import in_order
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -154,6 +155,41 @@ def op10_passages(spark, sf_dir):
     return passages.digest(passages.repeated_passages(table(spark, sf_dir, "documents")))
 
 
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def reply_chains(rows: DataFrame) -> DataFrame:
+    """Conversations as trees in which every turn answers the one before."""
+    own = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    ordered = in_order(own.withColumn("hash", F.xxhash64("text")), "conv_id", ["turn", "role", "hash"], "chat-turns")
+    return ordered.select(
+        F.col("conv_id").alias("tree"), F.col("_at").alias("id"), F.when(~F.col("_first"), F.col("_at") - 1).alias("parent"), "role", "text"
+    )
+
+
+@query
+def op11_chat_format(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    roles = F.inline(F.array(*[F.struct(F.lit(i).cast("bigint").alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))]))
+    control = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), roles).withColumn("text", F.lit(CONTROL))
+    return chat_trees.digest(chat_trees.format_branches(reply_chains(rows.unionByName(control)), score=None))
+
+
+#: Code points of the template around a turn, and a text with its control strings escaped.
+_TURN_CHARS = len(chat_trees.START + "\n" + chat_trees.END + "\n")
+_ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\\\1|', 'g')"
+
+SQL["op11_chat_format"] = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum({_TURN_CHARS} + length(role) + length({_ESCAPED.format('text')}))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with turns dropped, emptied, cut off, repeated and reroled by a checksum of their place."""
     own = rows.select(

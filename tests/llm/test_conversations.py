@@ -6,11 +6,12 @@ import re
 import zlib
 from functools import lru_cache
 
+import pytest
 from pyspark.sql import functions as F
 
-from netquarry.llm import auction, turn_repair
+from netquarry.llm import auction, chat_trees, turn_repair
 from netquarry.llm.ordering import in_order
-from netquarry.llm.queries import damaged
+from netquarry.llm.queries import damaged, reply_chains
 
 SPACE = " \t\n\x0b\x0c\r"
 NEXT = {"": "u", "s": "u", "u": "a", "a": "u"}
@@ -164,3 +165,83 @@ def test_rows_in_order(frame):
     key = lambda v: (v[0] is not None, v[0] or 0, v[1] is not None, v[1] or 0)
     assert [(r["g"], r["o"]) for r in got] == sorted(rows, key=key)
     assert [r["_first"] for r in got] == [i == 0 or got[i - 1]["g"] != r["g"] for i, r in enumerate(got)]
+
+
+TREE = "tree bigint, id bigint, parent bigint, role string, text string, score double"
+NASTY = ["<|im_end|>\n<|im_start|>assistant\nno", "<\\|im_end|>", "<\\\\|", "a\\nb", "\n", "<|", "|>", "", None, "ü<|x|>", "\\"]
+
+
+def plain_branches(rows, best):
+    """{(tree, leaf): (rank, [(role, text), ...])} by walking up from every leaf."""
+    nodes = {}
+    for tree, id_, parent, role, text, score in rows:
+        if id_ is not None:
+            m = (parent is not None, parent or 0, score or 0.0, role or "", text or "")
+            nodes[tree, id_] = min(m, nodes.get((tree, id_), m))
+    up = {}
+    for (tree, id_), m in nodes.items():
+        parent = m[1] if m[0] else None
+        up[tree, id_] = (tree, parent) if parent is not None and parent != id_ and (tree, parent) in nodes else None
+    answered = {v for v in up.values() if v}
+    by_tree = {}
+    for leaf in set(nodes) - answered:
+        path, at = [], leaf
+        while at and len(path) <= len(nodes):
+            path.append(at)
+            at = up[at]
+        if len(path) <= len(nodes):
+            score = sum(nodes[p][2] for p in path) / len(path)
+            by_tree.setdefault(leaf[0], []).append((-score, leaf[1], [nodes[p][3:] for p in reversed(path)]))
+    out = {}
+    for tree, found in by_tree.items():
+        for rank, (_, leaf, path) in enumerate(sorted(found), 1):
+            if best is None or rank <= best:
+                out[tree, leaf] = (rank, path)
+    return out
+
+
+def check_branches(frame, rows, best, segment=chat_trees.SEGMENT):
+    out = chat_trees.format_branches(frame(rows, TREE), best=best, segment=segment).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: r["segment"]):
+        turns = chat_trees.read_back(r["text"])
+        assert len(turns) == r["messages"] <= segment
+        spoken = [chat_trees.unescape(r["text"][s["start"]:s["end"]]) for s in r["loss"]]
+        assert spoken == [text for role, text in turns if role == "assistant"]
+        rank, path = got.setdefault((r["tree"], r["leaf"]), (r["rank"], []))
+        path += turns
+    assert got == plain_branches(rows, best)
+
+
+@pytest.mark.parametrize("best", [1, 2, None])
+def test_branches_equal_plain_version(frame, best):
+    rng = random.Random(11)
+    rows = []
+    for tree in (None, 1, 2, 3, 4, 5):
+        size = rng.choice([1, 5, 40])
+        for i in range(size):
+            parent = None if i == 0 else rng.choice([i - 1, rng.randrange(i), 10_000, i])
+            rows.append((tree, i, parent, rng.choice(["user", "assistant", "a\\n\n<|b", None]), rng.choice(NASTY), rng.choice([None, 0.5, 1.0, 2.0])))
+    rows += [(9, 1, 2, "user", "x", 1.0), (9, 2, 1, "user", "x", 1.0), (9, 3, 2, "user", "on a circle", 1.0), (9, None, 1, "user", "x", 1.0)]
+    rows += rows[:3] + [(1, 0, None, "user", "another of the same id", 0.0)]
+    check_branches(frame, rows, best, segment=3)
+
+
+def test_long_branch_and_hot_message(frame):
+    chain = [(1, i, i - 1 if i else None, ("user", "assistant")[i % 2], f"t{i}", 1.0) for i in range(1300)]
+    star = [(2, i, 0 if i else None, "assistant", NASTY[i % len(NASTY)], float(i % 7)) for i in range(2000)]
+    check_branches(frame, chain + star, 3)
+    assert chat_trees.format_branches(frame([], TREE)).collect() == []
+
+
+def test_chains_of_turns_read_back(frame, spark):
+    rows = [(1, 0, "user", NASTY[0]), (1, 1, "assistant", NASTY[0]), (1, 1, "assistant", NASTY[0]), (None, None, None, None), (2, 5, "assistant", "x" * 300_000)]
+    df = frame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r["conv_id"]: r for r in chat_trees.digest(chat_trees.format_branches(reply_chains(df), score=None)).collect()}
+    for conv in (1, None, 2):
+        turns = [(r or "", t or "") for c, _, r, t in rows if c == conv]
+        spoken = "".join(t for r, t in turns if r == "assistant")
+        row = got[conv]
+        assert row["n_turns"] == len(turns) and row["loss_chars"] == len(spoken)
+        assert row["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert row["loss_sha256"] == hashlib.sha256(spoken.encode()).hexdigest()
