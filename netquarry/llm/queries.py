@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.llm import (
-    chat_trees, decontaminate, mixing, near_dedup, passages, quality_model, quality_rules, secrets, sharding, toxicity, turn_repair, url_filters,
+    chat_trees, decontaminate, hard_negatives, mixing, near_dedup, passages, quality_model, quality_rules, secrets, sharding, toxicity, turn_repair, url_filters,
 )
 from netquarry.llm.ordering import in_order
 
@@ -190,6 +190,34 @@ FROM t GROUP BY conv_id
 """
 
 
+@query
+def op12_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").where(
+        "NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))"
+    )
+    return hard_negatives.mine(rows.select(
+        "vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("q"),
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        (F.col("vec_id") % 50 == 0).alias("anchor"),
+    ), "vec_id", "q", "label", "anchor")
+
+
+SQL["op12_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other))::INTEGER AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with turns dropped, emptied, cut off, repeated and reroled by a checksum of their place."""
     own = rows.select(
