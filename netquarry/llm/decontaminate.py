@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.semijoin import split_rows
+from netquarry.llm.semijoin import without
 from netquarry.session import stage
 
 #: All ASCII but digits and letters parts words.
@@ -166,7 +166,5 @@ def digest(documents: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> Dat
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig(), id_col: str = "doc_id") -> DataFrame:
     """The documents without a benchmark window, with their own columns."""
     _, hits = find_leaks(docs, benchmark, cfg, id_col)
-    bad = stage(hits.select(F.col("id").alias("_bad_id"), F.col("text_key").alias("_bad_key")), "leak-bad")
-    near, far = split_rows(docs, bad, id_col, "_bad_id")
-    key = F.xxhash64(F.coalesce(near["text"], F.lit("")))
-    return far.unionByName(near.join(bad, near[id_col].eqNullSafe(bad["_bad_id"]) & (key == bad["_bad_key"]), "left_anti"))
+    bad = stage(hits.select("id", "text_key"), "leak-bad")
+    return without(docs, bad, {"id": id_col, "text_key": F.xxhash64(F.coalesce(docs["text"], F.lit("")))})

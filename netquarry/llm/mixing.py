@@ -21,8 +21,9 @@ Null levels are a value of their own; a null id is ordered as an empty one;
 null texts have no tokens, and are taken while their leaf's prefix lasts (a
 leaf without any token is taken once).
 Repeated rows are taken or left together and their tokens count each time.
-Without weights all children of a node weigh the same; weights that are null,
-zero or negative count as 0, and such a child gets nothing.
+Without weights all children of a node weigh the same; a child that its
+level's weights don't name, null among them, weighs ``unnamed``. Weights that
+are null, zero or negative count as 0, and such a child gets nothing.
 """
 
 from __future__ import annotations
@@ -38,12 +39,14 @@ from netquarry.session import stage
 
 @dataclass(frozen=True)
 class MixConfig:
-    """budget: tokens wanted, as a share of those there are; epochs: how often a document may be taken."""
+    """budget: tokens wanted, as a share of those there are; epochs: how often a document may be taken;
+    unnamed: the weight of children that a level's weights don't name."""
 
     budget: float = 1.0
     epochs: int = 2
     seed: int = 17
     run_rows: int = 20_000
+    unnamed: float = 0.05
 
 
 def count_tokens(text: Column) -> Column:
@@ -110,9 +113,10 @@ def mix(
         if given is None:
             leaves = leaves.withColumn(f"w_{name}", F.lit(1.0))
         else:
-            table = given.groupBy(given[level].cast("string").alias("_value")).agg(F.max(given["weight"].cast("double")).alias(f"w_{name}"))
+            weight = F.greatest(F.coalesce(given["weight"].cast("double"), F.lit(0.0)), F.lit(0.0))
+            table = given.groupBy(given[level].cast("string").alias("_value")).agg(F.max(weight).alias(f"w_{name}"))
             leaves = leaves.join(table, leaves[name].eqNullSafe(table["_value"]), "left").drop("_value")
-            leaves = leaves.withColumn(f"w_{name}", F.greatest(F.coalesce(f"w_{name}", F.lit(0.0)), F.lit(0.0)))
+            leaves = leaves.withColumn(f"w_{name}", F.coalesce(f"w_{name}", F.lit(float(cfg.unnamed))))
     budgets = stage(share_out(leaves, names, F.lit(wanted)), "mix-budgets")
     plan = budgets.select(
         *[F.col(n).alias(f"_k{i}") for i, n in enumerate(names)], "n_docs",

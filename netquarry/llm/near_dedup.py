@@ -479,7 +479,7 @@ def _exact_links(mixed: DataFrame, sketch: DataFrame, texts: DataFrame, cfg: Ded
 
 
 def near_components(docs: DataFrame, cfg: DedupConfig = DedupConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component) of every row of ``docs``."""
+    """(id, text_key, n_shingles, component) of every row of ``docs``; ``text_key`` is a hash of the text."""
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     drawn = stage(sketches(texts.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))), cfg), "dedup-sketches")
     digest = ["f1", "f2", "n"]
@@ -518,9 +518,9 @@ def near_components(docs: DataFrame, cfg: DedupConfig = DedupConfig(), id_col: s
     left = _mixed(few.select("tree", "node", "id"), known, cfg, True)
     known = settle(_exact_links(left, sketch, texts, cfg), known)
     placed = _label(classes, known, "id", "component").select(*[F.col(c).alias(f"_{c}") for c in digest], "component")
-    own = drawn.select("id", *digest).join(placed, [F.col(c) == F.col(f"_{c}") for c in digest], "left")
+    own = drawn.select("id", "text_key", *digest).join(placed, [F.col(c) == F.col(f"_{c}") for c in digest], "left")
     lone = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), lone.alias("component"))
+    return own.select(F.col("id").alias(id_col), "text_key", F.col("n").alias("n_shingles"), lone.alias("component"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -529,7 +529,10 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, cfg: DedupConfig = DedupConfig(), id_col: str = "doc_id") -> DataFrame:
-    """The documents whose id is their component's least, with their own columns; of rows that share it, all."""
+    """The documents whose id is their component's least, with their own columns; of rows that share it, all.
+
+    Rows that share an id but not the text are decided one by one.
+    """
     found = near_components(docs, cfg, id_col)
-    gone = stage(found.where(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("_gone")).distinct(), "dedup-gone")
-    return without(docs, gone, id_col, "_gone")
+    gone = found.where(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("gone"), F.col("text_key").alias("key")).distinct()
+    return without(docs, stage(gone, "dedup-gone"), {"gone": id_col, "key": F.xxhash64(F.coalesce(docs["text"], F.lit("")))})

@@ -99,7 +99,7 @@ def op7_mixing(spark, sf_dir):
 
 
 def _case(column: str, weights: dict[str, float]) -> str:
-    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in weights.items()) + " ELSE 0::DOUBLE END"
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in weights.items()) + f" ELSE {MIX.unnamed}::DOUBLE END"
 
 
 def _level_sql(before: str, name: str, keys: str, parent: str) -> str:

@@ -60,7 +60,7 @@ def signed_header(token: str) -> bool:
     head = token.split(".", 1)[0]
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except (ValueError, TypeError):
+    except (ValueError, TypeError, RecursionError):  # not JSON, or nested too deeply to be a header
         return False
 
 

@@ -2,36 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the broadcast bitmap: 16 MB, whatever the number of ids.
-BITS = 27
+#: Bits of the broadcast bitmap per id, and at most (16 MB). Beyond some
+#: four million ids more and more other rows are near; what follows stays exact.
+BITS_PER_ID = 32
+MOST_BITS = 27
+
+
+def _free(rows: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as make them unlike all columns of ``rows``."""
+    taken = {c.lower() for c in rows.columns}
+    while any(n.lower() in taken for n in names):
+        names = tuple("_" + n for n in names)
+    return list(names)
 
 
 def split_rows(rows: DataFrame, ids: DataFrame, id_col: str, ids_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(near, far): rows whose id may be among ``ids``, and those whose id is surely not.
 
-    A bitmap over hashes of the ids is broadcast, so that rows which no id
-    names are known before anything is shuffled. Its size is fixed; the more
-    ids, the more other rows are near, and the join that follows is exact.
+    A bitmap over hashes of the ids, sized by their number, is broadcast, so
+    that rows which no id names are known before anything is shuffled. ``ids``
+    is read twice (its rows are counted first), so it should be stored.
     """
+    bits = min(MOST_BITS, max(15, math.ceil(math.log2(BITS_PER_ID * (ids.count() + 1)))))
 
     def place(column):
-        at = F.pmod(F.xxhash64(column), F.lit(1 << BITS)) + 1
+        at = F.pmod(F.xxhash64(column), F.lit(1 << bits)) + 1
         return F.call_function("bitmap_bucket_number", at), F.call_function("bitmap_bit_position", at)
 
+    own_at, bit_at, bucket_of, bitmap, near = _free(rows, "_own", "_at", "_bucket", "_bits", "_near")
     bucket, bit = place(ids[ids_col or id_col])
-    maps = ids.select(bucket.alias("__bucket"), bit.alias("__bit")).groupBy("__bucket").agg(
-        F.call_function("bitmap_construct_agg", F.col("__bit")).alias("__bits")
+    maps = ids.select(bucket.alias(bucket_of), bit.alias("bit")).groupBy(bucket_of).agg(
+        F.call_function("bitmap_construct_agg", F.col("bit")).alias(bitmap)
     )
     own, at = place(rows[id_col])
-    keyed = rows.select("*", own.alias("__own"), at.cast("int").alias("__at")).join(F.broadcast(maps), F.col("__own") == F.col("__bucket"), "left")
-    byte = F.conv(F.hex(F.substr("__bits", (F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit_set = F.call_function("shiftright", byte, (F.col("__at") % 8).cast("int")).bitwiseAND(1) == 1
-    marked = keyed.withColumn("__near", F.coalesce(bit_set, F.lit(False)))
-    extra = ("__own", "__at", "__bucket", "__bits", "__near")
-    return marked.where("__near").drop(*extra), marked.where("NOT __near").drop(*extra)
+    keyed = rows.select("*", own.alias(own_at), at.cast("int").alias(bit_at))
+    keyed = keyed.join(F.broadcast(maps), F.col(own_at) == F.col(bucket_of), "left")
+    byte = F.conv(F.hex(F.substr(bitmap, (F.col(bit_at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit_set = F.call_function("shiftright", byte, (F.col(bit_at) % 8).cast("int")).bitwiseAND(1) == 1
+    marked = keyed.withColumn(near, F.coalesce(bit_set, F.lit(False)))
+    extra = (own_at, bit_at, bucket_of, bitmap, near)
+    return marked.where(F.col(near)).drop(*extra), marked.where(~F.col(near)).drop(*extra)
 
 
 def maybe_in(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
@@ -39,7 +54,19 @@ def maybe_in(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     return split_rows(rows, ids, id_col)[0]
 
 
-def without(rows: DataFrame, ids: DataFrame, id_col: str, ids_col: str) -> DataFrame:
-    """The rows whose id is not among ``ids``; a null is a value like any other. Only near rows are shuffled."""
-    near, far = split_rows(rows, ids, id_col, ids_col)
-    return far.unionByName(near.join(ids.select(ids_col), near[id_col].eqNullSafe(ids[ids_col]), "left_anti"))
+def without(rows: DataFrame, gone: DataFrame, keys: dict[str, Column | str]) -> DataFrame:
+    """The rows that ``gone`` doesn't name; a null is a value like any other. Only near rows are shuffled.
+
+    ``keys`` says for columns of ``gone`` what they are compared with, a
+    column of ``rows`` or an expression over it; the first one is the id.
+    """
+    own = [f"g{i}" for i in range(len(keys))]
+    names = dict(zip(_free(rows, *(f"_k{i}" for i in range(len(keys)))), keys.values()))
+    marked = rows.select("*", *[(F.col(f"`{v}`") if isinstance(v, str) else v).alias(n) for n, v in names.items()])
+    first, *_ = names
+    near, far = split_rows(marked, gone.select(*[gone[c].alias(o) for c, o in zip(keys, own)]), first, own[0])
+    listed = gone.select(*[gone[c].alias(f"{n}_gone") for c, n in zip(keys, names)])
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}_gone"))
+    return far.unionByName(near.join(listed, same, "left_anti")).drop(*names)

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.llm import labelled, textkit
+from netquarry.session import stage
 
 
 @dataclass(frozen=True)
@@ -91,8 +92,8 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values if len(known) else np.zeros(len(values), bool)
 
 
-def packed(texts: DataFrame, cfg: PuConfig, only: np.ndarray | None = None) -> DataFrame:
-    """(copies, features): a key that near copies share, and the features (of ``only``) as 32-bit integers."""
+def featured(texts: DataFrame, cfg: PuConfig) -> DataFrame:
+    """(weight, features) of every text, stored: its features' numbers and a weight that near copies share."""
 
     def rows(part: pa.RecordBatch) -> dict:
         text, feature = text_features(part, cfg)
@@ -101,32 +102,53 @@ def packed(texts: DataFrame, cfg: PuConfig, only: np.ndarray | None = None) -> D
             least = np.full(part.num_rows, np.iinfo(np.uint64).max, np.uint64)
             np.minimum.at(least, text, textkit.mix(feature.astype(np.uint64) * np.uint64(textkit.STEP[seed])))
             keys = textkit.mix(keys + least)
-        if only is not None:
-            known = _among(feature, only)
-            text, feature = text[known], feature[known]
-        cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
-        feature = feature.astype(np.uint32)
-        return {"copies": keys.view(np.int64), "features": pa.array([feature[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())}
+        cuts = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)
+        return {"copies": keys.view(np.int64), "features": pa.ListArray.from_arrays(cuts, feature)}
 
-    return textkit.map_arrow(texts.select("text"), rows, "copies bigint, features binary")
+    found = stage(textkit.map_arrow(texts.select("text"), rows, "copies bigint, features array<bigint>"), "toxicity-features")
+    shared = found.groupBy("copies").agg((F.lit(1.0) / F.count("*")).alias("weight"))
+    return found.join(shared, "copies").select("weight", "features")
 
 
-class Sample:
-    """Rows of feature numbers; near copies share the weight of one row."""
+def telling(positive: DataFrame, unlabelled: DataFrame, cfg: PuConfig) -> np.ndarray:
+    """The features, sorted, that positives have far more often than their rate among the unlabelled explains.
 
-    def __init__(self, texts: DataFrame, cfg: PuConfig, only: np.ndarray | None = None):
-        got = packed(texts, cfg, only).toArrow().combine_chunks()
-        self.n = got.num_rows
-        lists = got["features"].combine_chunks() if self.n else pa.array([], pa.binary())
-        self.feature = np.frombuffer(b"".join(memoryview(v.as_buffer()) for v in lists), np.uint32)
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.asarray(pc.binary_length(lists)) // 4)
-        _, back, n = np.unique(np.asarray(got["copies"]), return_inverse=True, return_counts=True)
-        self.weight = 1.0 / n[back] if self.n else np.zeros(0)
+    Counted by Spark over all features of both samples; only the best, at most
+    ``cfg.features``, reach the driver.
+    """
+
+    def counts(side: DataFrame, name: str) -> DataFrame:
+        each = side.select("weight", F.explode("features").alias("feature"))
+        return each.groupBy("feature").agg(F.sum("weight").alias(name), F.count("*").alias(f"{name}_rows"))
 
-    def restrict(self, known: np.ndarray) -> None:
-        """Keep features of the sorted array only, by their places in it."""
-        kept = _among(self.feature, known)
-        self.feature, self.row = np.searchsorted(known, self.feature[kept]).astype(np.int32), self.row[kept]
+    p, u = (side.agg(F.sum("weight")).first()[0] or 0.0 for side in (positive, unlabelled))
+    both = counts(positive, "found").where(F.col("found_rows") >= cfg.least_docs).join(counts(unlabelled, "there"), "feature", "left")
+    expected = F.lit(p) * (F.coalesce("there", F.lit(0.0)) + 0.5) / (F.lit(u) + 1)
+    z = F.when(F.col("found") >= cfg.least_docs, F.round((F.col("found") - expected) / F.sqrt(expected + 1), 9))
+    best = both.select("feature", z.alias("z")).where(F.col("z") > cfg.least_z).orderBy(F.desc("z"), "feature").limit(cfg.features)
+    return np.sort(np.array([r["feature"] for r in best.collect()], np.int64))
+
+
+class Sample:
+    """The given features of the texts of a sample, by their places among them."""
+
+    def __init__(self, side: DataFrame, known: np.ndarray):
+        def rows(batches):
+            for batch in batches:
+                lists = batch.column("features")
+                values = np.asarray(lists.flatten(), np.int64)
+                row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(lists)))
+                kept = _among(values, known)
+                cuts = np.searchsorted(row[kept], np.arange(batch.num_rows + 1)).astype(np.int32)
+                places = np.searchsorted(known, values[kept]).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"weight": batch.column("weight"), "places": pa.ListArray.from_arrays(cuts, places)})
+
+        got = side.mapInArrow(rows, "weight double, places array<int>").toArrow().combine_chunks()
+        self.n = got.num_rows
+        lists = got["places"].combine_chunks() if self.n else pa.array([], pa.list_(pa.int32()))
+        self.feature = np.asarray(lists.flatten(), np.int32)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.asarray(pc.list_value_length(lists), np.int32))
+        self.weight = np.asarray(got["weight"], np.float64)
 
     def scores(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.feature], minlength=self.n)
@@ -143,6 +165,16 @@ def _loss_against(scores: np.ndarray) -> np.ndarray:
     return -np.log1p(-np.minimum(scores, 1 - 1e-12))
 
 
+def gradient(w: np.ndarray, b: float, positive: Sample, unlabelled: Sample, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """The risk's gradient by weights and intercept; of the second term alone, turned round, where that is below zero."""
+    sp, su = sigmoid(positive.scores(w) + b), sigmoid(unlabelled.scores(w) + b)
+    if u @ _loss_against(su) - prior * (p @ _loss_against(sp)) >= 0:
+        gp, gu = prior * p * (sp - 1) - prior * p * sp, u * su
+    else:
+        gp, gu = prior * p * sp, -u * su
+    return positive.sums(gp, len(w)) + unlabelled.sums(gu, len(w)), gp.sum() + gu.sum()
+
+
 def fit(positive: Sample, unlabelled: Sample, size: int, prior: float, cfg: PuConfig) -> tuple[np.ndarray, float]:
     """Mean weights and intercept of the classifiers, each on its own reweighting of the samples."""
     total, offset = np.zeros(size), 0.0
@@ -154,12 +186,8 @@ def fit(positive: Sample, unlabelled: Sample, size: int, prior: float, cfg: PuCo
         w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
         m, v = np.zeros(size + 1), np.zeros(size + 1)
         for step in range(1, cfg.rounds + 1):
-            sp, su = sigmoid(positive.scores(w) + b), sigmoid(unlabelled.scores(w) + b)
-            if u @ _loss_against(su) - prior * (p @ _loss_against(sp)) >= 0:
-                gp, gu = prior * p * (sp - 1) - prior * p * sp, u * su
-            else:
-                gp, gu = prior * p * sp, -u * su
-            g = np.append(positive.sums(gp, size) + unlabelled.sums(gu, size) + cfg.l2 * w, gp.sum() + gu.sum())
+            gw, gb = gradient(w, b, positive, unlabelled, p, u, prior)
+            g = np.append(gw + cfg.l2 * w, gb)
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             move = cfg.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
             w, b = w - move[:-1], b - move[-1]
@@ -188,24 +216,13 @@ def train(docs: DataFrame, labels: DataFrame, cfg: PuConfig = PuConfig(), id_col
     def texts(rows: DataFrame, n: int, seed: int) -> DataFrame:
         return labelled.texts_of(docs, labelled.first_by_hash(rows, n, seed), id_col, text_col)
 
-    positive = Sample(texts(known.where("y = 1"), cfg.positives, cfg.seed), cfg)
-    if not positive.n:
+    positive = featured(texts(known.where("y = 1"), cfg.positives, cfg.seed), cfg)
+    if positive.isEmpty():
         return None
-    features, rows = np.unique(positive.feature, return_counts=True)
-    features = features[rows >= cfg.least_docs]
-    positive.restrict(features)
-    unlabelled = Sample(texts(known, cfg.unlabelled, cfg.seed + 1), cfg, features.astype(np.int64))
-    unlabelled.restrict(features)
-    found, there = (side.sums(side.weight, len(features)) for side in (positive, unlabelled))
-    expected = positive.weight.sum() * (there + 0.5) / (unlabelled.weight.sum() + 1)
-    z = np.where(found >= cfg.least_docs, (found - expected) / np.sqrt(expected + 1), 0)
-    best = np.argsort(-z, kind="stable")[: cfg.features]
-    places = np.sort(best[z[best] > cfg.least_z])
-    positive.restrict(places)
-    unlabelled.restrict(places)
-    features = features[places].astype(np.int64)
+    unlabelled = featured(texts(known, cfg.unlabelled, cfg.seed + 1), cfg)
+    features = telling(positive, unlabelled, cfg)
     prior = min(0.9, max(1e-4, counts["toxic"] / counts["n"]))
-    weights, offset = fit(positive, unlabelled, len(features), prior, cfg)
+    weights, offset = fit(Sample(positive, features), Sample(unlabelled, features), len(features), prior, cfg)
     return Model(features, weights, offset, _stems(docs, known, features, cfg, id_col, text_col))
 
 

@@ -50,16 +50,67 @@ def plain_form(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), path, tail))
 
 
-def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source, target): canonical links and refresh targets, absolute or from the host's root."""
-    tags = F.regexp_extract_all(F.col(html_col), F.lit("(?is)(<(?:link|meta)\\b[^>]*>)"), F.lit(1))
-    marked = F.filter(tags, lambda t: t.rlike("(?is)\\brel\\s*=\\s*[\"']?canonical\\b|http-equiv\\s*=\\s*[\"']?refresh\\b"))
-    found = pages.select(F.col(url_col).alias("source"), F.explode(marked).alias("tag"))
-    target = F.regexp_extract("tag", "(?is)(?:\\bhref\\s*=\\s*[\"']?|\\burl\\s*=\\s*[\"']?)([^\"'\\s>]+)", 1)
-    root = F.concat(F.regexp_extract("source", "(?s)^(.*?://[^/?#]*)", 1), "target")
-    return found.select("source", target.alias("target")).where("target <> ''").select(
-        "source", F.when(F.col("target").rlike("^/[^/]|^/$"), root).otherwise(F.col("target")).alias("target")
+#: Character references that stand in addresses (fixed values); the ampersand's come last.
+REFERENCES = (
+    ("(?i)&quot;|&#0*34;|&#x0*22;", '"'), ("(?i)&apos;|&#0*39;|&#x0*27;", "'"), ("(?i)&sol;|&#0*47;|&#x0*2f;", "/"), ("(?i)&colon;|&#0*58;|&#x0*3a;", ":"),
+    ("(?i)&quest;|&#0*63;|&#x0*3f;", "?"), ("(?i)&equals;|&#0*61;|&#x0*3d;", "="), ("(?i)&num;|&#0*35;|&#x0*23;", "#"), ("(?i)&amp;|&#0*38;|&#x0*26;", "&"),
+)
+
+
+def decoded(address: Column) -> Column:
+    """An attribute's address without character references and blank ends."""
+    for pattern, char in REFERENCES:
+        address = F.regexp_replace(address, pattern, char)
+    return F.trim(address, F.lit(" \t\n\f\r"))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path from the root without ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda done, part: (
+        F.when(part == ".", done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+        .otherwise(F.concat(done, F.array(part)))
+    ))
+    closed = F.when(F.get(parts, F.size(parts) - 1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    return F.array_join(closed, "/")
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The absolute address of a reference found at ``base`` (RFC 3986, section 5), for addresses with a host."""
+    root = F.regexp_extract(base, "(?s)^(.*?://[^/?#]*)", 1)
+    path = path_of(base)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "(?s)^(.*/)", 1))
+    whole = (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(F.startswith(target, F.lit("//")), F.concat(F.regexp_extract(base, "(?s)^(.*?:)//", 1), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(root, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(root, path, target))
+        .when(target.rlike("^(#|$)"), F.regexp_extract(base, "(?s)^([^#]*)", 1))
+        .otherwise(F.concat(root, folder, target))
     )
+    tail = F.regexp_extract(whole, "(?s)^.*?://[^/?#]*[^?#]*(.*)$", 1)
+    clean = F.concat(F.regexp_extract(whole, "(?s)^(.*?://[^/?#]*)", 1), _without_dots(path_of(whole)), tail)
+    return F.when(path_of(whole).rlike("/\\.\\.?(/|$)"), clean).otherwise(whole)
+
+
+def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(source, target): canonical links and refresh targets as absolute addresses.
+
+    References are resolved against the page's ``<base href>``, if it has one,
+    and its URL.
+    """
+    address = "(?is)(?:\\bhref\\s*=\\s*|\\burl\\s*=\\s*)(\"[^\">]*|'[^'>]*|[^\"'\\s>]+)"
+
+    def address_of(tag: Column) -> Column:
+        return decoded(F.regexp_replace(F.regexp_extract(tag, address, 1), "^[\"']|[\"']$", ""))
+
+    tags = F.regexp_extract_all(F.col(html_col), F.lit("(?is)(<(?:link|meta|base)\\b[^>]*>)"), F.lit(1))
+    marked = F.filter("tags", lambda t: t.rlike("(?is)\\brel\\s*=\\s*[\"']?canonical\\b|http-equiv\\s*=\\s*[\"']?refresh\\b"))
+    bases = F.filter("tags", lambda t: t.rlike("(?is)^<base\\b.*\\bhref\\s*="))
+    found = pages.select(F.col(url_col).alias("source"), tags.alias("tags")).select("source", bases.alias("bases"), F.explode(marked).alias("tag"))
+    base = F.when(F.size("bases") > 0, resolved(F.col("source"), address_of(F.get("bases", F.lit(0))))).otherwise(F.col("source"))
+    links = found.select("source", base.alias("base"), address_of(F.col("tag")).alias("target")).where("target <> ''")
+    return links.select("source", resolved(F.col("base"), F.col("target")).alias("target"))
 
 
 def own_rule(urls: DataFrame, rules: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
