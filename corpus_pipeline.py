@@ -8,7 +8,6 @@ document lies: id, size, checksum, shard and slot.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from netquarry.llm import decontaminate, mixing, near_dedup, sharding, toxicity
 from netquarry.llm.queries import mixed, table
@@ -37,8 +36,9 @@ def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in their leaf's token prefix, under the target weights."""
     rows, _ = mixed(spark, docs, MIX)
-    left_out = stage(rows.where("copies = 0").select(F.col("doc_id").alias("_out")).distinct(), "mix-out")
-    return without(docs, left_out, "doc_id", "_out")
+    # the leaf decides with the id: rows of one id may hang on different leaves
+    left_out = stage(rows.where("copies = 0").select("doc_id", "lang", "source").distinct(), "mix-out")
+    return without(docs, left_out, {c: c for c in ("doc_id", "lang", "source")})
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
