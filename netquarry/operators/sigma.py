@@ -15,12 +15,13 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry import fixed_values as fv
 from netquarry.functions import net
 from netquarry.operators.common import top_rows
+from netquarry.session import stage
 
 LEVELS = {"critical": 0, "high": 1, "medium": 2, "low": 3, "informational": 4}
 
@@ -201,11 +202,8 @@ def condition_sql(condition, names: Sequence[str], column: Mapping[str, str]) ->
     return "".join(parts)
 
 
-def match_events(events: DataFrame, rules: Iterable[Rule], data_type: str, encode: bool = True) -> DataFrame:
-    """(rule_id, level, data_type, event, timestamp) for every match; all rules
-    of the type are evaluated in one projection of one scan. The event is JSON,
-    or a struct when ``encode`` is off."""
-    rules = [r for r in rules if r.data_type == data_type]
+def matched(events: DataFrame, rules: Sequence[Rule], data_type: str) -> DataFrame:
+    """The events that any rule matches, with ``_hits``, the places of those rules: one projection of one scan."""
     columns = events.columns
     flags, hits = {}, []
     for i, rule in enumerate(rules):
@@ -217,43 +215,54 @@ def match_events(events: DataFrame, rules: Iterable[Rule], data_type: str, encod
     # array_remove, unlike a filter lambda, stays in generated code, where
     # sub-expressions shared by the rules are computed once per row.
     found = F.array_remove(F.array(*hits), -1)
-    body = F.struct(*[F.col(f"`{c}`") for c in columns])
-    ts = F.col("timestamp") if "timestamp" in columns else F.lit(None).cast("timestamp")
-    return (
-        events.withColumns(flags)
-        .withColumn("_hits", found)
-        .where(F.size("_hits") > 0)
-        .select(
-            F.explode("_hits").alias("_i"), F.lit(data_type).alias("data_type"),
-            (F.to_json(body) if encode else body).alias("event"), ts.alias("timestamp"),
-        )
-        .select(
-            F.element_at(F.array(*[F.lit(r.id) for r in rules]), F.col("_i") + 1).alias("rule_id"),
-            F.element_at(F.array(*[F.lit(r.level) for r in rules]), F.col("_i") + 1).alias("level"),
-            "data_type", "event", "timestamp",
-        )
-    )
+    return events.withColumns(flags).withColumn("_hits", found).where(F.size("_hits") > 0).drop(*flags)
+
+
+def _named(rules: Sequence[Rule], place: Column) -> list[Column]:
+    """The id and level of the rule at a place."""
+    return [
+        F.element_at(F.array(*[F.lit(r.id) for r in rules]), place + 1).alias("rule_id"),
+        F.element_at(F.array(*[F.lit(r.level) for r in rules]), place + 1).alias("level"),
+    ]
+
+
+def _time_of(events: DataFrame) -> Column:
+    return F.col("timestamp") if "timestamp" in events.columns else F.lit(None).cast("timestamp")
+
+
+def match_events(events: DataFrame, rules: Iterable[Rule], data_type: str) -> DataFrame:
+    """(rule_id, level, data_type, event, timestamp) for every match; all rules
+    of the type are evaluated in one projection of one scan. The event is JSON."""
+    rules = [r for r in rules if r.data_type == data_type]
+    found = matched(events, rules, data_type)
+    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns]))
+    each = found.select(F.explode("_hits").alias("_i"), F.lit(data_type).alias("data_type"), body.alias("event"), _time_of(events).alias("timestamp"))
+    return each.select(*_named(rules, F.col("_i")), "data_type", "event", "timestamp")
 
 
 def level_rank(level: str = "level") -> Column:
     return F.coalesce(*[F.when(F.col(level) == k, F.lit(v)) for k, v in LEVELS.items()], F.lit(5))
 
 
-def summarize(matches: DataFrame, report_cap: int = 100, samples: int = 5) -> DataFrame:
-    """Per rule: all matches, the number a report shows, and sample events in
-    time order; most severe first."""
-    counts = matches.groupBy("rule_id", "level", "data_type").agg(F.count(F.lit(1)).alias("matches"))
-    first = top_rows(matches, ["rule_id"], [F.asc("timestamp"), F.asc("event")], samples, "_n")
-    if matches.schema["event"].dataType.typeName() == "struct":
-        first = first.withColumn("event", F.to_json("event"))
-    first = (
-        first.groupBy("rule_id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "event"))), lambda s: s.getField("event")).alias("sample_events"))
+def summarize(events: DataFrame, rules: Iterable[Rule], data_type: str, report_cap: int = 100, samples: int = 5) -> DataFrame:
+    """Per rule: all matches, the number a report shows, and sample events in time order.
+
+    One scan of the log writes the matching events with the places of their
+    rules; counts read only those places, and samples rank the events within
+    each rule, cut before the shuffle. Ties of time go by the event's columns.
+    """
+    rules = [r for r in rules if r.data_type == data_type]
+    found = stage(matched(events, rules, data_type), "rule-matches")
+    counts = found.select(F.explode("_hits").alias("_i")).groupBy("_i").agg(F.count(F.lit(1)).alias("matches"))
+    body = F.struct(*[F.col(f"`{c}`") for c in events.columns])
+    each = found.select(F.explode("_hits").alias("_i"), body.alias("event"), _time_of(events).alias("timestamp"))
+    first = top_rows(each, ["_i"], [F.asc("timestamp"), F.asc("event")], samples, "_n").withColumn("event", F.to_json("event"))
+    first = first.groupBy("_i").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_n", "event"))), lambda s: s.getField("event")).alias("sample_events")
     )
-    return (
-        counts.join(first, "rule_id")
-        .withColumn("match_count", F.least("matches", F.lit(report_cap)))
-        .orderBy(level_rank(), "rule_id")
+    return counts.join(first, "_i").select(
+        *_named(rules, F.col("_i")), F.lit(data_type).alias("data_type"), "matches", "sample_events",
+        F.least("matches", F.lit(report_cap)).alias("match_count"),
     )
 
 
@@ -273,13 +282,10 @@ def scan(bundle: Mapping[str, DataFrame], rules: Iterable[Rule]) -> DataFrame:
 
 
 def scan_summary(bundle: Mapping[str, DataFrame], rules: Iterable[Rule], report_cap: int = 100, samples: int = 5) -> DataFrame:
-    """Per-rule summary over all data types, most severe first; only sampled
-    events are written out as JSON."""
+    """Per-rule summary over all data types, most severe first; every log is
+    scanned once, whatever the number of rules."""
     rules = list(rules)
-    parts = [
-        summarize(match_events(bundle[n], rules, n, encode=False), report_cap, samples)
-        for n in _applicable(bundle, rules)
-    ]
+    parts = [summarize(bundle[n], rules, n, report_cap, samples) for n in _applicable(bundle, rules)]
     return reduce(lambda a, b: a.unionByName(b), parts).orderBy(level_rank(), "rule_id")
 
 

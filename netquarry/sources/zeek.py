@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,24 +15,81 @@ from netquarry.functions import times
 from netquarry.operators import normalize
 
 
-def header_fields(spark: SparkSession, path: str, lines: int = 50) -> list[str]:
-    """Column names from the ``#fields`` line at the head of a log."""
-    head = [r.value for r in spark.read.text(path).limit(lines).collect()]
-    for line in head:
-        if line.startswith("#fields"):
-            return line.split("\t")[1:]
-    raise ValueError(f"no #fields header in the first {lines} lines of {path}")
+#: Lines read of each file split when headers are looked up.
+HEAD_LINES = 64
 
 
-def check_headers(spark: SparkSession, path: str) -> None:
-    """Fail when the files under a path do not share one header: a full text
-    pass, so optional."""
-    kinds = spark.read.text(path).where(F.startswith("value", F.lit("#fields"))).distinct().limit(2).count()
-    if kinds > 1:
-        raise ValueError(f"files under {path} have different #fields headers; read them separately")
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, fields) of every file under a path: its own ``#fields`` line, null if its head has none.
 
+    One task per file split takes the first few lines and stops reading, so
+    the logs are not scanned; splits inside a file give no row. The settings
+    that deal one split per task hold for this lookup only.
+    """
+    rows = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    )
 
-def read_log(spark: SparkSession, path: str, fields: Sequence[str] | None = None) -> DataFrame:
+    def head(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if batch.column("start")[0].as_py() == 0:
+                lines = batch.column("value").to_pylist()
+                fields = next((line.split("\t")[1:] for line in lines if line.startswith("#fields\t")), None)
+                own = [batch.column("file")[0].as_py()]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([fields], pa.list_(pa.string()))], ["file", "fields"])
+            return
+
+    own = {"spark.sql.files.openCostInBytes": str(1 << 40), "spark.sql.execution.arrow.maxRecordsPerBatch": str(HEAD_LINES)}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, value in own.items():
+            spark.conf.set(k, value)
+        found = [(unquote(r["file"]), r["fields"]) for r in rows.mapInArrow(head, "file string, fields array<string>").collect()]
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+    return spark.createDataFrame(found, "file string, fields array<string>")
+
+
+def header_fields(spark: SparkSession, path: str) -> list[str]:
+    """Column names of logs that share one header."""
+    kinds = file_headers(spark, path).where("fields IS NOT NULL").select("fields").distinct().limit(2).collect()
+    if not kinds:
+        raise ValueError(f"no #fields header in the first {HEAD_LINES} lines of the files under {path}")
+    if len(kinds) > 1:
+        raise ValueError(f"files under {path} have different #fields headers; read_folder reads each under its own")
+    return kinds[0]["fields"]
+
+
+def read_folder(spark: SparkSession, path: str, unheaded: Sequence[str] | None = None) -> DataFrame:
+    """Zeek logs as strings, every file under its own ``#fields`` line.
+
+    Files are grouped by header and each group is one scan; columns are united
+    by name, and a field that a file lacks is null. ``unheaded`` names the
+    fields of files without a header; without it such files are an error. An
+    empty file has no rows and needs no header.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in file_headers(spark, path).collect():  # one line per file
+        fields = row["fields"] or unheaded
+        if not fields:
+            raise ValueError(f"no #fields header in the first {HEAD_LINES} lines of {row['file']}")
+        groups.setdefault(tuple(fields), []).append(row["file"])
+    if not groups:
+        raise ValueError(f"no log lines under {path}")
+    literal = {f: re.sub(r"([*?\[\]{}\\])", r"\\\1", f) for files in groups.values() for f in files}  # names, not patterns
+    parts = [read_log(spark, sorted(literal[f] for f in files), fields) for fields, files in sorted(groups.items())]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def read_log(spark: SparkSession, path: str | list[str], fields: Sequence[str] | None = None) -> DataFrame:
     """A Zeek log as strings under its own field names; ``-`` is null."""
     names = list(fields or header_fields(spark, path))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])

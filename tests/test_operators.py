@@ -370,7 +370,7 @@ def test_shipped_rules_fire_on_normalised_logs(frame):
 
 def test_rule_report_cap_counts_everything(frame):
     rule = sigma.Rule("r", "r", "low", "dns_query", {"s": {"domain": "x"}}, "s", ("attack.t1071.004", "attack.command_and_control"))
-    got = sigma.summarize(sigma.match_events(frame([("x",)] * 150, "domain string"), [rule], "dns_queries")).first()
+    got = sigma.summarize(frame([("x",)] * 150, "domain string"), [rule], "dns_queries").first()
     assert (got.matches, got.match_count, len(got.sample_events)) == (150, 100, 5)
     assert rule.techniques == ["T1071.004"] and rule.tactics == ["command_and_control"]
 
@@ -454,8 +454,8 @@ def test_rule_timeframe_is_no_selection(frame):
 def test_rule_modifiers(frame, key, pattern, hits):
     lines = [r"net use \\host\ADMIN$ x", "C:\\a.EXE", "C:\\axe exe", "QWFodHRwOi8vYg==", None]
     r = rule({key: pattern})
-    got = sigma.match_events(frame([(x,) for x in lines], "command_line string"), [r], r.data_type, encode=False)
-    assert [x.event.command_line for x in got.collect()] == hits
+    got = sigma.match_events(frame([(x,) for x in lines], "command_line string"), [r], r.data_type)
+    assert [json.loads(x.event)["command_line"] for x in got.collect()] == hits
 
 
 def test_ipv6_networks(frame):

@@ -822,8 +822,7 @@ def _(spark, sf):
         r("one-of-them", {"com": {"domain": "*.com"}, "nx": {"response_code": "nxdomain"}}, "1 of them"),
         r("all-of-pair", {"sel_a": {"domain": "*.com"}, "sel_b": {"response_code": "nxdomain"}}, "all of sel_*"),
     )
-    log = stage(v.dns(spark, sf), "dns")
-    return out(sigma.scan_summary({"dns_queries": log}, rules), "rule_id", "matches")
+    return out(sigma.scan_summary({"dns_queries": v.dns(spark, sf)}, rules), "rule_id", "matches")
 
 
 @R.add("rule_scan_texts", """
@@ -841,3 +840,70 @@ UNION ALL SELECT 'office-child-process', 'host' || user_id, epoch_us(ts) FROM ev
 def _(spark, sf):
     m = sigma.scan({"process_logs": process_logs(spark, sf)}, sigma.SHIPPED_RULES)
     return out(m.select("rule_id", F.get_json_object("event", "$.hostname").alias("hostname"), F.unix_micros("timestamp").alias("seen")))
+
+
+_TLDS = ("a.tk", "b.com", "c.XYZ", "d.org", "tk.net")
+_SCRIPTS = ("Set-MpPreference -x", "iwr http://h/p", "powershell -enc aQB3", "Get-Item", "(New-Object Net.WebClient).DownloadString('u')", "add-mppreference -EncodedCommand e")
+_KEYS = ("HKLM\\Software\\Microsoft\\Windows\\CurrentVersion\\Run\\x", "HKCU\\Software\\x", "HKCU\\a\\currentversion\\explorer\\shell folders")
+_COMMANDS = ("notepad", "SCHTASKS /run", "cmd /create", "register-scheduledtask -x")
+
+
+def shipped_logs(spark, sf):
+    """A log for every data type that the shipped rules look at."""
+    e = v.table(spark, sf, "events")
+    k = F.col("event_id")
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
+    common = (F.concat(F.lit("host"), F.col("user_id")).alias("hostname"), k.cast("string").alias("event"), F.col("ts").cast("timestamp").alias("timestamp"))
+    return {
+        "authentication_logs": e.select(*common, F.when(k % 3 == 0, "failure").otherwise("success").alias("result"),
+                                        F.when(k % 7 == 0, "0xc0000064").alias("SubStatus")),
+        "process_logs": process_logs(spark, sf),
+        "dns_queries": e.select(*common, pick(_TLDS).alias("domain")),
+        "powershell_logs": e.select(*common, pick(_SCRIPTS).alias("command_line")),
+        "registry_changes": e.select(*common, pick(_KEYS).alias("key_path"), F.lit("v").alias("value_data")),
+        "scheduled_tasks": e.select(*common, pick(_COMMANDS).alias("command"), F.when(k % 5 == 0, "created").otherwise("deleted").alias("event_type")),
+    }
+
+
+def _first_five(where):
+    return f"(SELECT string_agg(event_id::VARCHAR, ',' ORDER BY ts, 'host' || user_id, event_id::VARCHAR) FROM (SELECT * FROM events WHERE {where} ORDER BY ts, 'host' || user_id, event_id::VARCHAR LIMIT 5))"
+
+
+_SHIPPED = (
+    ("defender-tampering", "critical", "powershell_logs", "event_id % 6 IN (0, 5)"),
+    ("auth-failed-logon", "high", "authentication_logs", "event_id % 3 = 0 AND event_id % 7 <> 0"),
+    ("autorun-key-change", "high", "registry_changes", "event_id % 3 IN (0, 2)"),
+    ("scheduled-task-created", "high", "scheduled_tasks", "event_id % 5 = 0 OR event_id % 4 IN (1, 2, 3)"),
+    ("script-download", "high", "powershell_logs", "event_id % 6 IN (1, 4)"),
+    ("script-encoded-command", "high", "powershell_logs", "event_id % 6 IN (2, 5)"),
+    ("abused-tld-lookup", "medium", "dns_queries", "event_id % 5 IN (0, 2)"),
+    ("remote-service-execution", "high", "process_logs", "event_id % 4 = 1 OR event_id % 5 IN (1, 2)"),
+    ("office-child-process", "high", "process_logs", "event_id % 3 IN (0, 2) AND event_id % 4 IN (0, 3)"),
+)
+
+
+@R.add("rule_scan_shipped", " UNION ALL ".join(
+    f"SELECT '{i}' AS rule_id, '{level}' AS level, '{t}' AS data_type, count(*) AS matches, least(count(*), 100) AS match_count, "
+    + ("NULL" if t == "process_logs" else _first_five(where)) + f" AS first_events FROM events WHERE {where} HAVING count(*) > 0"
+    for i, level, t, where in _SHIPPED))
+def _(spark, sf):
+    """All nine shipped rules over six logs, with the events that a report shows."""
+    got = sigma.scan_summary(shipped_logs(spark, sf), sigma.SHIPPED_RULES)
+    events = F.array_join(F.transform("sample_events", lambda s: F.get_json_object(s, "$.event")), ",")
+    return out(got.withColumn("first_events", F.when(F.col("data_type") != "process_logs", events)),
+               "rule_id", "level", "data_type", "matches", "match_count", "first_events")
+
+
+@R.add("rule_listing", """
+SELECT 'auth-failed-logon' AS id, 'high' AS level, 'authentication_logs' AS data_type, 'credential_access' AS tactics, 'T1110.001,T1110.003' AS techniques, (SELECT count(*) FROM events WHERE event_id % 3 = 0 AND event_id % 7 <> 0) AS matches
+UNION ALL SELECT 'autorun-key-change', 'high', 'registry_changes', 'persistence', 'T1547.001', (SELECT count(*) FROM events WHERE event_id % 3 IN (0, 2))
+UNION ALL SELECT 'abused-tld-lookup', 'medium', 'dns_queries', 'command_and_control', 'T1071.004', (SELECT count(*) FROM events WHERE event_id % 5 IN (0, 2))
+UNION ALL SELECT 'scheduled-task-created', 'high', 'scheduled_tasks', 'persistence,execution', 'T1053.005', (SELECT count(*) FROM events WHERE event_id % 5 = 0 OR event_id % 4 IN (1, 2, 3))""")
+def _(spark, sf):
+    """Rules with their tactics and techniques beside what they matched."""
+    types = ("authentication_logs", "registry_changes", "dns_queries", "scheduled_tasks")
+    logs = {t: df for t, df in shipped_logs(spark, sf).items() if t in types}
+    listed = sigma.rule_list(spark, [r for r in sigma.SHIPPED_RULES if r.data_type in types])
+    found = sigma.scan(logs, sigma.SHIPPED_RULES).groupBy("rule_id").agg(F.count(F.lit(1)).alias("matches"))
+    got = listed.join(found, F.col("id") == F.col("rule_id"))
+    return out(got.withColumns({c: F.array_join(c, ",") for c in ("tactics", "techniques")}), "id", "level", "data_type", "tactics", "techniques", "matches")
