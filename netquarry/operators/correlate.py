@@ -6,7 +6,7 @@ whole history is assessed in one job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,14 +15,30 @@ from netquarry import fixed_values as fv
 from netquarry.functions.times import severity_name, severity_rank
 
 
-def dedup_findings(findings: DataFrame, keys: Sequence[str] = (), agent_order: str = "agent") -> DataFrame:
-    """One row per fingerprint: the family with the highest overall confidence,
-    the earliest family on a tie."""
+def family_order(agent: str = "agent", priority: Mapping[str, float] | None = None) -> Column:
+    """Sorts families: greater priority first, then as the registry lists them; unknown ones last, by name."""
+    names = list(fv.AGENT_TACTICS)
+    place = F.coalesce(*[F.when(F.col(agent) == n, F.lit(i)) for i, n in enumerate(names)], F.lit(len(names)))
+    weight = F.coalesce(*[F.when(F.col(agent) == a, F.lit(-float(p))) for a, p in (priority or {}).items()], F.lit(0.0))
+    return F.struct(weight.alias("p"), place.alias("i"), F.col(agent).alias("a"))
+
+
+def _family_confidence(findings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every finding with its family's highest confidence; the few families of one assessment are looked up in a map."""
     best = findings.groupBy(*keys, "agent").agg(F.max("confidence").alias("_family_confidence"))
-    ranked = findings.join(best, [*keys, "agent"])
+    if keys:
+        return findings.join(best, [*keys, "agent"])
+    known = best.agg(F.map_from_entries(F.collect_list(F.struct("agent", "_family_confidence"))).alias("m"))
+    return findings.withColumn("_family_confidence", F.try_element_at(known.scalar(), F.col("agent")))
+
+
+def dedup_findings(findings: DataFrame, keys: Sequence[str] = (), priority: Mapping[str, float] | None = None) -> DataFrame:
+    """One row per fingerprint: the family with the highest overall confidence;
+    on a tie the one that ``family_order`` puts first."""
+    ranked = _family_confidence(findings, keys)
     order = F.struct(
         F.negative("_family_confidence").alias("c"),
-        F.col(agent_order).alias("a"),
+        family_order(priority=priority).alias("a"),
         F.negative("confidence").alias("f"),
         F.struct(*[c for c in findings.columns if c not in (*keys, "fingerprint", "evidence")]).alias("row"),
         F.to_json("evidence").alias("evidence") if "evidence" in findings.columns else F.lit("").alias("evidence"),
@@ -85,11 +101,12 @@ def _attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], columns: Seq
 
 
 def kill_chain(outputs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Multiply by 1.5 when the families' tactics, in priority order, form a
-    progression. The list per assessment is bounded by the family registry."""
+    """Multiply by 1.5 when the families' tactics form a progression, families
+    by priority (column ``priority``, if there is one) and then in the
+    registry's order. The list per assessment is bounded by the registry."""
     priority = F.col("priority") if "priority" in outputs.columns else F.lit(0.0)
     ordered = F.array_sort(
-        F.collect_list(F.struct(F.negative(priority).alias("p"), F.col("agent").alias("a"), F.col("mitre_tactics").alias("t")))
+        F.collect_list(F.struct(F.negative(priority).alias("p"), family_order().alias("a"), F.col("mitre_tactics").alias("t")))
     )
     chains = outputs.groupBy(*keys).agg(
         F.flatten(F.transform(ordered, lambda s: s.getField("t"))).alias("tactic_chain")

@@ -78,7 +78,7 @@ def run_hunt(
     keep = stage if staged else (lambda df, name: df)
     ready = findings.prepare(dict(bundle), keys, keep)
     found = keep(findings.run_detections(ready, cfg, keys, keep=keep), "findings")
-    found = correlate.dedup_findings(found, keys)
+    found = correlate.dedup_findings(found, keys, cfg.agent_priority)
     outputs = rollup.agent_rollup(found, keys)
     if cfg.agent_priority:
         priority = F.coalesce(*[F.when(F.col("agent") == a, F.lit(p)) for a, p in cfg.agent_priority.items()], F.lit(0.0))

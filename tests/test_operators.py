@@ -528,3 +528,17 @@ def test_imported_cases_keep_all_indicators(frame):
     rows = [(c, i, f"10.0.{c}.{i}") for c in (1, 2) for i in range(80)] + [(1, 90, ""), (1, 91, None)]
     got = cases.import_assets(frame(rows, "case_id int, position int, ioc_value string")).collect()
     assert sorted((r["case_id"], r["asset"]) for r in got) == sorted((c, v) for c, _, v in rows if v)
+
+
+def test_family_order_breaks_ties_and_orders_chains(frame):
+    rows = [("c2_hunter", "f", 0.5), ("reconnaissance_hunter", "f", 0.5), ("impact_hunter", "f", 0.5), ("another", "f", 0.5)]
+    tied = frame(rows, "agent string, fingerprint string, confidence double")
+    assert correlate.dedup_findings(tied).first().agent == "reconnaissance_hunter"
+    assert correlate.dedup_findings(tied, priority={"impact_hunter": 0.2}).first().agent == "impact_hunter"
+    keyed = tied.withColumn("w", F.lit(1))
+    assert correlate.dedup_findings(keyed, ("w",)).first().agent == "reconnaissance_hunter"
+    out = frame([("collection_exfiltration_hunter", ["TA0009", "TA0010"], 0.5), ("lateral_movement_hunter", ["TA0008"], 0.5)],
+                "agent string, mitre_tactics array<string>, boosted_confidence double")
+    assert {r.chain_multiplier for r in correlate.kill_chain(out).collect()} == {1.5}
+    first = out.withColumn("priority", F.when(F.col("agent") == "lateral_movement_hunter", 0.1).otherwise(0.9))
+    assert {r.chain_multiplier for r in correlate.kill_chain(first).collect()} == {1.0}

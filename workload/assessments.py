@@ -60,14 +60,54 @@ def _(spark, sf):
 
 
 @R.add("kill_chain_multiplier", f"""
-WITH {_OUTPUTS.strip()}, m AS (SELECT w, list_sort(list(agent)) AS ags FROM o GROUP BY 1)
-SELECT CAST(epoch(b.w) AS BIGINT) AS window_start, agent, round(least(boosted * CASE WHEN ags = ['collection_exfiltration_hunter'] THEN 1.5 ELSE 1.0 END, 1.0), 6) AS chain_confidence
-FROM b JOIN m ON m.w = b.w""", ("v_finding",))
+WITH {_OUTPUTS.strip()}, {v.chain_sql('o', 'w')}
+SELECT CAST(epoch(b.w) AS BIGINT) AS window_start, agent, round(least(boosted * x, 1.0), 6) AS chain_confidence
+FROM b JOIN mult ON mult.w = b.w""", ("v_finding",))
 def _(spark, sf):
     k = correlate.kill_chain(correlate.corroborate(_outputs(spark, sf), ("window_start",)), ("window_start",))
     return out(k.select(F.unix_seconds("window_start").alias("window_start"), "agent", "chain_confidence"))
 
 
+_SMALL = "time_bucket(INTERVAL 10 MINUTE, ts)"
+_SMALL_OUTPUTS = _OUTPUTS.replace("date_trunc('day', ts)", _SMALL).strip()
+PRIORITY = {"collection_exfiltration_hunter": 0.4, "impact_hunter": 0.9}
+
+
+def _small_outputs(spark, sf):
+    f = v.findings(spark, sf).withColumn("window_start", F.window("created_at", "10 minutes").getField("start"))
+    return rollup.agent_rollup(f, ("window_start",))
+
+
+def _small_sql(first):
+    """Windows of few families: the multiplier and the level of alert differ from window to window."""
+    return f"""
+WITH {_SMALL_OUTPUTS}, {v.chain_sql('o', 'w', first)},
+ x AS (SELECT b.w, b.agent, least(boosted * mult.x, 1.0) AS adj, array_to_string(chain, ',') AS chain FROM b JOIN mult ON mult.w = b.w),
+ f AS (SELECT w, CASE WHEN count(*) FILTER (adj > 0.7) >= 2 THEN least(max(adj) * 1.1, 1.0) ELSE max(adj) END AS fc, count(*) AS agent_count, min(chain) AS chain FROM x GROUP BY 1)
+SELECT CAST(epoch(w) AS BIGINT) AS window_start, chain, round(fc, 6) AS final_confidence, agent_count,
+  CASE WHEN fc >= 0.9 THEN 'critical' WHEN fc >= 0.7 THEN 'high' WHEN fc >= 0.5 THEN 'medium' ELSE 'low' END AS alert_level FROM f"""
+
+
+def _small_assessments(outputs):
+    keys = ("window_start",)
+    chain = correlate.kill_chain(correlate.corroborate(correlate.drop_empty(outputs), keys), keys)
+    chains = chain.groupBy(*keys).agg(F.min(F.array_join("tactic_chain", ",")).alias("chain"))
+    a = correlate.assess(outputs, keys).join(chains, "window_start")
+    return out(a.select(F.unix_seconds("window_start").alias("window_start"), "chain", "final_confidence", "agent_count", "alert_level"))
+
+
+@R.add("kill_chain_assessments", _small_sql(""), ("v_finding",))
+def _(spark, sf):
+    return _small_assessments(_small_outputs(spark, sf))
+
+
+@R.add("kill_chain_by_priority", _small_sql("CASE agent WHEN 'impact_hunter' THEN -0.9 WHEN 'collection_exfiltration_hunter' THEN -0.4 ELSE 0 END,"), ("v_finding",))
+def _(spark, sf):
+    """Families that a selection ranked higher come first in the chain."""
+    weight = F.coalesce(*[F.when(F.col("agent") == a, F.lit(p)) for a, p in PRIORITY.items()], F.lit(0.0))
+    return _small_assessments(_small_outputs(spark, sf).withColumn("priority", weight))
+
+
 @R.add("false_positive_dampening", f"""
 WITH {_OUTPUTS.strip()}, r AS (SELECT ['collection_exfiltration_hunter','c2_hunter','impact_hunter','lateral_movement_hunter','reconnaissance_hunter'][1 + CAST(doc_id % 5 AS INT)] AS agent,
    count(*) FILTER (quality <> 1) / count(*) AS fp FROM labels GROUP BY 1)
@@ -98,8 +138,8 @@ def _(spark, sf):
 
 
 @R.add("window_assessments", f"""
-WITH {_OUTPUTS.strip()}, m AS (SELECT w, list_sort(list(agent)) AS ags, CAST(sum(n) AS BIGINT) AS n FROM o GROUP BY 1),
- x AS (SELECT b.w, b.agent, least(boosted * CASE WHEN ags = ['collection_exfiltration_hunter'] THEN 1.5 ELSE 1.0 END, 1.0) AS adj FROM b JOIN m ON m.w = b.w),
+WITH {_OUTPUTS.strip()}, m AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM o GROUP BY 1), {v.chain_sql('o', 'w')},
+ x AS (SELECT b.w, b.agent, least(boosted * mult.x, 1.0) AS adj FROM b JOIN mult ON mult.w = b.w),
  f AS (SELECT w, CASE WHEN count(*) FILTER (adj > 0.7) >= 2 THEN least(max(adj) * 1.1, 1.0) ELSE max(adj) END AS fc, count(*) AS agent_count, count(*) FILTER (adj > 0.5) AS corroborating_agents FROM x GROUP BY 1),
  ts AS (SELECT w, agent, list_sort(list(t)) AS s FROM tt GROUP BY 1, 2),
  j AS (SELECT p.w, avg(len(list_intersect(p.s, q.s)) / len(list_distinct(list_concat(p.s, q.s)))) AS cs FROM ts p JOIN ts q ON p.w = q.w AND p.agent < q.agent GROUP BY 1)
@@ -111,11 +151,27 @@ def _(spark, sf):
     return out(a.select(F.unix_seconds("window_start").alias("window_start"), "final_confidence", "agent_count", "corroborating_agents", "total_findings", "alert_level", "correlation_score"))
 
 
-@R.add("finding_dedup", """
-WITH a AS (SELECT agent, max(confidence) AS fc FROM v_finding GROUP BY 1), r AS (SELECT f.*, fc, row_number() OVER (PARTITION BY fingerprint ORDER BY fc DESC, agent, confidence DESC) AS k FROM v_finding f JOIN a USING (agent))
-SELECT fingerprint, agent, round(confidence, 6) AS confidence FROM r WHERE k = 1""", ("v_finding",))
+def _dedup_sql(first):
+    """Confidences on a scale of three make ties between families frequent."""
+    return f"""
+WITH {v.FAMILIES}, t AS (SELECT * REPLACE (floor(confidence * 3) / 4 AS confidence) FROM v_finding),
+ a AS (SELECT agent, max(confidence) AS fc FROM t GROUP BY 1),
+ r AS (SELECT t.*, fc, row_number() OVER (PARTITION BY fingerprint ORDER BY fc DESC, {first} place, confidence DESC) AS k FROM t JOIN a USING (agent) JOIN fam USING (agent))
+SELECT fingerprint, agent, round(confidence, 6) AS confidence FROM r WHERE k = 1"""
+
+
+def _tied(spark, sf):
+    return v.findings(spark, sf).withColumn("confidence", F.floor(F.col("confidence") * 3) / 4)
+
+
+@R.add("finding_dedup", _dedup_sql(""), ("v_finding",))
+def _(spark, sf):
+    return out(correlate.dedup_findings(_tied(spark, sf)), "fingerprint", "agent", "confidence")
+
+
+@R.add("finding_dedup_by_priority", _dedup_sql("CASE agent WHEN 'impact_hunter' THEN -0.9 WHEN 'collection_exfiltration_hunter' THEN -0.4 ELSE 0 END,"), ("v_finding",))
 def _(spark, sf):
-    return out(correlate.dedup_findings(v.findings(spark, sf)), "fingerprint", "agent", "confidence")
+    return out(correlate.dedup_findings(_tied(spark, sf), priority=PRIORITY), "fingerprint", "agent", "confidence")
 
 
 @R.add("confidence_adjustments", f"""

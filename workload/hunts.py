@@ -94,13 +94,14 @@ WITH {_ROLLUP.strip()},
  ex AS (SELECT agent, unnest(techs) AS t FROM sev),
  oth AS (SELECT agent, t, count(*) OVER (PARTITION BY t) - 1 AS o FROM ex),
  cor AS (SELECT agent, CAST(sum(o) AS BIGINT) AS corr FROM oth GROUP BY 1),
- adj AS (SELECT s.*, corr, least(s.confidence * (1.0 + 0.2 * least(corr, 3)), 1.0) AS adjusted FROM sev s JOIN cor USING (agent)),
+ keyed AS (SELECT 1 AS one, agent FROM sev), {v.chain_sql('keyed', 'one')},
+ adj AS (SELECT s.*, corr, least(least(s.confidence * (1.0 + 0.2 * least(corr, 3)), 1.0) * (SELECT x FROM mult), 1.0) AS adjusted FROM sev s JOIN cor USING (agent)),
  jac AS (SELECT a.agent, len(list_intersect(a.techs, b.techs)) / len(list_distinct(list_concat(a.techs, b.techs))) AS j
          FROM sev a JOIN sev b ON a.agent < b.agent)
 SELECT round(CASE WHEN count(*) FILTER (adjusted > 0.7) >= 2 THEN least(max(adjusted) * 1.1, 1.0) ELSE max(adjusted) END, 6) AS final_confidence,
   count(*) AS agent_count, count(*) FILTER (adjusted > 0.5) AS corroborating_agents, CAST(sum(findings) AS BIGINT) AS total_findings,
   CASE max(CASE severity WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 3 END) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS severity,
-  'critical' AS alert_level, (SELECT count(DISTINCT t) FROM ex) AS techniques, (SELECT round(avg(j), 6) FROM jac) AS correlation_score
+  CASE WHEN final_confidence >= 0.9 THEN 'critical' WHEN final_confidence >= 0.7 THEN 'high' WHEN final_confidence >= 0.5 THEN 'medium' ELSE 'low' END AS alert_level, (SELECT count(DISTINCT t) FROM ex) AS techniques, (SELECT round(avg(j), 6) FROM jac) AS correlation_score
 FROM adj""")
 def _(spark, sf):
     a = hunt.run_hunt(bundle(spark, sf), CFG, staged=True, hunt_id="hunt-1", hunted_at="2024-01-01 00:00:00").assessments
@@ -168,9 +169,9 @@ def _(spark, sf):
 
 @R.add("bulk_hunt_window_assessments", f"""
 WITH {_WINDOW_FINDINGS.strip()},
- r AS (SELECT w, agent, max(confidence) AS c, count(*) AS n FROM wf GROUP BY 1, 2),
- m AS (SELECT w, list_sort(list(agent)) AS ags, max(c) AS mx, CAST(sum(n) AS BIGINT) AS n, count(*) AS k FROM r GROUP BY 1),
- x AS (SELECT r.w, r.agent, r.c, m.ags, least(r.c * CASE WHEN m.ags = ['collection_exfiltration_hunter'] THEN 1.5 ELSE 1.0 END, 1.0) AS adj FROM r JOIN m USING (w))
+ r AS (SELECT w, agent, max(confidence) AS c, count(*) AS n FROM wf GROUP BY 1, 2), {v.chain_sql('r', 'w')},
+ m AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1),
+ x AS (SELECT r.w, r.agent, least(r.c * mult.x, 1.0) AS adj FROM r JOIN mult USING (w))
 SELECT CAST(epoch(x.w) AS BIGINT) AS window_start, count(*) AS agent_count, (SELECT n FROM m WHERE m.w = x.w) AS total_findings,
   round(CASE WHEN count(*) FILTER (adj > 0.7) >= 2 THEN least(max(adj) * 1.1, 1.0) ELSE max(adj) END, 6) AS final_confidence
 FROM x GROUP BY x.w""", ("v_dns", "v_http"))

@@ -335,3 +335,16 @@ def out(df: DataFrame, *cols) -> DataFrame:
             c = F.unix_micros(c.cast("timestamp"))
         shaped.append(c.alias(f.name))
     return picked.select(*shaped)
+
+
+#: Tactic pairs in progression, and the families with their place and tactics, as SQL.
+_PROGRESSION = "('TA0043>TA0001','TA0043>TA0042','TA0001>TA0002','TA0001>TA0011','TA0002>TA0003','TA0002>TA0006','TA0002>TA0008','TA0003>TA0006','TA0003>TA0008','TA0006>TA0008','TA0006>TA0004','TA0008>TA0009','TA0008>TA0010','TA0009>TA0010')"
+FAMILIES = """fam(agent, place, tactics) AS (VALUES ('reconnaissance_hunter', 1, ['TA0043', 'TA0007']), ('lateral_movement_hunter', 2, ['TA0008']),
+  ('collection_exfiltration_hunter', 3, ['TA0009', 'TA0010']), ('c2_hunter', 4, ['TA0011']), ('impact_hunter', 5, ['TA0040']))"""
+
+
+def chain_sql(outputs: str, key: str, first: str = "") -> str:
+    """Tables ``fam`` and ``mult`` (key, chain, x): tactics of the families in ``outputs`` per key, and the multiplier."""
+    return f"""{FAMILIES},
+ mult AS (SELECT {key}, chain, CASE WHEN len(chain) >= 2 AND len(list_filter(range(1, len(chain)), lambda i: chain[i] || '>' || chain[i + 1] NOT IN {_PROGRESSION})) = 0
+    THEN 1.5 ELSE 1.0 END AS x FROM (SELECT {key}, flatten(list(tactics ORDER BY {first} place)) AS chain FROM {outputs} JOIN fam USING (agent) GROUP BY 1))"""
