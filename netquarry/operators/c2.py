@@ -9,13 +9,27 @@ from pyspark.sql import functions as F
 
 from netquarry.config import C2Config
 from netquarry.functions import text
-from netquarry.operators.common import interarrival, left_join_all, smallest_values
+from netquarry.operators.common import interarrival, left_join_all, possible_rows, smallest_values
 from netquarry.operators.flows import FLOW_KEYS, as_flows, present
 
 
-def beaconing(connections: DataFrame, cfg: C2Config = C2Config(), extra_keys: Sequence[str] = ()) -> DataFrame:
-    """Regular call-backs per (source, destination, port)."""
+def beacon_candidates(flows: DataFrame, cfg: C2Config = C2Config(), extra_keys: Sequence[str] = ()) -> DataFrame:
+    """Keys of the flow summary with enough timed connections, at more than one time, to be a beacon."""
+    enough = (F.col("timed") >= cfg.min_connections) & (F.col("first_ts") < F.col("last_ts"))
+    return flows.where(enough).select(*extra_keys, *FLOW_KEYS)
+
+
+def beaconing(
+    connections: DataFrame, cfg: C2Config = C2Config(), extra_keys: Sequence[str] = (), flows: DataFrame | None = None
+) -> DataFrame:
+    """Regular call-backs per (source, destination, port).
+
+    With a stored flow summary the rows of pairs that connect too seldom,
+    usually nearly all, are left out in the scan, before the shuffle by pair.
+    """
     rows = connections.where(present("source_ip") & present("destination_ip"))
+    if flows is not None:
+        rows = possible_rows(rows, beacon_candidates(flows, cfg, extra_keys), [*extra_keys, *FLOW_KEYS])
     stats = interarrival(rows, [*extra_keys, *FLOW_KEYS], bucket_seconds=cfg.beacon_bucket_seconds)
     cv = F.col("std_dev") / F.col("mean_interval")
     out = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -84,6 +85,30 @@ def left_join_all(base: DataFrame, parts: Sequence[DataFrame], keys: Sequence[st
     return out
 
 
+#: Bits of a prefilter's bitmap per key, and at most (16 MB).
+BITS_PER_KEY = 32
+MOST_BITS = 27
+
+
+def possible_rows(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose keys may be among ``wanted`` (stored; one row per key): all that are, few others.
+
+    A bitmap over hashes of the wanted keys, sized by their number, is
+    broadcast and tested in the scan's stage, before anything is shuffled.
+    Beyond some four million keys more and more other rows pass.
+    """
+    bits = min(MOST_BITS, max(15, math.ceil(math.log2(BITS_PER_KEY * (wanted.count() + 1)))))
+    at = F.pmod(F.xxhash64(*keys), F.lit(1 << bits)) + 1
+    bucket, bit = F.call_function("bitmap_bucket_number", at), F.call_function("bitmap_bit_position", at)
+    maps = wanted.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(
+        F.call_function("bitmap_construct_agg", F.col("_bit")).alias("_bits")
+    )
+    marked = rows.withColumns({"_own": bucket, "_at": bit.cast("int")}).join(F.broadcast(maps), F.col("_own") == F.col("_bucket"))
+    byte = F.conv(F.hex(F.substr("_bits", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, (F.col("_at") % 8).cast("int")).bitwiseAND(1) == 1
+    return marked.where(is_set).select(*rows.columns)
+
+
 def interarrival(
     df: DataFrame,
     keys: Sequence[str],

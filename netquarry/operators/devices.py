@@ -317,18 +317,33 @@ def certificate_matches(names: DataFrame, certificates: DataFrame) -> DataFrame:
     return names.join(pairs, "name").join(certs, "cn").select(*NODE, "cn", "cert_sensor").distinct()
 
 
-def attach_certificates(node_table: DataFrame, matches: DataFrame) -> DataFrame:
-    """Certificate names that match a node join those its own TLS servers showed."""
-    found = sorted_values(matches, NODE, "cn", "_matched")
-    both = F.array_sort(F.array_union(_list(node_table, "cert_subjects"), F.coalesce("_matched", F.array().cast("array<string>"))))
-    return node_table.join(found, NODE, "left").withColumn("cert_subjects", both).drop("_matched")
+def certificate_rows(log: DataFrame) -> DataFrame:
+    """(cert_sensor, cn, issuer) of a certificate log, a row per value: names and
+    organisations (``O=...``) of issuers stay with the certificate they signed."""
+    org = text.organisation("certificate_issuer")
+    issuers = F.filter(F.array(F.trim(text.common_name("certificate_issuer")), F.concat(F.lit("O="), F.trim(org))), lambda x: text.meaningful(x).isNotNull())
+    return log.select(
+        F.col("sensor_id").alias("cert_sensor"), text.common_name("certificate_subject").alias("cn"), F.explode_outer(issuers).alias("issuer")
+    ).where(text.meaningful("cn").isNotNull()).distinct()
 
 
 def certificate_issuers(matches: DataFrame, certificates: DataFrame) -> DataFrame:
     """(node, issuer) of the certificates that match a node; ``certificates``
     has cert_sensor, cn and issuer, so issuers come with their own certificate."""
-    listed = certificates.select("cert_sensor", F.lower(F.trim("cn")).alias("cn"), "issuer").distinct()
-    return matches.join(listed, ["cert_sensor", "cn"]).select(*NODE, "issuer").distinct()
+    listed = certificates.where("issuer IS NOT NULL").select("cert_sensor", F.lower(F.trim("cn")).alias("cn"), "issuer").distinct()
+    same = matches["cert_sensor"].eqNullSafe(listed["cert_sensor"]) & (matches["cn"] == listed["cn"])
+    return matches.join(listed, same).select(*NODE, "issuer").distinct()
+
+
+def attach_certificates(node_table: DataFrame, matches: DataFrame, issuers: DataFrame | None = None) -> DataFrame:
+    """Names and issuers of certificates that match a node join those its own TLS servers showed."""
+    out = node_table
+    for found, value, column in ((matches, "cn", "cert_subjects"), (issuers, "issuer", "cert_issuers")):
+        if found is not None:
+            lists = sorted_values(found, NODE, value, "_matched")
+            both = F.array_sort(F.array_union(_list(out, column), F.coalesce("_matched", F.array().cast("array<string>"))))
+            out = out.join(lists, NODE, "left").withColumn(column, both).drop("_matched")
+    return out
 
 
 # --- device type ------------------------------------------------------------

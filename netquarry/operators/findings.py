@@ -82,7 +82,7 @@ DETECTIONS: dict[str, Detection] = {
     d.name: d
     for d in (
         Detection("beaconing", C2, "c2_beaconing", ("connections",),
-                  lambda b, c, k: c2.beaconing(b["connections"], c.c2, k),
+                  lambda b, c, k: c2.beaconing(b["connections"], c.c2, k, b.get("stored_flows")),
                   lambda: _strings("source_ip", _endpoint()), lambda: _strings("source_ip"),
                   _fixed("T1071", "T1571"),
                   ("events", "mean_interval", "std_dev", "regularity", "variation")),
@@ -203,10 +203,13 @@ def prepare(
     the detections over it scan a small table instead of each repeating the
     wide shuffle.
     """
+    stored = keep is not None
     keep = keep or (lambda df, name: df)
     out = dict(bundle)
     if "connections" in out and "flows" not in out:
         out["flows"] = keep(flow_summary(out["connections"], extra_keys), "flows")
+        if stored:  # cheap to read again, so it can prefilter the raw rows
+            out["stored_flows"] = out["flows"]
     if "flows" in out:
         out.setdefault("pairs", exfil.outbound_pairs(out["flows"], extra_keys))
         out.setdefault("internal_pairs", lateral.internal_pairs(out["flows"], extra_keys))

@@ -76,7 +76,7 @@ def run_hunt(
     if open_cases is not None and hunted_at is None:
         raise ValueError("matching open cases needs hunted_at")
     keep = stage if staged else (lambda df, name: df)
-    ready = findings.prepare(dict(bundle), keys, keep)
+    ready = findings.prepare(dict(bundle), keys, stage if staged else None)
     found = keep(findings.run_detections(ready, cfg, keys, keep=keep), "findings")
     found = correlate.dedup_findings(found, keys, cfg.agent_priority)
     outputs = rollup.agent_rollup(found, keys)

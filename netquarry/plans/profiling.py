@@ -62,8 +62,9 @@ def profile_map(
         names = names.unionByName(devices.node_names_from_ip(devices.profile_names(results), net_map.nodes)).distinct()
     nodes = devices.attach_names(nodes, names)
     if "x509" in logs:
-        certificates = profiles.profile_values(logs["x509"], "x509").select(F.col("sensor_id").alias("cert_sensor"), F.col("value").alias("cn"))
-        nodes = devices.attach_certificates(nodes, devices.certificate_matches(names, certificates))
+        certificates = keep(devices.certificate_rows(logs["x509"]), "certificates")
+        matches = keep(devices.certificate_matches(names, certificates.select("cert_sensor", "cn").distinct()), "certificate-matches")
+        nodes = devices.attach_certificates(nodes, matches, devices.certificate_issuers(matches, certificates))
     if "ntlm" in logs:
         rows = profiles.ntlm_rows(logs["ntlm"]).withColumnRenamed("ts", "timestamp")
         nodes = devices.attach_domain(nodes, netmap.ntlm_domains(rows))

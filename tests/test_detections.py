@@ -224,3 +224,27 @@ def test_configs_are_parameters(frame):
     assert impact.ddos_participation(frame([conn()] * 5, CONN), ImpactConfig(ddos_total=5)).count() == 1
     assert recon.port_scans(frame([conn()], CONN), ReconConfig(scan_ports=1)).count() == 1
     assert c2.suspicious_ports(frame([conn(port=7)], CONN), C2Config(suspicious_ports=(7,), suspicious_min_count=1)).count() == 1
+
+
+def test_beacons_with_a_stored_summary_shuffle_candidates_only(spark, frame):
+    """Many pairs that connect a few times never reach the shuffle by pair; the result is the same."""
+    from netquarry.operators.flows import flow_summary
+    from netquarry.session import stage
+
+    few = spark.range(40_000).select(
+        F.concat(F.lit("10.0.0."), F.col("id") % 200).alias("source_ip"), F.concat(F.lit("203.0."), F.col("id") % 20_000).alias("destination_ip"),
+        F.lit(443).alias("destination_port"), F.timestamp_seconds(F.col("id")).alias("timestamp"))
+    regular = spark.range(60).select(
+        F.lit("10.9.9.9").alias("source_ip"), F.lit("203.9").alias("destination_ip"), F.lit(8443).alias("destination_port"),
+        F.timestamp_seconds(F.floor(F.col("id") / 2) * 60).alias("timestamp"))
+    log = stage(few.unionByName(regular), "beacon-log")
+    flows = stage(flow_summary(log), "beacon-flows")
+    cfg = C2Config(min_connections=10)
+    plain, pruned = c2.beaconing(log, cfg), c2.beaconing(log, cfg, flows=flows)
+    assert sorted(map(tuple, pruned.collect())) == sorted(map(tuple, plain.collect())) and pruned.count() == 1
+    from netquarry.operators.common import possible_rows
+
+    kept = possible_rows(log, c2.beacon_candidates(flows, cfg), ["source_ip", "destination_ip", "destination_port"])
+    assert 60 <= kept.count() < 4_000 and kept.columns == log.columns
+    nothing = possible_rows(log, flows.limit(0).select("source_ip"), ["source_ip"])
+    assert nothing.count() == 0

@@ -8,6 +8,7 @@ from netquarry import fixed_values as fv
 from netquarry.operators import devices, gateways, graph, netmap
 from netquarry.plans import profiling
 from netquarry.session import stage
+from workload import protocols
 from workload import views as v
 from workload.views import Registry, out
 
@@ -530,6 +531,31 @@ def _(spark, sf):
     return devices.certificate_matches(names, certs).select("sensor_id", "ip", "cn", "cert_sensor")
 
 
+def _listed(expr):
+    return f"array_to_string(list_sort(list_distinct({expr})), ',')"
+
+
+@R.add("certificates_of_nodes", f"""
+WITH {protocols.V_LOG}, n AS (SELECT DISTINCT 'sensor' || (s_suppkey % 3) AS sensor_id, '0' AS vlan, '10.0.0.' || (s_suppkey % 50) AS ip, 'host' || (s_suppkey % 80) || CASE WHEN s_suppkey % 3 = 0 THEN '.corp.local' ELSE '' END AS name FROM supplier),
+ c AS (SELECT DISTINCT sensor_id AS cert_sensor, certificate_subject AS cn, 'ca' || (certificate_issuer % 4) AS ca, 'O=Org' || (certificate_issuer % 3) AS org FROM v_log WHERE certificate_subject IS NOT NULL),
+ m AS (SELECT n.sensor_id, n.vlan, n.ip, c.* FROM n JOIN c ON contains(n.name, c.cn) OR n.name = string_split(c.cn, '.')[1]),
+ g AS (SELECT sensor_id, vlan, ip, list(cn) AS cns, list_concat(list(ca), list(org)) AS iss FROM m GROUP BY ALL)
+SELECT n.sensor_id, n.ip, {_listed("list_concat(['shown.example'], coalesce(cns, []))")} AS cert_subjects, {_listed("list_concat(['ca1'], coalesce(iss, []))")} AS cert_issuers
+FROM (SELECT DISTINCT sensor_id, vlan, ip FROM n) n LEFT JOIN g USING (sensor_id, vlan, ip)""")
+def _(spark, sf):
+    """Certificates and their issuers beside those that a node's own servers showed."""
+    k = F.col("s_suppkey")
+    names = v.table(spark, sf, "supplier").select(
+        F.concat(F.lit("sensor"), k % 3).alias("sensor_id"), F.lit("0").alias("vlan"), F.concat(F.lit("10.0.0."), k % 50).alias("ip"),
+        F.concat(F.lit("HOST"), k % 80, F.when(k % 3 == 0, ".corp.local").otherwise("")).alias("name"))
+    nodes = names.select("sensor_id", "vlan", "ip").distinct().withColumns(
+        {"cert_subjects": F.array(F.lit("shown.example")), "cert_issuers": F.array(F.lit("ca1"))})
+    certificates = devices.certificate_rows(protocols.log(spark, sf))
+    matches = devices.certificate_matches(names, certificates.select("cert_sensor", "cn").distinct())
+    got = devices.attach_certificates(nodes, matches, devices.certificate_issuers(matches, certificates))
+    return out(got.withColumns({c: F.array_join(c, ",") for c in ("cert_subjects", "cert_issuers")}), "sensor_id", "ip", "cert_subjects", "cert_issuers")
+
+
 def profile_logs(spark, sf):
     from workload.protocols import logs
 
