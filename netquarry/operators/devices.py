@@ -320,8 +320,8 @@ def certificate_matches(names: DataFrame, certificates: DataFrame) -> DataFrame:
 def certificate_rows(log: DataFrame) -> DataFrame:
     """(cert_sensor, cn, issuer) of a certificate log, a row per value: names and
     organisations (``O=...``) of issuers stay with the certificate they signed."""
-    org = text.organisation("certificate_issuer")
-    issuers = F.filter(F.array(F.trim(text.common_name("certificate_issuer")), F.concat(F.lit("O="), F.trim(org))), lambda x: text.meaningful(x).isNotNull())
+    name, org = (text.meaningful(F.trim(of("certificate_issuer"))) for of in (text.common_name, text.organisation))
+    issuers = F.filter(F.array(name, F.concat(F.lit("O="), org)), lambda x: x.isNotNull())
     return log.select(
         F.col("sensor_id").alias("cert_sensor"), text.common_name("certificate_subject").alias("cn"), F.explode_outer(issuers).alias("issuer")
     ).where(text.meaningful("cn").isNotNull()).distinct()
@@ -608,7 +608,7 @@ def single_device(results: Mapping[str, DataFrame], ip: str) -> dict[str, DataFr
     """Profile rows of one address, under either end of two-ended profiles."""
     out = {}
     for name, df in results.items():
-        ends = [c for c in ("ip", "client_ip", "server_ip", "source_ip", "dest_ip") if c in df.columns]
+        ends = [c for c in ("ip", "client_ip", "server_ip", "source_ip", "dest_ip", "gateway_ip") if c in df.columns]
         if ends:
             test = F.lit(False)
             for c in ends:

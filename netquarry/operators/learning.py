@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.operators.common import latest
@@ -141,6 +141,31 @@ def recommend_strategy(queries: DataFrame, books: DataFrame) -> DataFrame:
     )
 
 
+PLAYBOOK = "playbook string, total_count bigint, success_count bigint, combinations bigint, recommended string"
+
+
+def export_playbooks(books: DataFrame, folder: str) -> None:
+    """Playbooks as JSON lines, nulls written out, so that another installation can load them."""
+    books.select(*[part.split()[0] for part in PLAYBOOK.split(", ")]).write.option("ignoreNullFields", "false").mode("errorifexists").json(folder)
+
+
+def import_playbooks(spark: SparkSession, folder: str) -> DataFrame:
+    """Playbooks that ``export_playbooks`` wrote; broken lines and those without a key are left out."""
+    rows = spark.read.schema(PLAYBOOK + ", _broken string").option("columnNameOfCorruptRecord", "_broken").json(folder)
+    return rows.where(F.col("_broken").isNull() & F.col("playbook").isNotNull()).drop("_broken")
+
+
+def merge_playbooks(own: DataFrame, imported: DataFrame) -> DataFrame:
+    """Own and imported playbooks by key: attempts and successes add up; the
+    recommended combination is the own one, where there is any success."""
+    both = own.withColumn("_own", F.lit(0)).unionByName(imported.withColumn("_own", F.lit(1)))
+    won = F.when(F.col("recommended").isNotNull(), F.struct("_own", "recommended"))
+    return both.groupBy("playbook").agg(
+        F.sum("total_count").alias("total_count"), F.sum("success_count").alias("success_count"),
+        F.max("combinations").alias("combinations"), F.min(won).getField("recommended").alias("recommended"),
+    )
+
+
 def arm_statistics(rewards: DataFrame) -> DataFrame:
     """Pulls, successes, mean reward and posterior mean per arm (arm, reward)."""
     out = rewards.groupBy("arm").agg(

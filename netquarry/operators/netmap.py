@@ -491,3 +491,23 @@ def node_baselines(node_table: DataFrame) -> DataFrame:
         F.sum("total_connections").alias("total_connections"),
         F.sum("bytes_received").alias("bytes_in"), F.sum("bytes_sent").alias("bytes_out"),
     )
+
+
+# Device types worth an attacker's effort, and members of the infrastructure that all others need.
+HIGH_VALUE_TYPES = ("server", "domain_controller")
+CRITICAL_KINDS = ("gateway", "dns_server", "domain_controller")
+
+
+def asset_context(node_table: DataFrame) -> DataFrame:
+    """(weight, ip) of the assets that selection and hypotheses weigh:
+    ``high_value`` by device type, ``critical`` by part in the infrastructure.
+    An address may be both; it counts once for each, whatever its sensors."""
+    kind = F.col("device_type") if "device_type" in node_table.columns else F.lit("")
+    high = node_table.where(kind.isin(*HIGH_VALUE_TYPES)).select(F.lit("high_value").alias("weight"), "ip")
+    critical = map_context(node_table).where(F.col("kind").isin(*CRITICAL_KINDS)).select(F.lit("critical").alias("weight"), "ip")
+    return high.unionByName(critical).distinct()
+
+
+def asset_counts(assets: DataFrame) -> DataFrame:
+    """One row with the numbers that family selection asks for."""
+    return assets.agg(*[F.count_if(F.col("weight") == w).alias(f"{w}_assets") for w in ("critical", "high_value")])

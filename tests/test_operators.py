@@ -542,3 +542,35 @@ def test_family_order_breaks_ties_and_orders_chains(frame):
     assert {r.chain_multiplier for r in correlate.kill_chain(out).collect()} == {1.5}
     first = out.withColumn("priority", F.when(F.col("agent") == "lateral_movement_hunter", 0.1).otherwise(0.9))
     assert {r.chain_multiplier for r in correlate.kill_chain(first).collect()} == {1.0}
+
+
+def test_playbooks_survive_the_exchange(spark, frame, tmp_path):
+    ddl = "playbook string, total_count bigint, success_count bigint, combinations bigint, recommended string"
+    own = frame([("T1_T2", 3, 1, 1, "a,b"), ("T3", 2, 0, 0, None)], ddl)
+    theirs = frame([("T1_T2", 5, 5, 2, "c"), ("T3", 1, 1, 1, "d"), ("T9", 1, 0, 0, None)], ddl)
+    learning.export_playbooks(theirs, str(tmp_path / "books"))
+    (tmp_path / "books" / "more.json").write_text('{"playbook": broken\n{"total_count": 7}\n')
+    loaded = learning.import_playbooks(spark, str(tmp_path / "books"))
+    assert sorted(map(tuple, loaded.collect())) == sorted(map(tuple, theirs.collect()))
+    got = {r.playbook: tuple(r)[1:] for r in learning.merge_playbooks(own, loaded).collect()}
+    assert got == {"T1_T2": (8, 6, 2, "a,b"), "T3": (3, 1, 1, "d"), "T9": (1, 0, 0, None)}
+
+
+def test_asset_weights(frame):
+    rows = [("10.0.0.1", ["dns_server"], "server", []), ("10.0.0.2", [], "domain_controller", []), ("10.0.0.3", [], "workstation", ["10.0.0.0/24"]), ("10.0.0.4", [], "", []), ("10.0.0.1", [], "server", [])]
+    nodes = frame(rows, "ip string, roles array<string>, device_type string, is_gateway_for array<string>")
+    assets = netmap.asset_context(nodes)
+    assert {tuple(r) for r in assets.collect()} == {("high_value", "10.0.0.1"), ("critical", "10.0.0.1"), ("high_value", "10.0.0.2"), ("critical", "10.0.0.2"), ("critical", "10.0.0.3")}
+    assert tuple(netmap.asset_counts(assets).first()) == (3, 2)
+    assert netmap.asset_context(nodes.drop("device_type", "is_gateway_for")).count() == 1
+
+
+def test_issuers_stay_with_their_certificate(frame):
+    log = frame([("s1", "CN=Web1.corp,OU=x", "CN=ca1,O=Org One"), ("s1", "CN=other.net", "CN=ca2"), ("s2", "CN=Web1.corp", "O=-"), ("s1", None, "CN=ca3")],
+                "sensor_id string, certificate_subject string, certificate_issuer string")
+    rows = devices.certificate_rows(log)
+    names = frame([("s1", "0", "10.0.0.1", "WEB1"), ("s1", "0", "10.0.0.2", "nothing")], "sensor_id string, vlan string, ip string, name string")
+    matches = devices.certificate_matches(names, rows.select("cert_sensor", "cn").distinct())
+    nodes = names.select("sensor_id", "vlan", "ip").withColumn("cert_issuers", F.array(F.lit("ca0"))).withColumn("cert_subjects", F.array().cast("array<string>"))
+    got = {r.ip: (r.cert_subjects, r.cert_issuers) for r in devices.attach_certificates(nodes, matches, devices.certificate_issuers(matches, rows)).collect()}
+    assert got == {"10.0.0.1": (["web1.corp"], ["O=Org One", "ca0", "ca1"]), "10.0.0.2": ([], ["ca0"])}

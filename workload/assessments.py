@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netquarry.operators import cases as cs
 from netquarry.operators import context as cx
-from netquarry.operators import correlate, intel, learning, reports, rollup, selection, sigma, vectors
+from netquarry.operators import correlate, intel, learning, reports, rollup, selection, sigma, vector_index, vectors
 from netquarry.operators.common import first_listed_match
 from netquarry.session import stage
 from workload import views as v
@@ -548,6 +548,19 @@ def _(spark, sf):
     return out(learning.recommend_strategy(queries, books).select("playbook", "agents").distinct())
 
 
+@R.add("playbook_exchange", f"""
+WITH {_BOOK.strip()}, x AS (SELECT * FROM bk WHERE playbook LIKE 'T1%'),
+ y AS (SELECT playbook, total_count, success_count, combinations, 'their,own' AS recommended FROM bk WHERE playbook LIKE '%T2')
+SELECT playbook, CAST(sum(total_count) AS BIGINT) AS total_count, CAST(sum(success_count) AS BIGINT) AS success_count, max(combinations) AS combinations,
+  coalesce(max(recommended) FILTER (recommended <> 'their,own'), max(recommended)) AS recommended FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY 1""")
+def _(spark, sf):
+    """Playbooks of one installation written out, loaded by another and merged with its own."""
+    from netquarry.session import fresh_path
+    folder, books = fresh_path(spark, "playbooks"), learning.playbooks(_books(spark, sf))
+    learning.export_playbooks(books.where("playbook LIKE '%T2'").withColumn("recommended", F.lit("their,own")), folder)
+    return out(learning.merge_playbooks(books.where("playbook LIKE 'T1%'"), learning.import_playbooks(spark, folder)))
+
+
 @R.add("strategy_arm_statistics", """
 SELECT event_type AS arm, count(*) AS pulls, count(*) FILTER (value / 100 > 0.5) AS successes, round(avg(value / 100), 6) AS mean_reward,
   round((count(*) FILTER (value / 100 > 0.5) + 1) / (count(*) + 2), 6) AS posterior_mean FROM events GROUP BY 1""")
@@ -686,6 +699,22 @@ def _(spark, sf):
     return out(vectors.top_k(e, q, 5, {"label": 2}), "doc_id", "similarity")
 
 
+@R.add("vector_index_top_k", """
+WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id IN (0, 7, 123))
+SELECT query, vec_id AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS similarity FROM embeddings, q
+QUALIFY row_number() OVER (PARTITION BY query ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id) <= 10""")
+def _(spark, sf):
+    """Searches through an index over all vectors; its pruning leaves nothing out."""
+    e = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    index = vector_index.build(e, lists=16, sample=5_000)
+    asked = {r["doc_id"]: r["embedding"] for r in e.where("doc_id IN (0, 7, 123)").collect()}
+    parts = [vector_index.search(index, q, 10).rows.select(F.lit(i).cast("bigint").alias("query"), "doc_id", "similarity") for i, q in sorted(asked.items())]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return out(both)
+
+
 @R.add("vector_context_block", """
 WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 5),
  s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS c, vec_id % 3 AS part FROM embeddings, q),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from netquarry.operators import devices, gateways, netmap, profiles
@@ -121,13 +124,36 @@ def _(spark, sf):
     return devices.merge_enrichment(d, fresh, ["device_type", "os_info"]).select("ip", "device_type", "os_info")
 
 
-@R.add("profile_single_device", f"""
-WITH {pr.V_LOG}, one AS (SELECT DISTINCT orig_h, resp_h FROM v_log WHERE orig_h = '10.0.1.2' OR resp_h = '10.0.1.2')
-SELECT 'ssh' AS profile, count(*) AS rows FROM one UNION ALL SELECT 'client', count(*) FROM (SELECT 1 FROM v_log WHERE orig_h = '10.0.1.2' HAVING count(*) >= 3)""")
+DEVICE = "10.0.1.2"
+ENDS = {"ssh": ("client_ip", "server_ip"), "dhcp_gateway": ("gateway_ip",)}
+
+
+def _names_of(profile):
+    """The columns of a profile in the order of its SQL."""
+    keys, picks = pr.SQL[profile][:2]
+    parts = [p.split(" AS ")[-1] for p in keys.split(", ")] + re.findall(r" AS (\w+)(?=, |$)", picks)
+    return [p for p in parts if re.fullmatch(r"\w+", p)]
+
+
+def _device_sql(profile):
+    ends = " OR ".join(f"{c} = '{DEVICE}'" for c in ENDS.get(profile, ("ip",)))
+    row = ", ".join(f"coalesce({c}::VARCHAR, '~')" for c in _names_of(profile))
+    return f"SELECT '{profile}' AS profile, concat_ws('|', {row}) AS row FROM ({pr.R.sql['profile_' + profile]}) WHERE {ends}"
+
+
+OF_DEVICES = [p for p in profiles.PROFILES if "sensor_id" not in profiles.PROFILES[p].key or p == "dhcp_extended"]
+
+
+@R.add("profile_single_device", " UNION ALL ".join(_device_sql(p) for p in OF_DEVICES))
 def _(spark, sf):
-    got = devices.single_device(profiles.run_profiles(pr.logs(spark, sf), ("ssh", "client")), "10.0.1.2")
-    a, b = [got[n].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("profile"), "rows") for n in ("ssh", "client")]
-    return a.unionByName(b)
+    """Every profile of one address, with all its columns."""
+    got = devices.single_device(profiles.run_profiles(pr.logs(spark, sf)), DEVICE)
+    parts = []
+    for name in OF_DEVICES:
+        rows = out(got[name])
+        row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in _names_of(name)])
+        parts.append(rows.select(F.lit(name).alias("profile"), row.alias("row")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @R.add("kerberos_and_ntlm_servers", f"""

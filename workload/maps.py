@@ -317,6 +317,25 @@ def _(spark, sf):
     return netmap.map_context(_map(spark, sf)[0])
 
 
+_LAST = "CAST(string_split(ip, '.')[4] AS INT)"
+
+
+@R.add("map_asset_context", f"""
+WITH {_NODES.strip()}, t AS (SELECT *, CASE {_LAST} % 5 WHEN 0 THEN 'server' WHEN 1 THEN 'domain_controller' WHEN 2 THEN 'workstation' ELSE '' END AS ty, {_LAST} % 7 = 3 AS gw FROM nodes),
+ m AS (SELECT 'high_value' AS weight, ip, ty AS why FROM t WHERE ty IN ('server', 'domain_controller')
+  UNION SELECT 'critical', ip, '' FROM t WHERE gw OR list_contains(roles, 'dns_server') OR ty = 'domain_controller')
+SELECT DISTINCT weight, ip, (SELECT count(DISTINCT ip) FROM m WHERE weight = 'critical') AS critical_assets, (SELECT count(DISTINCT ip) FROM m WHERE weight = 'high_value') AS high_value_assets FROM m""", ("v_conn",))
+def _(spark, sf):
+    """High-value and critical assets of a map with device types, gateways and roles, and their numbers."""
+    last = F.element_at(F.split("ip", "\\."), 4).cast("int")
+    nodes = _map(spark, sf)[0].withColumns({
+        "device_type": F.when(last % 5 == 0, "server").when(last % 5 == 1, "domain_controller").when(last % 5 == 2, "workstation").otherwise(""),
+        "is_gateway_for": F.when(last % 7 == 3, F.array(F.lit("10.0.0.0/24"))).otherwise(F.array().cast("array<string>"))})
+    assets = netmap.asset_context(nodes)
+    counts = netmap.asset_counts(assets)
+    return out(assets.withColumns({c: counts.select(c).scalar() for c in counts.columns}), "weight", "ip", "critical_assets", "high_value_assets")
+
+
 @R.add("map_node_baselines", f"""
 WITH {_NODES.strip()} SELECT ip, CAST(sum(total_connections) AS BIGINT) AS total_connections, CAST(sum(bytes_received) AS BIGINT) AS bytes_in,
   CAST(sum(bytes_sent) AS BIGINT) AS bytes_out FROM nodes GROUP BY 1""", ("v_conn",))
