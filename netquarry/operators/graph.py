@@ -10,6 +10,7 @@ from netquarry.operators.common import top_rows
 from netquarry.operators.devices import type_label, type_tier
 
 INTERNET = "__internet__"
+REST = "__rest__"
 
 
 def _graphable(node_table: DataFrame) -> DataFrame:
@@ -19,19 +20,16 @@ def _graphable(node_table: DataFrame) -> DataFrame:
 
 
 def view_nodes(node_table: DataFrame, max_nodes: int = 500) -> DataFrame:
-    """The busiest nodes, one per address: the variant with most connections,
-    with all vlans and sensors it was seen on."""
-    top = _graphable(node_table).orderBy(F.desc("total_connections"), F.asc("node_id")).limit(max_nodes)
-    fields = [c for c in ("node_id", "sensor_id", "vlan", "is_internal", "device_type", "service_count") if c in top.columns]
+    """The busiest addresses, one node each: the variant with most connections,
+    with all vlans and sensors the address was seen on anywhere in the map."""
+    nodes = _graphable(node_table)
+    fields = [c for c in ("node_id", "sensor_id", "vlan", "is_internal", "device_type", "service_count") if c in nodes.columns]
     best = F.max_by(F.struct(*fields), F.struct("total_connections", "node_id"))
-    return (
-        top.groupBy("ip")
-        .agg(
-            best.alias("_b"), F.max("total_connections").alias("total_connections"),
-            F.array_sort(F.collect_set("vlan")).alias("vlans"), F.array_sort(F.collect_set("sensor_id")).alias("sensors"),
-        )
-        .select("ip", "_b.*", "total_connections", "vlans", "sensors")
-    )
+    merged = nodes.groupBy("ip").agg(
+        best.alias("_b"), F.max("total_connections").alias("total_connections"),
+        F.array_sort(F.collect_set("vlan")).alias("vlans"), F.array_sort(F.collect_set("sensor_id")).alias("sensors"),
+    ).select("ip", "_b.*", "total_connections", "vlans", "sensors")
+    return merged.orderBy(F.desc("total_connections"), F.asc("ip")).limit(max_nodes)
 
 
 def _edges_of(edge_table: DataFrame, view: DataFrame, own: str) -> DataFrame:
@@ -105,19 +103,50 @@ def internet_node(edge_table: DataFrame, view: DataFrame) -> DataFrame:
     ).select(F.lit(INTERNET).alias("node_id"), "unique_ips", "total_connections")
 
 
-def view_edges(edge_table: DataFrame, view: DataFrame, per_source: int = 15) -> DataFrame:
-    """Undirected edges between view nodes from each one's busiest targets;
-    of both directions the one with more connections stays, then the lesser
-    source."""
+def _busiest(edge_table: DataFrame, view: DataFrame, per_source: int) -> DataFrame:
+    """The edges a view draws: each node's busiest targets, as far as the view has them."""
     busiest = top_rows(
         _edges_of(edge_table, view, "src").select("node_id", "src", "dst", "n"), ["node_id"], [F.desc("n"), F.asc("dst")], per_source
     )
     targets = view.select(F.col("ip").alias("dst"), F.col("node_id").alias("to_id"))
-    rows = busiest.join(targets, "dst").where(F.col("node_id") != F.col("to_id"))
+    return busiest.join(targets, "dst").where(F.col("node_id") != F.col("to_id"))
+
+
+def view_edges(edge_table: DataFrame, view: DataFrame, per_source: int = 15) -> DataFrame:
+    """Undirected edges between view nodes from each one's busiest targets;
+    of both directions the one with more connections stays, then the lesser
+    source."""
+    rows = _busiest(edge_table, view, per_source)
     a, b = F.least("node_id", "to_id").alias("a"), F.greatest("node_id", "to_id").alias("b")
     kept = rows.groupBy(a, b).agg(F.min(F.struct(F.negative("n").alias("n"), F.col("node_id").alias("from_id"), "to_id")).alias("_e"))
     return kept.select("_e.from_id", "_e.to_id", F.negative("_e.n").alias("value"))
 
 
+def edge_totals(edge_table: DataFrame, view: DataFrame, per_source: int = 15) -> DataFrame:
+    """Everything the map knows beside what a view draws: per source and side
+    (inside, outside) all its edges and connections, those drawn and the rest.
+
+    Sources that the view leaves out come as one node, ``REST``, so the sums
+    over all rows are the map's own. Edges are summed by source address and
+    side first; only these sums meet the view, and nothing is ranked but the
+    edges of its nodes.
+    """
+    outside = F.when(net.is_internal("dst"), "inside").otherwise("outside")
+    sums = edge_table.groupBy("sensor_id", "vlan", "src", outside.alias("side")).agg(
+        F.count(F.lit(1)).alias("edges"), F.sum("n").alias("connections")
+    )
+    ids = view.select("sensor_id", "vlan", F.col("ip").alias("src"), "node_id")
+    whole = sums.join(ids, ["sensor_id", "vlan", "src"], "left").groupBy(F.coalesce("node_id", F.lit(REST)).alias("node_id"), "side").agg(
+        F.sum("edges").alias("edges"), F.sum("connections").alias("connections")
+    )
+    drawn = _busiest(edge_table, view, per_source).groupBy("node_id", outside.alias("side")).agg(
+        F.count(F.lit(1)).alias("drawn_edges"), F.sum("n").alias("drawn_connections")
+    )
+    both = whole.join(drawn, ["node_id", "side"], "left").na.fill(0, ["drawn_edges", "drawn_connections"])
+    return both.withColumns({
+        "rest_edges": F.col("edges") - F.col("drawn_edges"), "rest_connections": F.col("connections") - F.col("drawn_connections"),
+    })
+
+
 def vlan_counts(node_table: DataFrame) -> DataFrame:
     return _graphable(node_table).groupBy("vlan").agg(F.count(F.lit(1)).alias("nodes"))

@@ -574,3 +574,15 @@ def test_issuers_stay_with_their_certificate(frame):
     nodes = names.select("sensor_id", "vlan", "ip").withColumn("cert_issuers", F.array(F.lit("ca0"))).withColumn("cert_subjects", F.array().cast("array<string>"))
     got = {r.ip: (r.cert_subjects, r.cert_issuers) for r in devices.attach_certificates(nodes, matches, devices.certificate_issuers(matches, rows)).collect()}
     assert got == {"10.0.0.1": (["web1.corp"], ["O=Org One", "ca0", "ca1"]), "10.0.0.2": ([], ["ca0"])}
+
+
+def test_graph_totals_cover_the_map(frame):
+    from netquarry.operators import graph
+    edges = frame([("s1", "0", "10.0.0.1", "10.0.0.2", 9), ("s1", "0", "10.0.0.1", "10.0.0.3", 5), ("s1", "0", "10.0.0.1", "8.8.8.8", 4),
+                   ("s2", "7", "10.0.0.1", "10.0.0.2", 2), ("s1", "0", "10.0.0.3", "10.0.0.1", 1)], "sensor_id string, vlan string, src string, dst string, n bigint")
+    nodes = frame([("s1:0:10.0.0.1", "s1", "0", "10.0.0.1", True, 18), ("s2:7:10.0.0.1", "s2", "7", "10.0.0.1", True, 2), ("s1:0:10.0.0.2", "s1", "0", "10.0.0.2", True, 11),
+                   ("s1:0:10.0.0.3", "s1", "0", "10.0.0.3", True, 6)], "node_id string, sensor_id string, vlan string, ip string, is_internal boolean, total_connections bigint")
+    view = graph.view_nodes(nodes, 2)
+    assert {(r.ip, tuple(r.vlans), tuple(r.sensors)) for r in view.collect()} == {("10.0.0.1", ("0", "7"), ("s1", "s2")), ("10.0.0.2", ("0",), ("s1",))}
+    got = {(r.node_id, r.side): (r.connections, r.drawn_connections, r.rest_connections) for r in graph.edge_totals(edges, view).collect()}
+    assert got == {("s1:0:10.0.0.1", "inside"): (14, 9, 5), ("s1:0:10.0.0.1", "outside"): (4, 0, 4), (graph.REST, "inside"): (3, 0, 3)}

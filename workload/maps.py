@@ -430,9 +430,9 @@ def _(spark, sf):
 # --- graph view -----------------------------------------------------------------
 
 _VIEW = _NODES + """,
- top AS (SELECT * FROM nodes WHERE is_internal ORDER BY total_connections DESC, node_id LIMIT 120),
+ top AS (SELECT * FROM nodes WHERE is_internal),
  vw AS (SELECT ip, arg_max({'id': node_id, 's': sensor_id, 'v': vlan}, {'t': total_connections, 'id': node_id}) AS b, max(total_connections) AS total_connections,
-   list_sort(list(DISTINCT vlan)) AS vlans, list_sort(list(DISTINCT sensor_id)) AS sensors FROM top GROUP BY 1),
+   list_sort(list(DISTINCT vlan)) AS vlans, list_sort(list(DISTINCT sensor_id)) AS sensors FROM top GROUP BY 1 ORDER BY max(total_connections) DESC, ip LIMIT 120),
  vn AS (SELECT ip, b.id AS node_id, b.s AS sensor_id, b.v AS vlan, total_connections, vlans, sensors FROM vw)"""
 
 
@@ -483,6 +483,22 @@ def _(spark, sf):
     return out(graph.view_edges(e, view).unionByName(graph.internet_edges(e, view)))
 
 
+@R.add("graph_edge_totals", f"""
+WITH {_VIEW.strip()},
+ a AS (SELECT coalesce(vn.node_id, '__rest__') AS node_id, CASE WHEN {_INT.format('e.dst')} THEN 'inside' ELSE 'outside' END AS side, count(*) AS edges, CAST(sum(e.n) AS BIGINT) AS connections
+   FROM e LEFT JOIN vn ON e.src = vn.ip AND e.sensor_id = vn.sensor_id AND e.vlan = vn.vlan GROUP BY 1, 2),
+ s AS (SELECT vn.node_id, e.dst, e.n, row_number() OVER (PARTITION BY vn.node_id ORDER BY e.n DESC, e.dst) AS k FROM e JOIN vn ON e.src = vn.ip AND e.sensor_id = vn.sensor_id AND e.vlan = vn.vlan),
+ d AS (SELECT s.node_id, CASE WHEN {_INT.format('s.dst')} THEN 'inside' ELSE 'outside' END AS side, count(*) AS de, CAST(sum(s.n) AS BIGINT) AS dn FROM s JOIN vn ON s.dst = vn.ip WHERE k <= 15 AND s.node_id <> vn.node_id GROUP BY 1, 2)
+SELECT a.*, coalesce(de, 0) AS drawn_edges, coalesce(dn, 0) AS drawn_connections, edges - coalesce(de, 0) AS rest_edges, connections - coalesce(dn, 0) AS rest_connections,
+  (SELECT CAST(sum(n) AS BIGINT) FROM e) AS map_connections
+FROM a LEFT JOIN d ON a.node_id = d.node_id AND a.side = d.side""", ("v_conn",))
+def _(spark, sf):
+    """What the view draws, what it leaves out, and the map's own total beside their sum."""
+    e, view = _graph(spark, sf)
+    got = graph.edge_totals(e, view)
+    return out(got.withColumn("map_connections", got.agg(F.sum("connections").alias("t")).scalar()))
+
+
 @R.add("graph_vlan_counts", f"WITH {_NODES.strip()} SELECT vlan, count(*) AS nodes FROM nodes WHERE is_internal GROUP BY 1", ("v_conn",))
 def _(spark, sf):
     return out(graph.vlan_counts(_map(spark, sf)[0]))

@@ -7,6 +7,7 @@ stored.
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from netquarry.operators import netmap, normalize
@@ -85,6 +86,38 @@ def _(spark, sf):
     return out(got.groupBy("event_type").agg(F.sum("n").alias("events"), F.countDistinct("cycle").alias("cycles")))
 
 
+class Stopped(Exception):
+    """Ends a stream between a cycle's write and its commit."""
+
+
+@R.add("stream_restarted_cycles", """
+WITH m AS (SELECT max(ts) AS top FROM events WHERE event_id % 3 = 0),
+ k AS (SELECT *, event_id % 3 <> 0 AND ts < (SELECT top FROM m) - INTERVAL 10 DAY AS late FROM events)
+SELECT CASE WHEN late THEN 'late' ELSE event_type END AS kind, count(*) AS events FROM k GROUP BY 1""")
+def _(spark, sf):
+    """A backfill that is stopped after writing each cycle and before committing it, then restarted:
+    every row counts once, late ones in their own table."""
+    e = v.table(spark, sf, "events").withColumn("timestamp", F.col("ts").cast("timestamp"))
+    folder, target, late, marks, checkpoint = (fresh_path(spark, "restart-" + n) for n in ("in", "out", "late", "marks", "checkpoint"))
+    process = jobs.split_late(lambda b, c: b.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), late, marks, 10 * 86400)
+
+    def stop(cycle):
+        raise Stopped(f"cycle {cycle} is written, not committed")
+
+    def start(callback):
+        return jobs.run_cycles(jobs.file_stream(spark, folder, e.schema), process, target, checkpoint, callback=callback)
+
+    for part in (e.where("event_id % 3 = 0"), e.where("event_id % 3 <> 0")):
+        part.write.mode("append").parquet(folder)
+        try:
+            start(stop).awaitTermination()
+        except StreamingQueryException:
+            start(None).awaitTermination()
+    kept = spark.read.parquet(target).groupBy(F.col("event_type").alias("kind")).agg(F.sum("n").alias("events"))
+    gone = spark.read.schema(e.schema).parquet(late).select(F.lit("late").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("events"))
+    return out(kept.unionByName(gone))
+
+
 @R.add("stream_incremental_edges", maps.R.sql["map_edges"])
 def _(spark, sf):
     c = v.connections(spark, sf)
