@@ -75,22 +75,27 @@ def _without_dots(path: Column) -> Column:
     return F.array_join(closed, "/")
 
 
-def resolved(base: Column, target: Column) -> Column:
-    """The absolute address of a reference found at ``base`` (RFC 3986, section 5), for addresses with a host."""
-    root = F.regexp_extract(base, "(?s)^(.*?://[^/?#]*)", 1)
-    path = path_of(base)
-    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "(?s)^(.*/)", 1))
+def resolve(links: DataFrame, base: str, target: str) -> DataFrame:
+    """Turn the references of a column into absolute addresses (RFC 3986, section 5), for bases with a host.
+
+    Every step is a column of its own, so that no pattern is tried twice.
+    """
+    parts = links.withColumns({"_root": F.regexp_extract(base, "(?s)^(.*?://[^/?#]*)", 1), "_path": path_of(F.col(base))})
+    ref = F.col(target)
+    folder = F.when(F.col("_path") == "", "/").otherwise(F.regexp_extract("_path", "(?s)^(.*/)", 1))
     whole = (
-        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), target)
-        .when(F.startswith(target, F.lit("//")), F.concat(F.regexp_extract(base, "(?s)^(.*?:)//", 1), target))
-        .when(F.startswith(target, F.lit("/")), F.concat(root, target))
-        .when(F.startswith(target, F.lit("?")), F.concat(root, path, target))
-        .when(target.rlike("^(#|$)"), F.regexp_extract(base, "(?s)^([^#]*)", 1))
-        .otherwise(F.concat(root, folder, target))
+        F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
+        .when(F.startswith(ref, F.lit("//")), F.concat(F.regexp_extract(base, "(?s)^(.*?:)//", 1), ref))
+        .when(F.startswith(ref, F.lit("/")), F.concat("_root", ref))
+        .when(F.startswith(ref, F.lit("?")), F.concat("_root", "_path", ref))
+        .when(ref.rlike("^(#|$)"), F.regexp_extract(base, "(?s)^([^#]*)", 1))
+        .otherwise(F.concat("_root", folder, ref))
     )
-    tail = F.regexp_extract(whole, "(?s)^.*?://[^/?#]*[^?#]*(.*)$", 1)
-    clean = F.concat(F.regexp_extract(whole, "(?s)^(.*?://[^/?#]*)", 1), _without_dots(path_of(whole)), tail)
-    return F.when(path_of(whole).rlike("/\\.\\.?(/|$)"), clean).otherwise(whole)
+    joined = parts.withColumn("_whole", whole)
+    dotted = joined.withColumn("_dotted", F.regexp_extract("_whole", r"(?s)^.*?://[^/?#]*([^?#]*/\.\.?(?:/[^?#]*)?)(?:[?#].*)?$", 1))
+    head, tail = F.regexp_extract("_whole", "(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract("_whole", "(?s)^.*?://[^?#]*(.*)$", 1)
+    clean = F.when(F.col("_dotted") == "", F.col("_whole")).otherwise(F.concat(head, _without_dots(F.col("_dotted")), tail))
+    return dotted.withColumn(target, F.coalesce(clean, "_whole")).drop("_root", "_path", "_whole", "_dotted")
 
 
 def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -108,9 +113,11 @@ def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     marked = F.filter("tags", lambda t: t.rlike("(?is)\\brel\\s*=\\s*[\"']?canonical\\b|http-equiv\\s*=\\s*[\"']?refresh\\b"))
     bases = F.filter("tags", lambda t: t.rlike("(?is)^<base\\b.*\\bhref\\s*="))
     found = pages.select(F.col(url_col).alias("source"), tags.alias("tags")).select("source", bases.alias("bases"), F.explode(marked).alias("tag"))
-    base = F.when(F.size("bases") > 0, resolved(F.col("source"), address_of(F.get("bases", F.lit(0))))).otherwise(F.col("source"))
-    links = found.select("source", base.alias("base"), address_of(F.col("tag")).alias("target")).where("target <> ''")
-    return links.select("source", resolved(F.col("base"), F.col("target")).alias("target"))
+    links = found.select("source", F.get("bases", F.lit(0)).alias("base_tag"), address_of(F.col("tag")).alias("target")).where("target <> ''")
+    plain = links.where("base_tag IS NULL").select("source", F.col("source").alias("base"), "target")
+    moved = resolve(links.where("base_tag IS NOT NULL").withColumn("base", address_of(F.col("base_tag"))), "source", "base")
+    both = plain.unionByName(moved.select("source", "base", "target"))
+    return resolve(both, "base", "target").select("source", "target")
 
 
 def own_rule(urls: DataFrame, rules: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
