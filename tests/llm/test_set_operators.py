@@ -463,7 +463,7 @@ def passage_recall(frame, rate, n=400, words=60):
             other[i] = f"e{rng.randrange(10**6)}"
         texts += [" ".join(prose(rng, 30, 10**6) + p + prose(rng, 30, 10**6)) for p in (passage, other)]
     rows = passages.text_rows(frame(with_columns(texts), DDL).selectExpr("doc_id AS id", "text", "xxhash64(text) AS text_key"), passages.PassageConfig())
-    pairs = passages.class_pairs(rows.cache(), passages.PassageConfig())
+    pairs = passages.class_pairs(passages.seed_places(rows.cache()))
     ids = rows.select("cls", "id")
     met = pairs.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").where("x div 2 = y div 2").select(F.expr("x div 2")).distinct().count()
     return met / n
@@ -493,10 +493,75 @@ def test_common_passage_gives_no_pairs_of_all(frame):
     passage = prose(rng, 70, 10**6)
     texts = [" ".join(prose(rng, 30, 10**6) + passage + prose(rng, 30, 10**6)) for _ in range(150)]
     rows = passages.text_rows(frame(with_columns(texts), DDL).selectExpr("doc_id AS id", "text", "xxhash64(text) AS text_key"), passages.PassageConfig())
-    assert passages.class_pairs(rows, passages.PassageConfig()).count() <= 3 * len(texts)  # seeds at its ends differ
+    assert passages.class_pairs(passages.seed_places(rows)).count() <= 3 * len(texts)  # seeds at its ends differ
     assert passages.repeated_passages(frame(with_columns(texts), DDL)).count() == 150
 
 
+def edited(rng, words, rate):
+    return [f"e{rng.randrange(10**6)}" if rng.random() < rate else w for w in words]
+
+
+def test_windows_around_a_seed_tell_what_whole_texts_tell():
+    np, cfg, rng = passages.np, passages.PassageConfig(), random.Random(53)
+    words = lambda n: [rng.getrandbits(62) for _ in range(n)]
+    told = 0
+    for _ in range(600):
+        shared = words(rng.choice([6, 12, 40, 50, 60, 75, 110, 300]))
+        at = rng.randrange(len(shared) - 5)
+        other = [w if at <= i < at + 6 or rng.random() > rng.choice([0, 0.1, 0.2]) else rng.getrandbits(62) for i, w in enumerate(shared)]
+        heads = [words(rng.choice([0, 3, 20, 200])) for _ in range(2)]
+        texts = [np.array(h + s + words(rng.choice([0, 3, 20, 200])), np.uint64) for h, s in zip(heads, (shared, other))]
+        places = [len(h) + at for h in heads]
+        low = [max(0, p - cfg.reach) for p in places]
+        near = [t[a : p + 6 + cfg.reach] for t, a, p in zip(texts, low, places)]
+        ends = [e for t, a, n in zip(texts, low, near) for e in (a > 0, a + len(n) < len(t))]
+        got = passages.align_near(*near, (places[0] - low[0], places[1] - low[1]), tuple(ends), cfg)
+        if got is not None:
+            told += 1
+            assert [(a + low[0], b + low[0], c + low[1], d + low[1], e) for a, b, c, d, e in got] == passages.align(*texts, cfg)
+    assert told > 200
+
+
+def test_short_runs_are_known_without_alignment():
+    np, pa, cfg, rng = passages.np, passages.pa, passages.PassageConfig(), random.Random(61)
+    sides, windows = ([], []), []
+    for _ in range(500):
+        run = rng.choice([6, 6, 9, 25, 45, 60, 134])
+        shared = [rng.getrandbits(62) for _ in range(run)]
+        at, stray = rng.randrange(run - 5), rng.random() < 0.3
+        extra = [rng.getrandbits(62) for _ in range(4)]
+        pair = []
+        for side in sides:
+            head, tail = ([rng.getrandbits(62) for _ in range(rng.choice([0, 5, 40, 90]))] for _ in range(2))
+            if stray:
+                tail = extra + tail
+            text, place = head + [rng.getrandbits(62)] + shared + [rng.getrandbits(62)] + tail, len(head) + 1 + at
+            low = max(0, place - cfg.reach)
+            side.append({"place": place, "low": low, "size": len(text), "words": text[low : place + 6 + cfg.reach]})
+            pair.append((np.array(side[-1]["words"], np.uint64), place - low, low > 0, low + len(side[-1]["words"]) < len(text)))
+        windows.append(pair)
+    kind = pa.struct([("place", pa.int32()), ("low", pa.int32()), ("size", pa.int32()), ("words", pa.list_(pa.int64()))])
+    for part in (slice(0, 500), slice(100, 400)):
+        columns = [pa.array(side, kind)[part] for side in sides]
+        alone = passages.only_short_runs(*(passages._side(c) for c in columns), cfg)
+        found = [passages.align_near(x[0], y[0], (x[1], y[1]), (*x[2:], *y[2:]), cfg) for x, y in windows[part]]
+        assert all(f == [] for f, only in zip(found, alone) if only)
+        assert 0.3 < alone.mean() < 0.9
+
+
+def test_reach_changes_no_passage(frame):
+    rng, texts = random.Random(59), []
+    for i in range(120):
+        passage = prose(rng, rng.choice([8, 20, 45, 52, 60, 90, 200]), 10**6)
+        for rate in (0, rng.choice([0, 0.05, 0.15])):
+            texts.append(" ".join(prose(rng, rng.choice([0, 30, 150]), 10**6) + edited(rng, passage, rate) + prose(rng, rng.choice([0, 30, 150]), 10**6)))
+    docs = frame(with_columns(texts), DDL)
+    near, whole = (
+        {tuple(r) for r in passages.digest(passages.repeated_passages(docs, passages.PassageConfig(reach=reach))).collect()} for reach in (64, 10**6)
+    )
+    assert near == whole and len(near) > 60
+
+
 def test_passages_of_odd_rows(frame):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [(None, long, "en", "s", 1), (1, long, None, None, None), (1, long, "en", "s", 1), (2, long + " z", "en", "s", 1), (3, None, "en", "s", 1)]
