@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.config import C2Config
@@ -51,15 +51,33 @@ def beaconing(
     )
 
 
+def dns_summary(dns: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
+    """Queries per (source, domain): the partial that all detections over DNS share.
+
+    It also splits a hot source over its domains, and a hot domain over its
+    sources. ``first_ts`` is null where some query has no time.
+    """
+    return dns.groupBy(*extra_keys, "source_ip", "domain").agg(
+        F.count(F.lit(1)).alias("queries"),
+        F.count_if(F.col("response_code") == "NXDOMAIN").alias("nxdomain"),
+        F.when(F.count("timestamp") == F.count(F.lit(1)), F.min("timestamp")).alias("first_ts"),
+    )
+
+
+def query_count(dns: DataFrame) -> Column:
+    """How many queries the rows of a DNS log or of its summary stand for."""
+    return F.sum("queries") if "queries" in dns.columns else F.count(F.lit(1))
+
+
 def dga_domains(dns: DataFrame, cfg: C2Config = C2Config(), extra_keys: Sequence[str] = ()) -> DataFrame:
     """Algorithm-like second-level labels, one row per domain with its first source."""
-    first = F.min(F.struct("timestamp", "source_ip")).getField("source_ip")
+    first = F.min(F.struct("first_ts" if "first_ts" in dns.columns else "timestamp", "source_ip")).getField("source_ip")
     per_domain = (
         dns.where(present("domain") & (text.label_count("domain") >= 2))
         .withColumn("label", text.second_level("domain"))
         .where((F.length("label") >= cfg.dga_min_length) & text.has_digit("label"))
         .groupBy(*extra_keys, "domain", "label")
-        .agg(first.alias("source_ip"), F.count(F.lit(1)).alias("queries"))
+        .agg(first.alias("source_ip"), query_count(dns).alias("queries"))
     )
     return (
         per_domain.withColumn("consonant_ratio", text.consonant_ratio("label"))
@@ -83,12 +101,13 @@ def subdomain_counts(dns: DataFrame, extra_keys: Sequence[str] = ()) -> DataFram
         dns.where(present("source_ip") & (text.label_count("domain") >= 3))
         .select(
             *extra_keys,
+            *[c for c in ("queries",) if c in dns.columns],
             "source_ip",
             text.parent_domain("domain").alias("parent_domain"),
             text.subdomain("domain").alias("subdomain"),
         )
         .groupBy(*extra_keys, "source_ip", "parent_domain", "subdomain")
-        .agg(F.count(F.lit(1)).alias("queries"))
+        .agg(query_count(dns).alias("queries"))
     )
 
 

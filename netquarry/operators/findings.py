@@ -77,7 +77,7 @@ C2, RECON, LATERAL, EXFIL, IMPACT = (
 )
 
 # ``needs`` names inputs of the hunt bundle: connections (raw), flows, pairs
-# (outbound), internal_pairs, dns, subdomains, http, ntlm.
+# (outbound), internal_pairs, dns (raw), dns_summary, subdomains, http, ntlm.
 DETECTIONS: dict[str, Detection] = {
     d.name: d
     for d in (
@@ -86,8 +86,8 @@ DETECTIONS: dict[str, Detection] = {
                   lambda: _strings("source_ip", _endpoint()), lambda: _strings("source_ip"),
                   _fixed("T1071", "T1571"),
                   ("events", "mean_interval", "std_dev", "regularity", "variation")),
-        Detection("dga_domains", C2, "dga_domain", ("dns",),
-                  lambda b, c, k: c2.dga_domains(b["dns"], c.c2, k),
+        Detection("dga_domains", C2, "dga_domain", ("dns_summary",),
+                  lambda b, c, k: c2.dga_domains(b["dns_summary"], c.c2, k),
                   lambda: _strings("domain", "source_ip"), lambda: _strings("source_ip"),
                   _fixed("T1568.002"), ("entropy", "consonant_ratio", "label")),
         Detection("dns_tunneling", C2, "dns_tunneling", ("subdomains",),
@@ -109,8 +109,8 @@ DETECTIONS: dict[str, Detection] = {
                   lambda: _strings("source_ip"), _fixed("T1595", "T1046"),
                   ("unique_ports", "unique_hosts", "ports_per_min", "hosts_per_min", "reject_ratio",
                    "total_connections", "scan_type")),
-        Detection("dns_reconnaissance", RECON, "dns_reconnaissance", ("dns",),
-                  lambda b, c, k: recon.dns_reconnaissance(b["dns"], c.recon, k),
+        Detection("dns_reconnaissance", RECON, "dns_reconnaissance", ("dns_summary",),
+                  lambda b, c, k: recon.dns_reconnaissance(b["dns_summary"], c.recon, k),
                   lambda: _strings("source_ip", _tag("dns_queries", "total_queries"),
                                    F.concat(F.lit("nxdomain_ratio:"), F.format_string("%.2f", "nxdomain_ratio"))),
                   lambda: _strings("source_ip"), _fixed("T1595.002"),
@@ -147,8 +147,8 @@ DETECTIONS: dict[str, Detection] = {
                   lambda b, c, k: exfil.cloud_uploads(b["http"], c.exfil, k),
                   lambda: _strings("source_ip", "service"), lambda: _strings("source_ip"),
                   _fixed("T1567"), ("uploads",)),
-        Detection("cryptomining", IMPACT, "cryptomining", ("flows", "dns"),
-                  lambda b, c, k: impact.cryptomining(b["flows"], b["dns"], c.impact, k, samples=20),
+        Detection("cryptomining", IMPACT, "cryptomining", ("flows", "dns_summary"),
+                  lambda b, c, k: impact.cryptomining(b["flows"], b["dns_summary"], c.impact, k, samples=20),
                   lambda: _more(_more(_strings("source_ip"), "sample_pools", 3), "sample_endpoints", 3),
                   lambda: _strings("source_ip"), _fixed("T1496"),
                   ("pool_domains", "stratum_endpoints", "sample_pools", "sample_endpoints")),
@@ -213,8 +213,10 @@ def prepare(
     if "flows" in out:
         out.setdefault("pairs", exfil.outbound_pairs(out["flows"], extra_keys))
         out.setdefault("internal_pairs", lateral.internal_pairs(out["flows"], extra_keys))
-    if "dns" in out and "subdomains" not in out:
-        out["subdomains"] = keep(c2.subdomain_counts(out["dns"], extra_keys), "subdomains")
+    if "dns" in out and "dns_summary" not in out:
+        out["dns_summary"] = keep(c2.dns_summary(out["dns"], extra_keys), "dns-summary")
+    if "dns_summary" in out and "subdomains" not in out:
+        out["subdomains"] = keep(c2.subdomain_counts(out["dns_summary"], extra_keys), "subdomains")
     return out
 
 
@@ -227,7 +229,7 @@ def run_detections(
 ) -> DataFrame:
     """All enabled detections whose inputs are present, as one union."""
     needed = {n for name, det in (registry or DETECTIONS).items() if name not in cfg.disabled for n in det.needs}
-    ready = prepare(bundle, extra_keys, keep if needed & {"flows", "pairs", "internal_pairs", "subdomains"} else None)
+    ready = prepare(bundle, extra_keys, keep if needed & {"flows", "pairs", "internal_pairs", "dns_summary", "subdomains"} else None)
     parts = []
     for name, detection in (registry or DETECTIONS).items():
         if name in cfg.disabled or not set(detection.needs) <= set(ready):

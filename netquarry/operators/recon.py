@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.config import ReconConfig
+from netquarry.operators.c2 import query_count
 from netquarry.operators.flows import as_flows, present
 
 
@@ -57,12 +58,13 @@ def port_scans(connections: DataFrame, cfg: ReconConfig = ReconConfig(), extra_k
 
 def dns_reconnaissance(dns: DataFrame, cfg: ReconConfig = ReconConfig(), extra_keys: Sequence[str] = ()) -> DataFrame:
     """High query volume or NXDOMAIN share per source."""
+    nxdomain = F.sum("nxdomain") if "nxdomain" in dns.columns else F.count_if(F.col("response_code") == "NXDOMAIN")
     per_domain = (
         dns.where(present("source_ip"))
         .groupBy(*extra_keys, "source_ip", F.coalesce("domain", F.lit("")).alias("domain"))
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("response_code") == "NXDOMAIN").alias("nx"),
+            query_count(dns).alias("n"),
+            nxdomain.alias("nx"),
         )
     )
     total, ratio = F.col("total_queries"), F.col("nxdomain_ratio")

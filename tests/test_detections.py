@@ -248,3 +248,30 @@ def test_beacons_with_a_stored_summary_shuffle_candidates_only(spark, frame):
     assert 60 <= kept.count() < 4_000 and kept.columns == log.columns
     nothing = possible_rows(log, flows.limit(0).select("source_ip"), ["source_ip"])
     assert nothing.count() == 0
+
+
+def test_dns_detections_over_the_summary_are_those_over_the_log(frame):
+    rows = [(f"10.0.0.{i % 3}", f"{i % 60:02d}abcdefghijklmnopqrstuvwxyz0{i % 7}.evil.net", "NXDOMAIN" if i % 4 else "NOERROR", ts(i)) for i in range(700)]
+    rows += [("10.0.0.9", "xk2vbq9zrtwp.com", "NOERROR", ts(5)), ("10.0.0.8", "xk2vbq9zrtwp.com", None, None), ("10.0.0.8", "xk2vbq9zrtwp.com", None, ts(1)),
+             (None, "a.b.c", "NXDOMAIN", ts(1)), ("10.0.0.9", None, "NXDOMAIN", None), ("10.0.0.9", "", "NOERROR", ts(2))]
+    log = frame(rows, DNS)
+    summary = c2.dns_summary(log)
+    for run in (c2.dga_domains, c2.subdomain_counts, c2.dns_tunneling, recon.dns_reconnaissance, exfil.dns_exfiltration):
+        got, want = ({tuple(sorted(r.asDict().items())) for r in run(dns).collect()} for dns in (summary, log))
+        assert got == want and want, run.__name__
+
+
+def test_detections_read_the_dns_log_once_where_partials_are_stored(frame):
+    rows = [(f"10.0.0.{i % 3}", f"{i:02d}abcdefghijklm.evil.net", "NXDOMAIN", ts(i)) for i in range(60)]
+    stored = []
+
+    def keep(df, name):
+        stored.append((name, df.columns))
+        return df
+
+    ready = findings.prepare({"dns": frame(rows, DNS)}, (), keep)
+    assert [name for name, _ in stored] == ["dns-summary", "subdomains"]
+    readers = [d for d in findings.DETECTIONS.values() if set(d.needs) & {"dns", "dns_summary", "subdomains"}]
+    assert len(readers) == 5 and all("dns" not in d.needs for d in readers)
+    without_log = {name: df for name, df in ready.items() if name != "dns"}
+    assert findings.run_detections(without_log, keep=keep).count() == findings.run_detections(ready, keep=keep).count()
