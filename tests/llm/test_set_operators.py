@@ -488,6 +488,22 @@ def test_exact_repeat_of_lines_that_lesser_texts_have_singly(frame):
     assert {r["doc_id"] for r in found if r["end_word"] - r["start_word"] >= 78} == planted
 
 
+def test_edited_repeat_whose_seeds_lesser_texts_have_singly(frame):
+    rng = random.Random(71)
+    texts, planted = [], set()
+    for _ in range(8):
+        passage = prose(rng, 70, 10**6)
+        other = passage.copy()
+        for i in (16, 35, 52):
+            other[i] = f"e{rng.randrange(10**6)}"
+        planted |= {len(texts), len(texts) + 1}
+        texts += [" ".join(prose(rng, 30, 10**6) + p + prose(rng, 30, 10**6)) for p in (passage, other)]
+        for low in range(0, 60, 5):  # any run of six to ten words stands in ten lesser texts as well
+            texts += [" ".join(prose(rng, 40, 10**6) + passage[low : low + 14] + prose(rng, 40, 10**6)) for _ in range(10)]
+    found = passages.digest(passages.repeated_passages(frame(with_columns(texts), DDL))).collect()
+    assert {(r["doc_id"], r["other_doc_id"]) for r in found} == {(i, i ^ 1) for i in planted}
+
+
 def test_common_passage_gives_no_pairs_of_all(frame):
     rng = random.Random(35)
     passage = prose(rng, 70, 10**6)
