@@ -99,6 +99,17 @@ def read_log(spark: SparkSession, path: str | list[str], fields: Sequence[str] |
     )
 
 
+def write_log(lines: DataFrame, path: str, fields: Sequence[str]) -> None:
+    """Append the lines of (value) to a folder of Zeek logs, a file per partition, each under its own ``#fields`` line.
+
+    The header goes before the first row of a partition, so nothing is shuffled or sorted.
+    """
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # a partition's number stands above bit 33
+    head = F.lit("#fields\t" + "\t".join(fields))
+    rows = lines.withColumn("_first", first).select(F.explode(F.when(F.col("_first"), F.array(head, "value")).otherwise(F.array("value"))).alias("value"))
+    rows.write.mode("append").text(path)
+
+
 def read_alerts(spark: SparkSession, path: str, as_of=None, hours: float | None = None, least_severity: int = 3) -> DataFrame:
     """Suricata alerts at or above a severity (1 is worst) inside a range;
     broken lines are dropped."""

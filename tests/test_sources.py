@@ -43,6 +43,18 @@ def test_headers_are_found_without_reading_the_logs(spark, tmp_path):
     assert 0 < read < 60_000 <= zeek.read_folder(spark, str(tmp_path)).count()
 
 
+def test_written_logs_have_their_header_in_every_file(spark, tmp_path):
+    for fields, low in ((("ts", "v"), 0), (("v", "more", "ts"), 1000)):
+        rows = spark.range(low, low + 1000, numPartitions=7).where("id % 1000 > 200").select(F.concat_ws("\t", *[F.concat(F.lit(f), "id") for f in fields]).alias("value"))
+        zeek.write_log(rows, str(tmp_path / "logs"), fields)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    got = zeek.read_folder(spark, str(tmp_path / "logs"))
+    want = {(f"ts{i}", f"v{i}", None if i < 1000 else f"more{i}") for i in range(2000) if i % 1000 > 200}
+    rows = [tuple(r) for r in got.select("ts", "v", "more").collect()]
+    assert len(rows) == len(want) and set(rows) == want
+
+
 WINDOWS = "index string, EventCode string, _time string, host string, user string, Process_Name string, CommandLine string, Object_Name string"
 
 

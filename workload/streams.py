@@ -205,11 +205,7 @@ def _(spark, sf):
     folder, c = fresh_path(spark, "zeek-kinds"), v.connections(spark, sf)
     for kind, fields in enumerate(kinds):
         line = F.concat_ws("\t", *[F.coalesce(source[n].cast("string"), F.lit("-")) for n in fields])
-        lines = c.where(F.col("source_port") % 2 == kind).select(
-            F.pmod(F.xxhash64("source_ip"), F.lit(4)).alias("part"), F.lit(1).alias("at"), line.alias("value"))
-        head = spark.range(4).select(F.col("id").alias("part"), F.lit(0).alias("at"), F.lit("#fields\t" + "\t".join(fields)).alias("value"))
-        files = lines.unionByName(head).repartition(4, "part").sortWithinPartitions("part", "at")
-        files.select("value").write.mode("append").text(folder)
+        zeek.write_log(c.where(F.col("source_port") % 2 == kind).select(line.alias("value")), folder, fields)
     got = normalize.connections(zeek.read_folder(spark, folder))
     return out(got.groupBy("source_ip", "destination_ip", "destination_port", "protocol", "vlan", "sensor_id").agg(
         F.sum("bytes_in").alias("bytes_in"), F.sum("bytes_out").alias("bytes_out"), F.count(F.lit(1)).alias("connections"),
