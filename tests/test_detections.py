@@ -55,6 +55,23 @@ def test_interarrival_does_not_depend_on_buckets(frame, bucket, keep_zero):
             assert got[k].std_dev == pytest.approx(statistics.pstdev(gaps), abs=1e-9)
 
 
+def test_interarrival_makes_few_summaries_and_enough_tasks(spark, frame, monkeypatch):
+    from netquarry.operators import common
+
+    rng = random.Random(9)
+    rows = [("hot" if i % 3 == 0 else f"k{i % 40}", ts(rng.randint(0, 10**8))) for i in range(6000)]
+    df = frame(rows, "k string, timestamp timestamp")
+    want = {tuple(r) for r in interarrival(df, ["k"]).collect()}
+    monkeypatch.setattr(common, "BUCKET_ROWS", 500)
+    monkeypatch.setattr(common, "TASK_ROWS", 250)
+    got = interarrival(df, ["k"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k" in plan and ", 24)" in plan  # 6,000 rows by 250
+    assert {(r[0], r[1], r[2]) for r in got.collect()} == {(r[0], r[1], r[2]) for r in want}
+    for a, b in zip(sorted(map(tuple, got.collect())), sorted(want)):
+        assert a[3:] == pytest.approx(b[3:])
+
+
 DNS = "source_ip string, domain string, response_code string, timestamp timestamp"
 
 
