@@ -131,11 +131,15 @@ def first_of(value: Column) -> Column:
 
 def parse_raw(events: DataFrame, fields: Sequence[str], raw: str = "_raw") -> DataFrame:
     """Named fields of a raw JSON column, first value of multi-valued ones;
-    other columns (host, _time) are kept."""
+    other columns (host, _time) are kept.
+
+    Each text is parsed once: as a generator's output, so that filters on the
+    fields do not parse it again for every mention.
+    """
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    parsed = events.withColumn("_json", F.from_json(raw, schema))
     keep = [F.col(c) for c in events.columns if c != raw and c not in fields]
-    return parsed.select(*keep, *[first_of(F.col("_json").getField(f)).alias(f) for f in fields])
+    parsed = events.select(*keep, F.inline(F.array(F.from_json(raw, schema))))
+    return parsed.select(*keep, *[first_of(F.col(f"`{f}`")).alias(f) for f in fields])
 
 
 CONNECTION_FIELDS = ("id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "orig_bytes", "resp_bytes", "conn_state", "vlan")

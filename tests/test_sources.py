@@ -55,6 +55,18 @@ def test_written_logs_have_their_header_in_every_file(spark, tmp_path):
     assert len(rows) == len(want) and set(rows) == want
 
 
+def test_raw_events_are_parsed_once(frame):
+    raw = ['{"id.orig_h":"a","id.resp_h":["b","c"],"id.resp_p":"53","orig_bytes":"x"}', '{"id.orig_h":"d","id.resp_p":["80"],"orig_bytes":7}', "broken", None]
+    events = frame([("h", "5", r) for r in raw], "host string, _time string, _raw string")
+    parsed = zeek.parse_raw(events, ("id.orig_h", "id.resp_h", "id.resp_p"))
+    assert {tuple(r) for r in parsed.collect()} == {("h", "5", "a", "b", "53"), ("h", "5", "d", None, "80"), ("h", "5", None, None, None)}
+    assert parsed.count() == 4
+    got = zeek.scan_connections(events)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(id.orig_h") == 1
+    assert {(r["source_ip"], r["destination_port"], r["bytes_out"]) for r in got.collect()} == {("d", 80, 7), (None, 0, 0)} and got.count() == 3
+
+
 WINDOWS = "index string, EventCode string, _time string, host string, user string, Process_Name string, CommandLine string, Object_Name string"
 
 
