@@ -578,6 +578,25 @@ def test_reach_changes_no_passage(frame):
     assert near == whole and len(near) > 60
 
 
+def test_shifts_of_a_repeated_word_are_few_and_cover_the_same_words():
+    import numpy as np
+
+    cfg = passages.PassageConfig()
+    x, y = np.full(900, 7, np.uint64), np.full(73, 7, np.uint64)
+    found = passages.align(x, y, cfg)
+    assert len(found) <= 30 and all(p[1] - p[0] == p[4] == 73 for p in found)
+    assert {i for p in found for i in range(p[0], p[1])} == set(range(900)) and {i for p in found for i in range(p[2], p[3])} == set(range(73))
+
+
+def test_next_blocks_are_the_same_rows_once():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = rng.integers(0, 3, 400), rng.integers(0, 2, 400).astype(np.uint64), rng.integers(0, 3, 400).astype(np.int32), rng.integers(0, 2, 400) > 0
+    got = list(zip(*passages._once(*rows)))
+    assert len(got) == len(set(got)) and set(got) == set(zip(*rows))
+
+
 def test_passages_of_odd_rows(frame):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [(None, long, "en", "s", 1), (1, long, None, None, None), (1, long, "en", "s", 1), (2, long + " z", "en", "s", 1), (3, None, "en", "s", 1)]
