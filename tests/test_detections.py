@@ -267,6 +267,26 @@ def test_beacons_with_a_stored_summary_shuffle_candidates_only(spark, frame):
     assert nothing.count() == 0
 
 
+def test_prefilter_is_left_out_where_most_rows_are_candidates(spark):
+    """Where nearly all connections are of keys with enough of them, no bitmap is tested; its pieces are small anyhow."""
+    from netquarry.operators.common import bitmap_pieces
+    from netquarry.operators.flows import flow_summary
+    from netquarry.session import stage
+
+    log = stage(spark.range(2_000).select(
+        F.concat(F.lit("10.0.0."), F.col("id") % 20).alias("source_ip"), F.lit("203.0.113.9").alias("destination_ip"),
+        F.lit(443).alias("destination_port"), F.timestamp_seconds(F.col("id") * 30).alias("timestamp")), "beacon-log")
+    flows = stage(flow_summary(log), "beacon-flows")
+    cfg = C2Config(min_connections=10)
+    got = c2.beaconing(log, cfg, flows=flows)
+    assert "_bits" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, c2.beaconing(log, cfg).collect())) and got.count() == 20
+    places = [0, 511, 512, 32_767, 32_768, 100_000]
+    pieces = {r["_piece"]: bytes(r["_bits"]) for r in bitmap_pieces(spark.createDataFrame([(i,) for i in places], "_bit bigint")).collect()}
+    assert {len(b) for b in pieces.values()} == {64}
+    assert [p * 512 + i for p in sorted(pieces) for i in range(512) if pieces[p][i // 8] >> (i % 8) & 1] == places
+
+
 def test_dns_detections_over_the_summary_are_those_over_the_log(frame):
     rows = [(f"10.0.0.{i % 3}", f"{i % 60:02d}abcdefghijklmnopqrstuvwxyz0{i % 7}.evil.net", "NXDOMAIN" if i % 4 else "NOERROR", ts(i)) for i in range(700)]
     rows += [("10.0.0.9", "xk2vbq9zrtwp.com", "NOERROR", ts(5)), ("10.0.0.8", "xk2vbq9zrtwp.com", None, None), ("10.0.0.8", "xk2vbq9zrtwp.com", None, ts(1)),
