@@ -14,6 +14,10 @@ from netquarry.operators.netmap import NODE
 from netquarry.session import stage
 
 
+#: Profiles that more than one operator reads.
+SHARED = ("rdp", "dhcp", "dhcp_extended", "smtp_banner", "dhcp_gateway", "server", "client", "kerberos")
+
+
 @dataclass(frozen=True)
 class NetworkMap:
     nodes: DataFrame
@@ -50,16 +54,19 @@ def profile_map(
     """Nodes with facts, names, infrastructure evidence and device type.
 
     The profiles are independent aggregates joined once per address; nothing
-    loops over devices. ``staged`` writes the fact table (one row per address)
-    and the enriched nodes once, since several evidence operators read them.
+    loops over devices. ``staged`` writes what several operators read once:
+    the profiles of ``SHARED``, the fact table (one row per address), the
+    names, the evidence and the enriched nodes.
     """
     keep = stage if staged else (lambda df, name: df)
     results = profiles.run_profiles(logs)
+    results |= {n: keep(results[n], f"profile-{n}") for n in SHARED if n in results}
     facts = keep(devices.facts(results, net_map.nodes), "facts")
     nodes = devices.enrich_nodes(net_map.nodes, facts, oui)
     names = net_map.names
     if any(n in results for n in ("smb", "rdp", "dhcp", "dhcp_extended", "smtp_banner")):
         names = names.unionByName(devices.node_names_from_ip(devices.profile_names(results), net_map.nodes)).distinct()
+    names = keep(names, "names")
     nodes = devices.attach_names(nodes, names)
     if "x509" in logs:
         certificates = keep(devices.certificate_rows(logs["x509"]), "certificates")
@@ -68,15 +75,16 @@ def profile_map(
     if "ntlm" in logs:
         rows = profiles.ntlm_rows(logs["ntlm"]).withColumnRenamed("ts", "timestamp")
         nodes = devices.attach_domain(nodes, netmap.ntlm_domains(rows))
-        heavy = devices.heavy_ntlm_servers(rows)
+        heavy = keep(devices.heavy_ntlm_servers(rows), "heavy-ntlm")
     else:
         heavy = None
     nodes = keep(nodes, "enriched")
     dhcp = gateways.dhcp_gateways(results["dhcp_gateway"]) if "dhcp_gateway" in results else None
-    cross, subnet = gateways.cross_subnet_gateways(net_map.edges), gateways.subnet_gateways(net_map.edges)
-    evidence = gateways.infrastructure_evidence(
+    cross = keep(gateways.cross_subnet_gateways(net_map.edges), "cross-subnet")
+    subnet = keep(gateways.subnet_gateways(net_map.edges), "subnet")
+    evidence = keep(gateways.infrastructure_evidence(
         dhcp, gateways.snmp_infrastructure(nodes), subnet, cross, gateways.vendor_infrastructure(nodes),
-    )
+    ), "evidence")
     served = net_map.services.select("ip", "port")
     if "conn" in logs:
         values = profiles.profile_values(logs["conn"], "server").select("ip", F.col("value").try_cast("int").alias("port"))

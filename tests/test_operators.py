@@ -76,6 +76,14 @@ def test_substring_join_is_exact(frame):
     assert got == {(t, n) for t in texts for n in needles if n in t}
 
 
+def test_substring_matches_cuts_texts_to_the_sizes_of_needles(frame):
+    texts, needles = frame([("host.example",), ("short",), ("",), (None,)], "t string"), frame([("host.ex",), ("example",), ("",), (None,)], "n string")
+    got = substring_matches(texts, "t", needles, "n")
+    assert {tuple(r) for r in got.collect()} == {("host.example", "host.ex"), ("host.example", "example")}
+    assert "least(length(t#" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert substring_matches(texts, "t", needles.where("n = ''"), "n").isEmpty()
+
+
 def test_first_listed_match_keeps_duplicates(frame):
     df = frame([("a.pool.x",), ("a.pool.x",), ("none",)], "d string")
     lst = frame([("pool", 2), ("a.", 1)], "needle string, ordinal int")
