@@ -618,3 +618,30 @@ def test_split_rows_keeps_every_row_once(frame):
     text = frame([("a",), ("b",)], "id string")
     assert [r["id"] for r in maybe_in(text, frame([("a",)], "id string")).collect()] == ["a"]
     assert without(text, text.limit(0), "id", "id").count() == 2
+
+
+def test_pairs_whose_blocks_reach_nowhere_are_not_chained(monkeypatch):
+    """All pairs of a slice are aligned at once, as each would be alone; chains are made only where a passage may be."""
+    np, cfg, rng = passages.np, passages.PassageConfig(), random.Random(71)
+    random_words = lambda n, kinds: [rng.randrange(1, kinds) for _ in range(n)]
+    line, shared = random_words(8, 10**9), random_words(70, 10**9)
+    heads = [random_words(40, 10**9) + shared + line * 60, random_words(500, 12), line * 90 + random_words(20, 10**9)]
+    others = [[shared[:30] + [5, 6] + shared[32:] + random_words(30, 10**9), line * 40 + shared, random_words(300, 12), [9] + line * 3, [7] * 80] for _ in heads]
+    words, rows = [], []
+    for k, (head, partners) in enumerate(zip(heads, others)):
+        begin = len(words)
+        words += head
+        for other in partners:
+            rows.append((k, begin, begin + len(head), len(words), len(words) + len(other)))
+            words += other
+    alone = [passages.align(np.array(words[x:x_end], np.uint64), np.array(words[y:y_end], np.uint64), cfg) for _, x, x_end, y, y_end in rows]
+    pairs = passages.Pairs(np.array(words, np.uint64), *(np.array(c) for c in zip(*rows)))
+    assert passages.align_all(pairs, cfg) == alone and any(alone) and not all(alone)
+    monkeypatch.setattr(passages, "HELD", 100)  # in several parts
+    assert passages.align_all(pairs, cfg) == alone
+    monkeypatch.undo()
+    chained, chains = [], passages.chains
+    monkeypatch.setattr(passages, "chains", lambda found, cfg: chained.append(found) or chains(found, cfg))
+    x, y = (sum((random_words(45, 10**9) + line for _ in range(20)), []) for _ in "xy")
+    x, y = np.array(x, np.uint64), np.array(y, np.uint64)
+    assert len(passages.blocks(x, y, cfg)) >= 20 and passages.align(x, y, cfg) == [] and not chained
